@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.operators import corpus
+from murmur.operators import corpus, retrieval
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.sources.tables import spread, table
@@ -119,3 +119,74 @@ FROM en, st""")
 def q_final_text(spark, sf_dir):
     rows, _, _ = corpus.preprocess(docs(spark, sf_dir))
     return rows.select("doc_id", "final_tokens", "final_text")
+
+
+# --- retrieval -------------------------------------------------------------------
+
+def questions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def question_vectors(spark, sf_dir) -> DataFrame:
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return (questions(spark, sf_dir).join(emb, F.col("qid") == F.col("vec_id"))
+            .select("qid", "embedding"))
+
+
+def doc_vectors(spark, sf_dir, doc_filter=None) -> DataFrame:
+    d = docs(spark, sf_dir)
+    if doc_filter is not None:
+        d = d.filter(doc_filter)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return emb.join(d.select("doc_id"), F.col("vec_id") == F.col("doc_id")).select("doc_id", "embedding")
+
+
+@register("tfidf_topk", f"""
+WITH {O.tfidf_ctes(O.DOC_CORPUS, O.QUESTIONS)}
+SELECT qid, id AS comment_id, lexical_score, rank FROM {O.ranked('lx_sc', 'qid', 'lexical_score', 'id', 5)}""")
+def q_tfidf_topk(spark, sf_dir):
+    index = retrieval.TfidfIndex(docs(spark, sf_dir).select("doc_id", "text"))
+    return (index.top_k(questions(spark, sf_dir), 5)
+            .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score", "rank"))
+
+
+@register("cosine_topk", f"""
+WITH {O.cosine_ctes(O.VEC_CORPUS, O.VEC_QUESTIONS)}
+SELECT qid, id AS comment_id, semantic_score, rank FROM {O.ranked('sm_sc', 'qid', 'semantic_score', 'id', 5)}""")
+def q_cosine_topk(spark, sf_dir):
+    return (retrieval.cosine_top_k(doc_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 5)
+            .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
+
+
+def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None):
+    d = docs(spark, sf_dir)
+    if doc_filter is not None:
+        d = d.filter(doc_filter)
+    text_of = d.select(F.col("doc_id").alias("comment_id"), "text")
+    lex = (retrieval.TfidfIndex(d.select("doc_id", "text")).top_k(questions(spark, sf_dir), 2 * k)
+           .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score"))
+    sem = (retrieval.cosine_top_k(doc_vectors(spark, sf_dir, doc_filter), question_vectors(spark, sf_dir), 2 * k)
+           .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
+    # hits are k per question: the text lookup joins a small side to the corpus
+    lex = lex.join(text_of, "comment_id")
+    sem = sem.join(text_of, "comment_id")
+    return retrieval.hybrid_merge(sem, lex, k, alpha)
+
+
+HYBRID_COLS = ["qid", "comment_id", "semantic_score", "lexical_score", "hybrid_score", "rank"]
+
+
+@register("hybrid_topk", O.hybrid_sql(5, 0.7))
+def q_hybrid_topk(spark, sf_dir):
+    return hybrid(spark, sf_dir, 5, 0.7).select(*HYBRID_COLS)
+
+
+@register("hybrid_topk_a03", O.hybrid_sql(5, 0.3))
+def q_hybrid_topk_a03(spark, sf_dir):
+    return hybrid(spark, sf_dir, 5, 0.3).select(*HYBRID_COLS)
+
+
+@register("hybrid_topk_filtered", O.hybrid_sql(5, 0.7, "source IN ('src1', 'src2', 'src3', 'src4', 'src5')"))
+def q_hybrid_topk_filtered(spark, sf_dir):
+    flt = F.col("source").isin("src1", "src2", "src3", "src4", "src5")
+    return hybrid(spark, sf_dir, 5, 0.7, flt).select(*HYBRID_COLS)

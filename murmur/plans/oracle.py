@@ -80,3 +80,65 @@ def word_frequency_ctes() -> str:
     return (prepared_ctes() + ",\n"
             "wf AS (SELECT word, count(*) AS frequency FROM "
             "(SELECT unnest(lemmas) AS word FROM en) GROUP BY word)")
+
+
+LEX_SQL_PATTERN = r"[\pL\pN_]{2,}"
+
+
+def tfidf_ctes(corpus: str, queries: str, p: str = "lx") -> str:
+    """CTEs ending in ``{p}_sc(qid, id, lexical_score)``; ``corpus`` has
+    (id, text), ``queries`` has (qid, text)."""
+    pat = q(LEX_SQL_PATTERN)
+    return f"""{p}_dt AS (SELECT id, unnest(regexp_extract_all(lower(text), {pat})) AS term FROM {corpus}),
+{p}_tf AS (SELECT id, term, count(*) AS tf FROM {p}_dt GROUP BY id, term),
+{p}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus}),
+{p}_idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {p}_tf, {p}_n GROUP BY term, n),
+{p}_dw AS (SELECT id, term, tf * idf AS raw FROM {p}_tf JOIN {p}_idf USING (term)),
+{p}_dn AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM {p}_dw),
+{p}_qt AS (SELECT qid, unnest(regexp_extract_all(lower(text), {pat})) AS term FROM {queries}),
+{p}_qtf AS (SELECT qid, term, count(*) AS tf FROM {p}_qt GROUP BY qid, term),
+{p}_qw0 AS (SELECT qid, term, tf * idf AS raw FROM {p}_qtf JOIN {p}_idf USING (term)),
+{p}_qw AS (SELECT qid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS qw FROM {p}_qw0),
+{p}_sc AS (SELECT qid, id, round(sum(w * qw), 6) AS lexical_score
+           FROM {p}_dn JOIN {p}_qw USING (term) GROUP BY qid, id HAVING round(sum(w * qw), 6) > 0)"""
+
+
+def cosine_ctes(corpus: str, queries: str, p: str = "sm") -> str:
+    """CTEs ending in ``{p}_sc(qid, id, semantic_score)``; ``corpus`` has
+    (id, embedding), ``queries`` has (qid, embedding)."""
+    return f"""{p}_sc AS (SELECT qv.qid, cv.id,
+    round(list_dot_product(CAST(cv.embedding AS DOUBLE[]), CAST(qv.embedding AS DOUBLE[])), 5) AS semantic_score
+    FROM {corpus} cv, {queries} qv)"""
+
+
+def ranked(src: str, part: str, score: str, tie: str, k: int) -> str:
+    return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, {tie})"
+            f" AS INTEGER) AS rank FROM {src}) WHERE rank <= {k})")
+
+
+DOC_CORPUS = "(SELECT doc_id AS id, text FROM documents)"
+QUESTIONS = "(SELECT item_id AS qid, text FROM benchmark)"
+VEC_CORPUS = "(SELECT d.doc_id AS id, e.embedding FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
+VEC_QUESTIONS = "(SELECT b.item_id AS qid, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
+
+
+def hybrid_sql(k: int, alpha: float, doc_filter: str = "TRUE") -> str:
+    corpus = f"(SELECT doc_id AS id, text FROM documents WHERE {doc_filter})"
+    vcorpus = ("(SELECT d.doc_id AS id, e.embedding FROM embeddings e JOIN documents d "
+               f"ON e.vec_id = d.doc_id WHERE {doc_filter})")
+    return f"""WITH {tfidf_ctes(corpus, QUESTIONS)},
+{cosine_ctes(vcorpus, VEC_QUESTIONS)},
+lex AS (SELECT r.qid, r.id, d.text, r.lexical_score FROM {ranked('lx_sc', 'qid', 'lexical_score', 'id', 2 * k)} r
+        JOIN documents d ON d.doc_id = r.id),
+sem AS (SELECT r.qid, r.id, d.text, r.semantic_score FROM {ranked('sm_sc', 'qid', 'semantic_score', 'id', 2 * k)} r
+        JOIN documents d ON d.doc_id = r.id),
+lex1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY lexical_score DESC, id) AS r1
+         FROM lex) WHERE r1 = 1),
+sem1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY semantic_score DESC, id) AS r1
+         FROM sem) WHERE r1 = 1),
+mg AS (SELECT coalesce(s.qid, l.qid) AS qid, coalesce(s.id, l.id) AS comment_id,
+              coalesce(s.semantic_score, 0.0) AS semantic_score, coalesce(l.lexical_score, 0.0) AS lexical_score
+       FROM sem1 s FULL OUTER JOIN lex1 l ON s.qid = l.qid AND s.text = l.text),
+hy AS (SELECT *, round({alpha} * semantic_score + {1.0 - alpha} * lexical_score, 6) AS hybrid_score FROM mg)
+SELECT qid, comment_id, semantic_score, lexical_score, hybrid_score, rank
+FROM {ranked('hy', 'qid', 'hybrid_score', 'comment_id', k)}"""
