@@ -12,9 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.functions import entities as E
 from murmur.operators import corpus, retrieval
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
+from murmur.resources.words import GAZETTEER
+from murmur.sources import lexicon
 from murmur.sources.tables import spread, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +193,94 @@ def q_hybrid_topk_a03(spark, sf_dir):
 def q_hybrid_topk_filtered(spark, sf_dir):
     flt = F.col("source").isin("src1", "src2", "src3", "src4", "src5")
     return hybrid(spark, sf_dir, 5, 0.7, flt).select(*HYBRID_COLS)
+
+
+# --- entities and keywords ----------------------------------------------------------
+
+def clean_docs(spark, sf_dir) -> DataFrame:
+    return corpus.clean(docs(spark, sf_dir)).select("doc_id", "clean_text")
+
+
+_CLEAN_DOCS = O.clean_ctes("(SELECT doc_id, text FROM documents)")
+_TERMS = lexicon.local_terms()
+
+
+@register("regex_entities", f"""
+WITH {_CLEAN_DOCS}
+SELECT doc_id, regexp_extract_all(clean_text, {O.q(E.CVE_PATTERN)}) AS cves,
+       regexp_extract_all(clean_text, {O.q(E.IP_PATTERN)}) AS ips,
+       regexp_extract_all(clean_text, {O.q(E.HASH_PATTERN)}) AS hashes FROM cl3""")
+def q_regex_entities(spark, sf_dir):
+    c = F.col("clean_text")
+    return clean_docs(spark, sf_dir).select("doc_id", E.cves(c).alias("cves"), E.ips(c).alias("ips"),
+                                            E.hashes(c).alias("hashes"))
+
+
+@register("regex_entities_raw", f"""
+SELECT page_id, regexp_extract_all(html, {O.q(E.CVE_PATTERN)}) AS cves,
+       regexp_extract_all(html, {O.q(E.IP_PATTERN)}) AS ips,
+       regexp_extract_all(html, {O.q(E.HASH_PATTERN)}) AS hashes FROM pages""")
+def q_regex_entities_raw(spark, sf_dir):
+    """entity_source="raw": identifiers read before cleaning rewrites them."""
+    c = F.col("html")
+    return (table(spark, sf_dir, "pages")
+            .select("page_id", E.cves(c).alias("cves"), E.ips(c).alias("ips"), E.hashes(c).alias("hashes")))
+
+
+@register("keyword_hits", f"""
+WITH {_CLEAN_DOCS}
+SELECT doc_id, {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM cl3""")
+def q_keyword_hits(spark, sf_dir):
+    terms = lexicon.lexicon_terms(spark)
+    return clean_docs(spark, sf_dir).select("doc_id", E.keywords(F.col("clean_text"), terms).alias("cyber_keywords"))
+
+
+@register("keyword_counts", f"""
+WITH {_CLEAN_DOCS},
+kw AS (SELECT unnest({O.keywords("clean_text", _TERMS)}) AS term FROM cl3)
+SELECT term, count(*) AS n FROM kw GROUP BY term""")
+def q_keyword_counts(spark, sf_dir):
+    terms = lexicon.lexicon_terms(spark)
+    kw = clean_docs(spark, sf_dir).select(F.explode_outer(E.keywords(F.col("clean_text"), terms)).alias("term"))
+    return kw.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("keyword_join", f"""
+WITH {_CLEAN_DOCS},
+lx AS (SELECT unnest({O.q(chr(10).join(_TERMS))}.string_split(chr(10))) AS term)
+SELECT doc_id, list(term ORDER BY term) AS cyber_keywords
+FROM cl3 JOIN lx ON contains(lower(clean_text), term) GROUP BY doc_id""")
+def q_keyword_join(spark, sf_dir):
+    """The join form (lexicon broadcast, theta join on containment), for
+    lexicons too large for one expression; documents without a hit drop out."""
+    lex = lexicon.read_lexicon(spark)
+    return keywords_by_join(clean_docs(spark, sf_dir), lex)
+
+
+def keywords_by_join(d: DataFrame, lex: DataFrame) -> DataFrame:
+    lex = retrieval.bounded_broadcast(lex)
+    hits = d.select("doc_id", F.lower("clean_text").alias("lc")).join(lex, F.col("lc").contains(F.col("term")))
+    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("cyber_keywords"))
+
+
+@register("all_terms", f"""
+WITH {_CLEAN_DOCS}
+SELECT doc_id, list_sort(list_distinct(flatten([
+    regexp_extract_all(clean_text, {O.q(E.CVE_PATTERN)}), regexp_extract_all(clean_text, {O.q(E.IP_PATTERN)}),
+    regexp_extract_all(clean_text, {O.q(E.HASH_PATTERN)}), {O.keywords("clean_text", _TERMS)}])))
+    AS all_extracted_terms FROM cl3""")
+def q_all_terms(spark, sf_dir):
+    terms = lexicon.lexicon_terms(spark)
+    c = F.col("clean_text")
+    return clean_docs(spark, sf_dir).select(
+        "doc_id", E.all_terms(E.regex_entities(c), E.keywords(c, terms)).alias("all_extracted_terms"))
+
+
+@register("gazetteer_entities", f"""
+WITH {_CLEAN_DOCS},
+{O.gazetteer_ctes("cl3", GAZETTEER)}
+SELECT doc_id, {O.gazetteer_select(GAZETTEER)} AS entities FROM gz1""")
+def q_gazetteer_entities(spark, sf_dir):
+    d = clean_docs(spark, sf_dir).withColumn("_toks", E.entity_tokens(F.col("clean_text")))
+    d = d.withColumn("_best", E.gazetteer_best(F.col("_toks")))
+    return d.select("doc_id", E.gazetteer_entities(F.col("_toks"), F.col("_best")).alias("entities"))

@@ -142,3 +142,30 @@ mg AS (SELECT coalesce(s.qid, l.qid) AS qid, coalesce(s.id, l.id) AS comment_id,
 hy AS (SELECT *, round({alpha} * semantic_score + {1.0 - alpha} * lexical_score, 6) AS hybrid_score FROM mg)
 SELECT qid, comment_id, semantic_score, lexical_score, hybrid_score, rank
 FROM {ranked('hy', 'qid', 'hybrid_score', 'comment_id', k)}"""
+
+
+def keywords(expr: str, terms: list[str]) -> str:
+    arr = ", ".join(f"CASE WHEN contains(lower({expr}), {q(t)}) THEN {q(t)} END" for t in sorted(set(terms)))
+    return f"list_filter([{arr}], lambda x: x IS NOT NULL)"
+
+
+def gazetteer_ctes(src: str, table) -> str:
+    """CTEs ``gz0``/``gz1`` with (doc_id, toks, best) over ``src``'s clean_text."""
+    sets = {1: [], 2: [], 3: []}
+    for phrase, _ in table:
+        sets[len(phrase.split())].append(phrase)
+    cases = " ".join(
+        f"WHEN i + {k - 1} <= len(toks) AND array_to_string(toks[i:i + {k - 1}], ' ') IN {in_list(sets[k])} THEN {k}"
+        for k in (3, 2, 1) if sets[k])
+    return (f"gz0 AS (SELECT doc_id, regexp_extract_all(lower(clean_text), '[\\pL\\pN_]+') AS toks FROM {src}),\n"
+            f"gz1 AS (SELECT doc_id, toks, list_transform(range(1, len(toks) + 1), "
+            f"lambda i: CASE {cases} ELSE 0 END) AS best FROM gz0)")
+
+
+def gazetteer_select(table) -> str:
+    label = "CASE p " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in table) + " END"
+    phrase = "array_to_string(toks[i:i + best[i] - 1], ' ')"
+    label = label.replace("CASE p ", f"CASE {phrase} ")
+    keep = "best[i] > 0 AND NOT ((i > 1 AND best[i - 1] >= 2) OR (i > 2 AND best[i - 2] >= 3))"
+    return (f"list_transform(list_filter(range(1, len(toks) + 1), lambda i: {keep}), "
+            f"lambda i: {{'text': {phrase}, 'label': {label}}})")
