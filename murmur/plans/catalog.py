@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import corpus, retrieval
+from murmur.operators import corpus, explore, retrieval
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
 from murmur.sources import lexicon
-from murmur.sources.tables import spread, table
+from murmur.sources.tables import COMMENTS_SQL, comments, spread, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -284,3 +284,144 @@ def q_gazetteer_entities(spark, sf_dir):
     d = clean_docs(spark, sf_dir).withColumn("_toks", E.entity_tokens(F.col("clean_text")))
     d = d.withColumn("_best", E.gazetteer_best(F.col("_toks")))
     return d.select("doc_id", E.gazetteer_entities(F.col("_toks"), F.col("_best")).alias("entities"))
+
+
+# --- exploration over the analysed-comment table ----------------------------------
+
+_C = f"WITH c AS ({COMMENTS_SQL})"
+
+
+def dist_sql(col: str, top: int | None = None) -> str:
+    lim = f" LIMIT {top}" if top else ""
+    return (f"{_C} SELECT {col}, count(*) AS n FROM c WHERE {col} IS NOT NULL GROUP BY {col} "
+            f"ORDER BY n DESC, {col}{lim}")
+
+
+@register("sentiment_distribution", dist_sql("sentiment"))
+def q_sentiment_distribution(spark, sf_dir):
+    return explore.distribution(comments(spark, sf_dir), "sentiment")
+
+
+@register("emotion_distribution", dist_sql("emotion_label"))
+def q_emotion_distribution(spark, sf_dir):
+    return explore.distribution(comments(spark, sf_dir), "emotion_label")
+
+
+@register("topic_top10", dist_sql("topic_id", 10))
+def q_topic_top10(spark, sf_dir):
+    return explore.distribution(comments(spark, sf_dir), "topic_id", 10)
+
+
+@register("topic_top15", dist_sql("topic_id", 15))
+def q_topic_top15(spark, sf_dir):
+    return explore.distribution(comments(spark, sf_dir), "topic_id", 15)
+
+
+@register("comments_per_video", dist_sql("video_id"))
+def q_comments_per_video(spark, sf_dir):
+    return explore.distribution(comments(spark, sf_dir), "video_id")
+
+
+@register("metadata_filter", f"""{_C}
+SELECT comment_id, sentiment, topic_id, video_id FROM c WHERE sentiment = 'negative' AND topic_id = 3""")
+def q_metadata_filter(spark, sf_dir):
+    return (explore.equality_filter(comments(spark, sf_dir), sentiment="negative", topic_id=3, video_id=None)
+            .select("comment_id", "sentiment", "topic_id", "video_id"))
+
+
+@register("request_filter_counts", f"""{_C},
+rq AS (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'negative') THEN 'negative'
+           WHEN contains(lower(text), 'positive') THEN 'positive'
+           WHEN contains(lower(text), 'neutral') THEN 'neutral' END AS filter_label
+       FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, filter_label,
+       CASE WHEN filter_label IS NULL THEN (SELECT count(*) FROM c)
+            ELSE (SELECT count(*) FROM c WHERE c.sentiment = rq.filter_label) END AS n
+FROM rq""")
+def q_request_filter_counts(spark, sf_dir):
+    req = (table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+           .select(F.struct("conv_id", "turn").alias("rid"), "text"))
+    out = explore.request_counts(comments(spark, sf_dir), req, "rid")
+    return out.select("rid.conv_id", "rid.turn", "filter_label", "n")
+
+
+_FACETS = dict(sentiments=["negative", "positive"], emotions=["anger", "joy", "sadness"],
+               topics=[0, 1, 2, 3, 4, -1], videos=[], min_likes=20)
+
+
+@register("facet_filter", f"""{_C}
+SELECT comment_id, sentiment, emotion_label, topic_id, like_count FROM c
+WHERE sentiment IN ('negative', 'positive') AND emotion_label IN ('anger', 'joy', 'sadness')
+  AND topic_id IN (0, 1, 2, 3, 4, -1) AND coalesce(like_count, 0) >= 20""")
+def q_facet_filter(spark, sf_dir):
+    return (explore.facet_filter(comments(spark, sf_dir), **_FACETS)
+            .select("comment_id", "sentiment", "emotion_label", "topic_id", "like_count"))
+
+
+@register("facet_values", f"""{_C}
+SELECT DISTINCT * FROM (
+  SELECT 'sentiment' AS facet, CAST(sentiment AS VARCHAR) AS value FROM c
+  UNION ALL SELECT 'emotion_label', CAST(emotion_label AS VARCHAR) FROM c
+  UNION ALL SELECT 'topic_id', CAST(topic_id AS VARCHAR) FROM c
+  UNION ALL SELECT 'video_id', CAST(video_id AS VARCHAR) FROM c) WHERE value IS NOT NULL""")
+def q_facet_values(spark, sf_dir):
+    return explore.facet_values(comments(spark, sf_dir))
+
+
+@register("dashboard_counts", f"""{_C},
+f AS (SELECT * FROM c WHERE sentiment IN ('negative', 'positive') AND emotion_label IN ('anger', 'joy', 'sadness')
+      AND topic_id IN (0, 1, 2, 3, 4, -1) AND coalesce(like_count, 0) >= 20)
+SELECT (SELECT count(*) FROM c) AS total_rows, (SELECT count(*) FROM f) AS filtered_rows,
+       (SELECT count(DISTINCT video_id) FROM f) AS videos, CAST(10 AS BIGINT) AS columns""")
+def q_dashboard_counts(spark, sf_dir):
+    c = comments(spark, sf_dir)
+    return explore.dashboard_counts(c, explore.facet_filter(c, **_FACETS))
+
+
+@register("comment_search", f"""{_C}
+SELECT comment_id, video_id FROM c WHERE regexp_matches(text, '(?i)wor(th|ld)')""")
+def q_comment_search(spark, sf_dir):
+    return explore.search(comments(spark, sf_dir), "wor(th|ld)").select("comment_id", "video_id")
+
+
+@register("comment_search_literal", f"""{_C}
+SELECT comment_id, video_id FROM c WHERE contains(lower(text), 'the, ')""")
+def q_comment_search_literal(spark, sf_dir):
+    return explore.search(comments(spark, sf_dir), "The, ", literal=True).select("comment_id", "video_id")
+
+
+@register("preview100", f"""{_C}
+SELECT comment_id, author, like_count, video_id, sentiment, topic_id FROM c ORDER BY comment_id LIMIT 100""")
+def q_preview100(spark, sf_dir):
+    wanted = ["comment_id", "author", "like_count", "video_id", "sentiment", "topic_id", "not_a_column"]
+    return explore.preview(explore.project_existing(comments(spark, sf_dir), wanted), 100)
+
+
+@register("sentiment_over_time", f"""{_C},
+t AS (SELECT CAST(updated_at AS DATE) AS date, sentiment FROM c WHERE updated_at IS NOT NULL AND sentiment IS NOT NULL)
+SELECT date, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+       count(*) FILTER (WHERE sentiment = 'neutral') AS neutral,
+       count(*) FILTER (WHERE sentiment = 'positive') AS positive FROM t GROUP BY date""")
+def q_sentiment_over_time(spark, sf_dir):
+    return explore.sentiment_over_time(comments(spark, sf_dir))
+
+
+def _summary_sql():
+    cols = ["comment_id", "author", "updated_at", "like_count", "text", "video_id", "language", "sentiment",
+            "emotion_label", "topic_id"]
+    col_rows = " UNION ALL ".join(f"SELECT 'columns' AS section, '{c}' AS key, CAST({i + 1} AS BIGINT) AS value"
+                                  for i, c in enumerate(cols))
+    return f"""{_C},
+d AS (SELECT 'language' AS section, language AS key, count(*) AS value FROM c WHERE language IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'sentiment', sentiment, count(*) FROM c WHERE sentiment IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'emotion', emotion_label, count(*) FROM c WHERE emotion_label IS NOT NULL GROUP BY 2),
+tp AS (SELECT 'topic' AS section, CAST(topic_id AS VARCHAR) AS key, count(*) AS value FROM c GROUP BY topic_id
+       ORDER BY value DESC, topic_id LIMIT 15)
+SELECT 'rows' AS section, 'rows' AS key, count(*) AS value FROM c
+UNION ALL {col_rows}
+UNION ALL SELECT * FROM d UNION ALL SELECT * FROM tp"""
+
+
+@register("corpus_summary", _summary_sql())
+def q_corpus_summary(spark, sf_dir):
+    return explore.corpus_summary(comments(spark, sf_dir))

@@ -49,22 +49,32 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     spark = get_spark("local[8]", shuffle_partitions=8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     bad = 0
     for name in names:
         t0 = time.time()
-        df = QUERIES[name](spark, sf_dir)
-        scols = df.columns
-        srows = [tuple(r) for r in df.collect()]
+        try:
+            df = QUERIES[name](spark, sf_dir)
+            scols = df.columns
+            srows = [tuple(r) for r in df.collect()]
+        except Exception as exc:  # report and go on with the next query
+            bad += 1
+            print(f"{name:28s} ERR {str(exc).splitlines()[0][:300]}")
+            continue
         ts = time.time() - t0
         if name not in ORACLE:
             print(f"{name:28s} rows-only  spark={len(srows)} ({ts:.1f}s)")
             continue
         t0 = time.time()
-        cur = con.execute(ORACLE[name])
+        try:
+            cur = con.execute(ORACLE[name])
+        except Exception as exc:
+            bad += 1
+            print(f"{name:28s} SQL-ERR {str(exc).splitlines()[0][:300]}")
+            continue
         dcols = [d[0] for d in cur.description]
         drows = cur.fetchall()
         td = time.time() - t0
