@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import corpus, explore, retrieval
+from murmur.operators import corpus, evaluate, explore, retrieval, routing
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
@@ -161,14 +161,17 @@ def q_cosine_topk(spark, sf_dir):
             .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
 
 
-def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None):
+def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None, qs=None):
+    qs = questions(spark, sf_dir) if qs is None else qs
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    qvec = qs.join(emb, F.col("qid") == F.col("vec_id")).select("qid", "embedding")
     d = docs(spark, sf_dir)
     if doc_filter is not None:
         d = d.filter(doc_filter)
     text_of = d.select(F.col("doc_id").alias("comment_id"), "text")
-    lex = (retrieval.TfidfIndex(d.select("doc_id", "text")).top_k(questions(spark, sf_dir), 2 * k)
+    lex = (retrieval.TfidfIndex(d.select("doc_id", "text")).top_k(qs, 2 * k)
            .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score"))
-    sem = (retrieval.cosine_top_k(doc_vectors(spark, sf_dir, doc_filter), question_vectors(spark, sf_dir), 2 * k)
+    sem = (retrieval.cosine_top_k(doc_vectors(spark, sf_dir, doc_filter), qvec, 2 * k)
            .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
     # hits are k per question: the text lookup joins a small side to the corpus
     lex = lex.join(text_of, "comment_id")
@@ -425,3 +428,158 @@ UNION ALL SELECT * FROM d UNION ALL SELECT * FROM tp"""
 @register("corpus_summary", _summary_sql())
 def q_corpus_summary(spark, sf_dir):
     return explore.corpus_summary(comments(spark, sf_dir))
+
+
+# --- evidence and evaluation -------------------------------------------------------
+
+def enriched_hits(spark, sf_dir, k=5, alpha=0.7) -> DataFrame:
+    """Hybrid hits with the comment's metadata and its processed text (only
+    the k hits per question are cleaned, after the join)."""
+    hits = hybrid(spark, sf_dir, k, alpha).select(*HYBRID_COLS)
+    meta = comments(spark, sf_dir).select("comment_id", "text", "sentiment", "emotion_label", "topic_id",
+                                          "video_id", "author", "like_count")
+    joined = hits.join(meta, "comment_id")
+    return corpus.clean(joined).withColumnRenamed("clean_text", "processed_text")
+
+
+_HY = f"({O.hybrid_sql(5, 0.7)})"
+_ENRICHED = f"""{_C},
+eh AS (SELECT h.*, c.text, c.sentiment, c.emotion_label, c.topic_id, c.video_id, c.author, c.like_count
+       FROM {_HY} h JOIN c USING (comment_id)),
+{O.clean_ctes("eh", prefix="ec")}"""
+
+
+@register("evidence_listing", f"""{_ENRICHED}
+SELECT qid, rank AS source_no, comment_id, text, video_id, sentiment, topic_id, hybrid_score FROM ec3""")
+def q_evidence_listing(spark, sf_dir):
+    return enriched_hits(spark, sf_dir).select("qid", F.col("rank").alias("source_no"), "comment_id", "text",
+                                               "video_id", "sentiment", "topic_id", "hybrid_score")
+
+
+def _block_sql() -> str:
+    def f(c):
+        return f"coalesce(CAST({c} AS VARCHAR), 'unknown')"
+    return ("concat(chr(10) || 'Source ', CAST(rank AS VARCHAR), chr(10) || 'Comment: ', " + f("text")
+            + ", chr(10) || 'Processed text: ', " + f("clean_text") + ", chr(10) || 'Sentiment: ', " + f("sentiment")
+            + ", chr(10) || 'Emotion: ', " + f("emotion_label") + ", chr(10) || 'Topic ID: ', " + f("topic_id")
+            + ", chr(10) || 'Video ID: ', " + f("video_id") + ", chr(10) || 'Author: ', " + f("author")
+            + ", chr(10) || 'Like count: ', " + f("like_count") + ", chr(10) || 'Retrieval score: ', "
+            + "coalesce(printf('%.6f', hybrid_score), 'unknown'), chr(10))")
+
+
+@register("evidence_context", f"""{_ENRICHED}
+SELECT qid, string_agg({_block_sql()}, chr(10) ORDER BY rank) AS context FROM ec3 GROUP BY qid""")
+def q_evidence_context(spark, sf_dir):
+    return evaluate.evidence_context(enriched_hits(spark, sf_dir))
+
+
+@register("retrieval_quality", f"""
+WITH h AS {_HY},
+a AS (SELECT qid, count(*) AS n, avg(coalesce(hybrid_score, semantic_score, lexical_score, 0.0)) AS av,
+             max(coalesce(hybrid_score, semantic_score, lexical_score, 0.0)) AS mx,
+             min(coalesce(hybrid_score, semantic_score, lexical_score, 0.0)) AS mn FROM h GROUP BY qid)
+SELECT b.item_id AS qid, coalesce(n, 0) AS retrieval_count, coalesce(round(av, 3), 0.0) AS avg_retrieval_score,
+       coalesce(round(mx, 3), 0.0) AS max_retrieval_score, coalesce(round(mn, 3), 0.0) AS min_retrieval_score,
+       CASE WHEN n IS NULL THEN 'poor' WHEN av >= 0.3 THEN 'good' ELSE 'weak' END AS retrieval_quality
+FROM benchmark b LEFT JOIN a ON a.qid = b.item_id""")
+def q_retrieval_quality(spark, sf_dir):
+    return evaluate.retrieval_quality(questions(spark, sf_dir), hybrid(spark, sf_dir, 5, 0.7))
+
+
+@register("retrieval_confidence", f"""
+WITH h AS {_HY},
+a AS (SELECT qid, round(avg(coalesce(hybrid_score, semantic_score, 0.0)), 3) AS confidence FROM h GROUP BY qid)
+SELECT b.item_id AS qid, coalesce(confidence, 0.0) AS confidence FROM benchmark b LEFT JOIN a ON a.qid = b.item_id""")
+def q_retrieval_confidence(spark, sf_dir):
+    return evaluate.confidence(questions(spark, sf_dir), hybrid(spark, sf_dir, 5, 0.7))
+
+
+def qa_pairs(spark, sf_dir) -> DataFrame:
+    """User question -> following assistant answer, per conversation."""
+    conv = table(spark, sf_dir, "conversations")
+    u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+_PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    WHERE u.role = 'user' AND a.role = 'assistant')"""
+_FO, _FL = O.faithfulness("answer", "question")
+
+
+@register("faithfulness", f"""WITH {_PAIRS}
+SELECT conv_id, turn, {_FO} AS faithfulness_overlap, {_FL} AS faithfulness_label FROM pairs""")
+def q_faithfulness(spark, sf_dir):
+    f = evaluate.faithfulness(F.col("answer"), F.col("question"))
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn", f["faithfulness_overlap"].alias("faithfulness_overlap"),
+                                          f["faithfulness_label"].alias("faithfulness_label"))
+
+
+@register("answer_lengths", f"""WITH {_PAIRS}
+SELECT conv_id, turn, CAST(length(answer) AS BIGINT) AS answer_length_chars,
+       {O.word_count("answer")} AS answer_length_words, CAST(length(question) AS BIGINT) AS context_length_chars,
+       {O.word_count("question")} AS context_length_words FROM pairs""")
+def q_answer_lengths(spark, sf_dir):
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn",
+                                          *evaluate.lengths(F.col("answer"), F.col("question")))
+
+
+@register("qa_eval_record", f"""WITH {_PAIRS}
+SELECT conv_id, turn, {O.route("question")} AS route, {_FO} AS faithfulness_overlap, {_FL} AS faithfulness_label,
+       CAST(length(answer) AS BIGINT) AS answer_length_chars, {O.word_count("answer")} AS answer_length_words
+FROM pairs""")
+def q_qa_eval_record(spark, sf_dir):
+    f = evaluate.faithfulness(F.col("answer"), F.col("question"))
+    lens = evaluate.lengths(F.col("answer"), F.col("question"))[:2]
+    return qa_pairs(spark, sf_dir).select(
+        "conv_id", "turn", routing.route(F.col("question")).alias("route"),
+        f["faithfulness_overlap"].alias("faithfulness_overlap"), f["faithfulness_label"].alias("faithfulness_label"),
+        *lens)
+
+
+# --- routing -------------------------------------------------------------------------
+
+def user_questions(spark, sf_dir) -> DataFrame:
+    return (table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+            .select("conv_id", "turn", "text"))
+
+
+_UQ = "uq AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
+
+
+@register("route_questions", f"""WITH {_UQ}
+SELECT conv_id, turn, {O.route("text")} AS route FROM uq""")
+def q_route_questions(spark, sf_dir):
+    return user_questions(spark, sf_dir).select("conv_id", "turn", routing.route(F.col("text")).alias("route"))
+
+
+@register("route_distribution", f"""WITH {_UQ}, r AS (SELECT {O.route("text")} AS route FROM uq)
+SELECT route, count(*) AS n FROM r GROUP BY route ORDER BY n DESC, route""")
+def q_route_distribution(spark, sf_dir):
+    r = user_questions(spark, sf_dir).select(routing.route(F.col("text")).alias("route"))
+    return explore.distribution(r, "route")
+
+
+@register("latency_by_route", f"""WITH {_UQ},
+r AS (SELECT conv_id, {O.route("text")} AS route FROM uq),
+l AS (SELECT r.route, e.value AS total_latency_sec FROM r JOIN events e ON e.event_id = r.conv_id)
+SELECT route, count(*) AS n, round(avg(total_latency_sec), 6) AS avg_latency_sec,
+       max(total_latency_sec) AS max_latency_sec, min(total_latency_sec) AS min_latency_sec FROM l GROUP BY route""")
+def q_latency_by_route(spark, sf_dir):
+    r = user_questions(spark, sf_dir).select("conv_id", routing.route(F.col("text")).alias("route"))
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"),
+                                               F.col("value").alias("total_latency_sec"))
+    return (r.join(ev, "conv_id").groupBy("route")
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total_latency_sec"), 6).alias("avg_latency_sec"),
+                 F.max("total_latency_sec").alias("max_latency_sec"),
+                 F.min("total_latency_sec").alias("min_latency_sec")))
+
+
+@register("route_normalise", """
+SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('sentiment_agent', 'topic_agent', 'rag_agent', 'summary_agent',
+  'metadata_agent', 'evaluation_agent') THEN lower(trim(role)) ELSE 'rag_agent' END AS route FROM conversations""")
+def q_route_normalise(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", routing.normalise_route(F.col("role")).alias("route"))

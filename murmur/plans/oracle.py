@@ -4,8 +4,9 @@ difference in results points at a difference in semantics, not in data."""
 
 from __future__ import annotations
 
-from murmur.functions.text import CLEAN_STEPS, EMOJI_GUARD, TOKEN_PATTERN
-from murmur.resources.words import (EMOJI_NAMES, LANGUAGE_PROFILES, LEMMA_PAIRS,
+from murmur.functions.text import CLEAN_STEPS, EMOJI_GUARD, TOKEN_PATTERN, WS
+from murmur.operators.evaluate import STRIP_CHARS, SUPPORTED
+from murmur.resources.words import (EMOJI_NAMES, LANGUAGE_PROFILES, LEMMA_PAIRS, ROUTE_RULES,
                                     SECURITY_KEEP_PATTERN, STOPWORDS_EN)
 
 
@@ -122,12 +123,13 @@ VEC_CORPUS = "(SELECT d.doc_id AS id, e.embedding FROM embeddings e JOIN documen
 VEC_QUESTIONS = "(SELECT b.item_id AS qid, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
 
 
-def hybrid_sql(k: int, alpha: float, doc_filter: str = "TRUE") -> str:
+def hybrid_sql(k: int, alpha: float, doc_filter: str = "TRUE", questions: str = QUESTIONS,
+               vquestions: str = VEC_QUESTIONS) -> str:
     corpus = f"(SELECT doc_id AS id, text FROM documents WHERE {doc_filter})"
     vcorpus = ("(SELECT d.doc_id AS id, e.embedding FROM embeddings e JOIN documents d "
                f"ON e.vec_id = d.doc_id WHERE {doc_filter})")
-    return f"""WITH {tfidf_ctes(corpus, QUESTIONS)},
-{cosine_ctes(vcorpus, VEC_QUESTIONS)},
+    return f"""WITH {tfidf_ctes(corpus, questions)},
+{cosine_ctes(vcorpus, vquestions)},
 lex AS (SELECT r.qid, r.id, d.text, r.lexical_score FROM {ranked('lx_sc', 'qid', 'lexical_score', 'id', 2 * k)} r
         JOIN documents d ON d.doc_id = r.id),
 sem AS (SELECT r.qid, r.id, d.text, r.semantic_score FROM {ranked('sm_sc', 'qid', 'semantic_score', 'id', 2 * k)} r
@@ -169,3 +171,27 @@ def gazetteer_select(table) -> str:
     keep = "best[i] > 0 AND NOT ((i > 1 AND best[i - 1] >= 2) OR (i > 2 AND best[i - 2] >= 3))"
     return (f"list_transform(list_filter(range(1, len(toks) + 1), lambda i: {keep}), "
             f"lambda i: {{'text': {phrase}, 'label': {label}}})")
+
+
+def terms(expr: str) -> str:
+    words = f"regexp_split_to_array(lower(coalesce({expr}, '')), {q('[' + WS + ']+')})"
+    return (f"list_distinct(list_filter(list_transform({words}, lambda w: trim(w, {q(STRIP_CHARS)})), "
+            f"lambda w: length(w) > 3))")
+
+
+def faithfulness(answer: str, source: str) -> tuple[str, str]:
+    a, s = terms(answer), terms(source)
+    ratio = f"(CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {s})) / len({a}) END)"
+    return (f"round({ratio}, 3)",
+            f"CASE WHEN {ratio} >= {SUPPORTED} THEN 'supported' ELSE 'weakly_supported' END")
+
+
+def word_count(expr: str) -> str:
+    return (f"CAST(len(list_filter(regexp_split_to_array(coalesce({expr}, ''), {q('[' + WS + ']+')}), "
+            f"lambda w: w <> '')) AS BIGINT)")
+
+
+def route(expr: str) -> str:
+    low = f"lower(coalesce({expr}, ''))"
+    whens = " ".join(f"WHEN regexp_matches({low}, {q(p)}) THEN {q(n)}" for n, p in ROUTE_RULES)
+    return f"(CASE {whens} ELSE 'rag_agent' END)"
