@@ -99,8 +99,8 @@ def join_words(arr: Column) -> Column:
 def guard_model_input(c: Column, limit: int = 512) -> Column:
     """Model-input guard: null for blank text (caller substitutes the default
     label), else the first ``limit`` characters."""
-    return F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) == 0, F.lit(None)) \
-            .otherwise(F.substring(c, 1, limit))
+    blank = F.regexp_replace(F.coalesce(c, F.lit("")), "^[" + WS + "]+|[" + WS + "]+$", "") == ""
+    return F.when(blank, F.lit(None).cast("string")).otherwise(F.substring(c, 1, limit))
 
 
 def sentiment_label(label: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import corpus, evaluate, explore, retrieval, routing
+from murmur.operators import corpus, evaluate, explore, labels, retrieval, routing
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
@@ -583,3 +583,81 @@ SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('sentiment_agent', 'topic_
 def q_route_normalise(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     return conv.select("conv_id", "turn", routing.normalise_route(F.col("role")).alias("route"))
+
+
+# --- labels ----------------------------------------------------------------------------
+
+def model_input(spark, sf_dir) -> DataFrame:
+    return labels.with_model_input(clean_docs(spark, sf_dir), "clean_text")
+
+
+_MI = f"""{_CLEAN_DOCS},
+mi0 AS (SELECT doc_id, clean_text, {O.guard("clean_text")} AS g FROM cl3),
+mi AS (SELECT *, {O.tokens("g")} AS toks FROM mi0)"""
+_PL, _PS = O.polarity("g", "toks")
+_EL, _ES = O.emotion("g", "toks")
+_IL, _IS = O.irony("g", "toks")
+
+
+@register("polarity_sentiment", f"""WITH {_MI}
+SELECT doc_id, {_PL} AS sentiment, {_PS} AS sentiment_score FROM mi""")
+def q_polarity_sentiment(spark, sf_dir):
+    p = labels.polarity(F.col("_g"), F.col("_t"))
+    return model_input(spark, sf_dir).select("doc_id", p["sentiment"].alias("sentiment"),
+                                             p["sentiment_score"].alias("sentiment_score"))
+
+
+@register("emotion_lexicon", f"""WITH {_MI}
+SELECT doc_id, {_EL} AS emotion_label, {_ES} AS emotion_score FROM mi""")
+def q_emotion_lexicon(spark, sf_dir):
+    e = labels.emotion(F.col("_g"), F.col("_t"))
+    return model_input(spark, sf_dir).select("doc_id", e["emotion_label"].alias("emotion_label"),
+                                             e["emotion_score"].alias("emotion_score"))
+
+
+@register("enrichment_stage", f"""WITH {_MI}
+SELECT doc_id, {_PL} AS sentiment, {_PS} AS sentiment_score, {_IL} AS irony_label, {_IS} AS irony_score,
+       {_EL} AS emotion_label, {_ES} AS emotion_score,
+       regexp_extract_all(clean_text, {O.q(E.CVE_PATTERN)}) AS cves,
+       regexp_extract_all(clean_text, {O.q(E.IP_PATTERN)}) AS ips,
+       regexp_extract_all(clean_text, {O.q(E.HASH_PATTERN)}) AS hashes,
+       {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM mi""")
+def q_enrichment_stage(spark, sf_dir):
+    terms = lexicon.lexicon_terms(spark)
+    return enrich(model_input(spark, sf_dir), terms).select(
+        "doc_id", "sentiment", "sentiment_score", "irony_label", "irony_score", "emotion_label", "emotion_score",
+        "cves", "ips", "hashes", "cyber_keywords")
+
+
+def enrich(df: DataFrame, terms: list[str]) -> DataFrame:
+    """One projection adding sentiment, irony, emotion and entity columns."""
+    g, t, c = F.col("_g"), F.col("_t"), F.col("clean_text")
+    p, i, e = labels.polarity(g, t), labels.irony(g, t), labels.emotion(g, t)
+    ents = E.regex_entities(c)
+    return df.select(
+        "*", p["sentiment"].alias("sentiment"), p["sentiment_score"].alias("sentiment_score"),
+        i["irony_label"].alias("irony_label"), i["irony_score"].alias("irony_score"),
+        e["emotion_label"].alias("emotion_label"), e["emotion_score"].alias("emotion_score"),
+        ents["cves"].alias("cves"), ents["ips"].alias("ips"), ents["hashes"].alias("hashes"),
+        E.keywords(c, terms).alias("cyber_keywords")).drop("_g", "_t")
+
+
+@register("batch_model_scores", f"""WITH {_CLEAN_DOCS},
+g AS (SELECT doc_id, {O.guard("clean_text")} AS g FROM cl3)
+SELECT doc_id, CASE WHEN g IS NULL THEN 'neutral' WHEN length(g) % 2 = 0 THEN 'positive' ELSE 'negative' END
+         AS prediction_label,
+       CASE WHEN g IS NULL THEN 0.0 ELSE round((length(g) % 97) / 97.0, 6) END AS prediction_score FROM g""")
+def q_batch_model_scores(spark, sf_dir):
+    scored = labels.batch_score(clean_docs(spark, sf_dir), "clean_text", labels.toy_sentiment_model,
+                                label_map=labels.map_sentiment)
+    return scored.select("doc_id", "prediction_label", "prediction_score")
+
+
+@register("classifier_scores")
+def q_classifier_scores(spark, sf_dir):
+    """Quality classifier trained on the labelled documents, scoring every
+    document (rows-only check; accuracy is tested in pytest)."""
+    d = clean_docs(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    model = labels.classifier_pipeline("clean_text", "label").fit(d.join(lab, "doc_id"))
+    return labels.classify(model, d).select("doc_id", "prediction_label", "prediction_score")

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from murmur.functions.text import CLEAN_STEPS, EMOJI_GUARD, TOKEN_PATTERN, WS
 from murmur.operators.evaluate import STRIP_CHARS, SUPPORTED
-from murmur.resources.words import (EMOJI_NAMES, LANGUAGE_PROFILES, LEMMA_PAIRS, ROUTE_RULES,
-                                    SECURITY_KEEP_PATTERN, STOPWORDS_EN)
+from murmur.resources.words import (EMOJI_NAMES, EMOTION_WORDS, IRONY_CUES, LANGUAGE_PROFILES,
+                                    LEMMA_PAIRS, POLARITY, ROUTE_RULES, SECURITY_KEEP_PATTERN,
+                                    STOPWORDS_EN)
 
 
 def q(s: str) -> str:
@@ -195,3 +196,36 @@ def route(expr: str) -> str:
     low = f"lower(coalesce({expr}, ''))"
     whens = " ".join(f"WHEN regexp_matches({low}, {q(p)}) THEN {q(n)}" for n, p in ROUTE_RULES)
     return f"(CASE {whens} ELSE 'rag_agent' END)"
+
+
+def guard(expr: str) -> str:
+    blank = f"regexp_replace(coalesce({expr}, ''), {q('^[' + WS + ']+|[' + WS + ']+$')}, '', 'g') = ''"
+    return f"(CASE WHEN {blank} THEN NULL ELSE substr({expr}, 1, 512) END)"
+
+
+def polarity(g: str, toks: str) -> tuple[str, str]:
+    w = "CASE t " + " ".join(f"WHEN {q(a)} THEN {b}" for a, b in POLARITY) + " ELSE 0.0 END"
+    mean = (f"(CASE WHEN len({toks}) > 0 THEN list_sum(list_transform({toks}, lambda t: CAST({w} AS DOUBLE)))"
+            f" / len({toks}) ELSE 0.0 END)")
+    label = (f"CASE WHEN {g} IS NULL THEN 'neutral' WHEN {mean} > 0 THEN 'positive' WHEN {mean} < 0 THEN 'negative'"
+             f" ELSE 'neutral' END")
+    score = f"CASE WHEN {g} IS NULL THEN 0.0 ELSE round(least(abs({mean}) * 10, 1.0), 6) END"
+    return label, score
+
+
+def emotion(g: str, toks: str) -> tuple[str, str]:
+    labs = sorted(EMOTION_WORDS)
+    cnt = {lab: f"len(list_filter({toks}, lambda t: t IN {in_list(EMOTION_WORDS[lab])}))" for lab in labs}
+    best = "greatest(" + ", ".join(cnt[x] for x in labs) + ")"
+    total = "(" + " + ".join(cnt[x] for x in labs) + ")"
+    whens = " ".join(f"WHEN {cnt[x]} = {best} THEN {q(x)}" for x in labs)
+    label = f"CASE WHEN {g} IS NULL OR {best} = 0 THEN 'neutral' {whens} END"
+    score = f"CASE WHEN {g} IS NULL OR {best} = 0 THEN 0.0 ELSE round({best} / {total}, 6) END"
+    return label, score
+
+
+def irony(g: str, toks: str) -> tuple[str, str]:
+    c = f"len(list_filter({toks}, lambda t: t IN {in_list(IRONY_CUES)}))"
+    label = f"CASE WHEN {g} IS NOT NULL AND {c} >= 2 THEN 'irony' ELSE 'non_irony' END"
+    score = f"CASE WHEN {g} IS NULL THEN 0.0 ELSE round({c} / ({c} + 2.0), 6) END"
+    return label, score
