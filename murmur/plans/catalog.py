@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import corpus, evaluate, explore, labels, retrieval, routing
+from murmur.operators import corpus, evaluate, explore, labels, retrieval, routing, topics, vectors
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
-from murmur.sources import lexicon
+from murmur.sources import lexicon, stages
 from murmur.sources.tables import COMMENTS_SQL, comments, spread, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -661,3 +661,55 @@ def q_classifier_scores(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     model = labels.classifier_pipeline("clean_text", "label").fit(d.join(lab, "doc_id"))
     return labels.classify(model, d).select("doc_id", "prediction_label", "prediction_score")
+
+
+# --- topics, vectors --------------------------------------------------------------------
+
+@register("topic_clusters")
+def q_topic_clusters(spark, sf_dir):
+    """k-means topics over the document vectors (rows-only: cluster ids are a
+    model output; invariants are tested in pytest)."""
+    return topics.cluster(doc_vectors(spark, sf_dir), k=10, min_topic_size=10).select("doc_id", "topic_id")
+
+
+@register("topic_info")
+def q_topic_info(spark, sf_dir):
+    return topics.topic_info(topics.cluster(doc_vectors(spark, sf_dir), k=10, min_topic_size=10))
+
+
+@register("topics_per_sentiment")
+def q_topics_per_sentiment(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    c = comments(spark, sf_dir).select("comment_id", "sentiment")
+    rows = c.join(emb, F.col("comment_id") == F.col("vec_id")).select("comment_id", "sentiment", "embedding")
+    assigned, _ = topics.per_group_topics(rows, "sentiment", min_topic_size=5, k=4, id_col="comment_id")
+    return assigned.select("comment_id", "sentiment", "sentiment_topic_id")
+
+
+@register("topic_words", f"""
+WITH t AS (SELECT e.label AS topic_id, unnest(regexp_extract_all(lower(d.text), {O.q(O.LEX_SQL_PATTERN)})) AS word
+           FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+tf AS (SELECT topic_id, word, count(*) AS tf FROM t GROUP BY ALL),
+ft AS (SELECT word, sum(tf) AS ft FROM tf GROUP BY word),
+a AS (SELECT avg(n) AS A FROM (SELECT topic_id, sum(tf) AS n FROM tf GROUP BY topic_id)),
+s AS (SELECT topic_id, word, round(tf * ln(1 + A / ft), 6) AS weight FROM tf JOIN ft USING (word), a)
+SELECT topic_id, word, weight, rank FROM {O.ranked('s', 'topic_id', 'weight', 'word', 10)}""")
+def q_topic_words(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("topic_id"))
+    d = docs(spark, sf_dir).join(emb, F.col("vec_id") == F.col("doc_id"))
+    toks = d.select("topic_id", retrieval.lex_terms(F.col("text")).alias("tokens"))
+    return topics.ctfidf_words(toks, "topic_id", "tokens", 10)
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    """Preprocess -> hashed, normalised vectors -> vector table written as a
+    stage and read back (the vector store)."""
+    rows, _, _ = corpus.preprocess(docs(spark, sf_dir))
+    vt = vectors.vector_table(vectors.embed(rows, "final_tokens", 256), "doc_id", "final_text")
+    return stages.stage(vt, "vector_store")
+
+
+@register("lsh_topk")
+def q_lsh_topk(spark, sf_dir):
+    return vectors.lsh_top_k(doc_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 5)
