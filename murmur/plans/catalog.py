@@ -17,7 +17,7 @@ from murmur.operators import corpus, evaluate, explore, labels, retrieval, routi
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
-from murmur.sources import lexicon, stages
+from murmur.sources import files, lexicon, stages
 from murmur.sources.tables import COMMENTS_SQL, comments, spread, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -713,3 +713,60 @@ def q_embed_text(spark, sf_dir):
 @register("lsh_topk")
 def q_lsh_topk(spark, sf_dir):
     return vectors.lsh_top_k(doc_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 5)
+
+
+# --- sources and sinks --------------------------------------------------------------------
+
+@register("csv_roundtrip", f"""{_C}
+SELECT author, CAST(like_count AS BIGINT) AS like_count, text, video_id FROM c""")
+def q_csv_roundtrip(spark, sf_dir):
+    """Comments written as quoted CSV (multi-line texts) and read back."""
+    c = comments(spark, sf_dir).select("author", F.lit(None).cast("string").alias("updated_at"), "like_count",
+                                       "text", "video_id", F.lit(True).alias("public"))
+    path = stages.stage_path(spark, "comments_csv")
+    files.write_comment_csv(c, path)
+    return files.read_comment_csv(spark, path).select("author", "like_count", "text", "video_id")
+
+
+@register("thread_flatten", """
+SELECT role AS author, CAST(conv_id AS VARCHAR) AS updated_at, turn AS like_count, text,
+       'conv' || CAST(conv_id AS VARCHAR) AS video_id, role = 'user' AS public FROM conversations""")
+def q_thread_flatten(spark, sf_dir):
+    """Conversations landed as nested comment-thread pages (JSON, at most 100
+    items per page) and flattened back."""
+    conv = table(spark, sf_dir, "conversations")
+    item = F.struct(F.struct(
+        (F.col("role") == "user").alias("isPublic"),
+        F.struct(F.struct(F.col("role").alias("authorDisplayName"),
+                          F.col("conv_id").cast("string").alias("publishedAt"),
+                          F.col("turn").alias("likeCount"), F.col("text").alias("textOriginal"),
+                          F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("videoId"))
+                 .alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    page = F.floor(F.col("turn") / 100)
+    pages = (conv.select("conv_id", page.alias("page"), "turn", item.alias("it"))
+             .groupBy("conv_id", "page")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "it"))), lambda x: x["it"]).alias("items"))
+             .select("items", F.lit(None).cast("string").alias("nextPageToken")))
+    path = stages.stage_path(spark, "thread_pages")
+    pages.write.mode("overwrite").json(path)
+    return files.read_thread_pages(spark, path)
+
+
+@register("source_union", """
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, source FROM documents""")
+def q_source_union(spark, sf_dir):
+    """Documents written partitioned by source, read back as one multi-path
+    read of the per-source folders."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    path = stages.write_stage(d, stages.stage_path(spark, "by_source"), ["source"])
+    values = [r["source"] for r in d.select("source").distinct().collect()]   # one row per source
+    return files.read_sources(spark, path, "source", values).select("doc_id", "n_chars", "source")
+
+
+@register("stage_roundtrip", f"""{_C}
+SELECT comment_id, sentiment, topic_id, like_count FROM c""")
+def q_stage_roundtrip(spark, sf_dir):
+    """Typed stage written partitioned by sentiment and read back (in = out)."""
+    c = comments(spark, sf_dir).select("comment_id", "sentiment", "topic_id", "like_count")
+    return stages.stage(c, "comments_by_sentiment", ["sentiment"]).select(
+        "comment_id", "sentiment", "topic_id", "like_count")
