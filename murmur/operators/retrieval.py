@@ -196,3 +196,22 @@ def hybrid_merge(sem: DataFrame, lex: DataFrame, k: int = 5, alpha: float = 0.7,
         F.round(F.lit(alpha) * F.col("semantic_score") + F.lit(1.0 - alpha) * F.col("lexical_score"),
                 LEX_DIGITS))
     return top_k(merged, k, qid, "hybrid_score", id_col)
+
+
+def hybrid_search(corpus_text: DataFrame, corpus_vecs: DataFrame, questions: DataFrame,
+                  question_vecs: DataFrame, k: int = 5, alpha: float = 0.7,
+                  index: TfidfIndex | None = None) -> DataFrame:
+    """Hybrid top-k for a table of questions.
+
+    corpus_text (comment_id, text), corpus_vecs (comment_id, embedding),
+    questions (qid, text), question_vecs (qid, embedding).  Each side returns
+    2k hits per question, the hits get their text by a join of the small hit
+    table to the corpus, then they are merged on the text.
+    """
+    index = index or TfidfIndex(corpus_text.withColumnRenamed("comment_id", "doc_id"), "doc_id", "text")
+    lex = index.top_k(questions, 2 * k).select("qid", F.col("doc_id").alias("comment_id"), "lexical_score")
+    sem = (cosine_top_k(corpus_vecs.withColumnRenamed("comment_id", "doc_id"), question_vecs, 2 * k)
+           .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
+    lex = lex.join(corpus_text, "comment_id")
+    sem = sem.join(corpus_text, "comment_id")
+    return hybrid_merge(sem, lex, k, alpha)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
 from murmur.operators import corpus, evaluate, explore, labels, retrieval, routing, topics, vectors
+from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
@@ -169,14 +170,8 @@ def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None, qs=None):
     if doc_filter is not None:
         d = d.filter(doc_filter)
     text_of = d.select(F.col("doc_id").alias("comment_id"), "text")
-    lex = (retrieval.TfidfIndex(d.select("doc_id", "text")).top_k(qs, 2 * k)
-           .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score"))
-    sem = (retrieval.cosine_top_k(doc_vectors(spark, sf_dir, doc_filter), qvec, 2 * k)
-           .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
-    # hits are k per question: the text lookup joins a small side to the corpus
-    lex = lex.join(text_of, "comment_id")
-    sem = sem.join(text_of, "comment_id")
-    return retrieval.hybrid_merge(sem, lex, k, alpha)
+    vecs = doc_vectors(spark, sf_dir, doc_filter).withColumnRenamed("doc_id", "comment_id")
+    return retrieval.hybrid_search(text_of, vecs, qs, qvec, k, alpha)
 
 
 HYBRID_COLS = ["qid", "comment_id", "semantic_score", "lexical_score", "hybrid_score", "rank"]
@@ -770,3 +765,48 @@ def q_stage_roundtrip(spark, sf_dir):
     c = comments(spark, sf_dir).select("comment_id", "sentiment", "topic_id", "like_count")
     return stages.stage(c, "comments_by_sentiment", ["sentiment"]).select(
         "comment_id", "sentiment", "topic_id", "like_count")
+
+
+# --- routing dispatch and the answer log ---------------------------------------------------
+
+def _dispatch_sql() -> str:
+    rq = f"(SELECT item_id AS qid, text, {O.route('text')} AS route FROM benchmark)"
+    parts = []
+    for r, k in ask.RETRIEVAL_K.items():
+        qs = f"(SELECT qid, text FROM {rq} WHERE route = '{r}')"
+        vq = (f"(SELECT q.qid, e.embedding FROM {qs} q JOIN embeddings e ON e.vec_id = q.qid)")
+        parts.append(f"SELECT qid, hybrid_score FROM ({O.hybrid_sql(k, 0.7, questions=qs, vquestions=vq)})")
+    hits = " UNION ALL ".join(parts)
+    return f"""WITH rq AS {rq}, h AS ({hits}),
+a AS (SELECT qid, count(*) AS n, round(avg(hybrid_score), 3) AS confidence FROM h GROUP BY qid)
+SELECT rq.qid, rq.route, coalesce(a.n, 0) AS evidence_count, coalesce(a.confidence, 0.0) AS confidence
+FROM rq LEFT JOIN a USING (qid)"""
+
+
+@register("route_dispatch", _dispatch_sql())
+def q_route_dispatch(spark, sf_dir):
+    qs = questions(spark, sf_dir)
+    routed = qs.withColumn("route", routing.route(F.col("text")))
+    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q))
+    counts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"),
+                                     F.round(F.avg("hybrid_score"), 3).alias("confidence"))
+    return routed.join(counts, "qid", "left").select(
+        "qid", "route", F.coalesce("n", F.lit(0)).cast("bigint").alias("evidence_count"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+@register("qa_log")
+def q_qa_log(spark, sf_dir):
+    """Answer log for the benchmark questions (answers: the conversation
+    reply with the same id, where there is one), written append-only by route
+    and read back."""
+    qs = questions(spark, sf_dir)
+    routed = qs.withColumn("route", routing.route(F.col("text")))
+    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q))
+    answers = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+               .groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("answer")))
+    text_of = docs(spark, sf_dir).select(F.col("doc_id").alias("comment_id"), "text")
+    log = ask.answer_log(qs, hits, answers, comments(spark, sf_dir), text_of)
+    path = stages.stage_path(spark, "qa_log")
+    ask.append_log(log, path)
+    return spark.read.parquet(path)
