@@ -74,6 +74,10 @@ def context_block(rank: str = "rank") -> Column:
 def evidence_context(hits: DataFrame, qid: str = "qid", rank: str = "rank") -> DataFrame:
     """Per question, the blocks in rank order joined by a newline.  The hits
     are k rows per question, so one task per question group stays small."""
+    for c in ("text", "processed_text", "sentiment", "emotion_label", "topic_id", "video_id", "author",
+              "like_count", "hybrid_score"):
+        if c not in hits.columns:          # absent metadata reads as unknown
+            hits = hits.withColumn(c, F.lit(None).cast("string" if c != "hybrid_score" else "double"))
     blocks = hits.select(qid, F.struct(F.col(rank).alias("r"), context_block(rank).alias("b")).alias("rb"))
     return (blocks.groupBy(qid).agg(F.array_sort(F.collect_list("rb")).alias("_l"))
                   .select(qid, F.array_join(F.transform("_l", lambda x: x["b"]), "\n").alias("context")))
