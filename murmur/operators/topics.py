@@ -14,12 +14,16 @@ from pyspark.sql import types as T
 
 
 def cluster(df: DataFrame, vec_col: str = "embedding", k: int = 10, seed: int = 42,
-            min_topic_size: int = 10, id_col: str = "doc_id", out: str = "topic_id") -> DataFrame:
+            min_topic_size: int = 10, id_col: str = "doc_id", out: str = "topic_id",
+            model_path: str | None = None) -> DataFrame:
     """Fit k-means (distributed, fixed seed) and label each row with its
     topic: clusters are renumbered by size (0 = largest, ties by cluster id)
-    and clusters below ``min_topic_size`` become -1."""
+    and clusters below ``min_topic_size`` become -1.  ``model_path`` saves
+    the fitted model."""
     feats = df.withColumn("_v", array_to_vector(F.col(vec_col)))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c", maxIter=30).fit(feats)
+    if model_path:
+        model.write().overwrite().save(model_path)
     assigned = model.transform(feats).drop("_v")
     sizes = assigned.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
     # at most k rows: one small task orders them
@@ -36,6 +40,29 @@ def topic_info(assigned: DataFrame, topic_col: str = "topic_id") -> DataFrame:
                     .orderBy(topic_col))
 
 
+def topic_details(assigned: DataFrame, words: DataFrame, topic_col: str = "topic_id", id_col: str = "doc_id",
+                  vec_col: str = "embedding", text_col: str = "text", n_docs: int = 3) -> DataFrame:
+    """Topic info with name (``id_word1_word2_word3_word4``), top words and
+    the documents nearest to the topic centroid (top n by inner product)."""
+    sums = assigned.groupBy(topic_col).agg(F.count(F.lit(1)).alias("count"))
+    centroid = (assigned.select(topic_col, F.posexplode(vec_col).alias("_i", "_x"))
+                        .groupBy(topic_col, "_i").agg(F.avg("_x").alias("_m"))
+                        .groupBy(topic_col).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
+                        .select(topic_col, F.transform("_c", lambda x: x["_m"]).alias("_centroid")))
+    near = (assigned.join(F.broadcast(centroid), topic_col)
+                    .withColumn("_s", F.aggregate(F.zip_with(vec_col, "_centroid", lambda a, b: a * b),
+                                                  F.lit(0.0), lambda acc, x: acc + x)))
+    w = Window.partitionBy(topic_col).orderBy(F.col("_s").desc(), F.col(id_col))
+    reps = (near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_docs)
+                .groupBy(topic_col).agg(F.array_sort(F.collect_list(F.struct("_r", text_col))).alias("_d"))
+                .select(topic_col, F.transform("_d", lambda x: x[text_col]).alias("representative_docs")))
+    top = (words.groupBy(topic_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_w"))
+                .select(topic_col, F.transform("_w", lambda x: x["word"]).alias("representation")))
+    name = F.concat_ws("_", F.col(topic_col).cast("string"), F.slice("representation", 1, 4))
+    return (sums.join(top, topic_col, "left").join(reps, topic_col, "left")
+                .withColumn("name", name))
+
+
 def ctfidf_words(tokens: DataFrame, topic_col: str = "topic_id", token_col: str = "tokens",
                  top_n: int = 10) -> DataFrame:
     """Class-based TF-IDF: W(t, c) = tf(t, c) * ln(1 + A / f(t)), A = mean

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from murmur.functions import entities as E
 from murmur.operators import corpus, explore, labels, topics, vectors
 from murmur.sources import lexicon
-from murmur.sources.stages import read_stage, write_stage
+from murmur.sources.stages import read_stage, write_stage, write_word_list
 
 
 def _done(spark: SparkSession, path: str) -> bool:
@@ -36,7 +36,9 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
     terms = lexicon.lexicon_terms(spark, lexicon_path)
     processed = staged(spark, root, "processed", lambda: corpus.prepare(raw))
     freq = staged(spark, root, "word_frequency", lambda: corpus.rank_words(corpus.word_frequency(processed)))
-    stop = [r["word"] for r in freq.filter(F.col("rank") <= top_n).select("word").collect()]
+    stop_df = freq.filter(F.col("rank") <= top_n).select("word")
+    stop = [r["word"] for r in stop_df.collect()]           # bounded by top_n
+    write_word_list(stop_df, os.path.join(root, "zipf_stopwords"))
     final = staged(spark, root, "final", lambda: corpus.with_final_tokens(processed, stop))
 
     def with_entities():
@@ -59,9 +61,13 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
     embedded = staged(spark, root, "embedded", lambda: vectors.embed(labelled, "final_tokens"))
     analysed = staged(spark, root, "final_analysis",
                       lambda: topics.cluster(embedded, "embedding", k=k, min_topic_size=min_topic_size,
-                                             id_col="comment_id"))
+                                             id_col="comment_id", model_path=os.path.join(root, "topic_model")))
+    by_sentiment = staged(spark, root, "topics_by_sentiment",
+                          lambda: topics.per_group_topics(embedded, "sentiment", min_topic_size=5, k=max(2, k // 2),
+                                                          id_col="comment_id")[0],
+                          partition_by=["sentiment"])
     store = staged(spark, root, "vector_store",
                    lambda: vectors.vector_table(analysed, "comment_id", "final_text"))
     summary = staged(spark, root, "summary", lambda: explore.corpus_summary(analysed.drop("embedding")))
     return {"processed": processed, "word_frequency": freq, "final": final, "entities": ner,
-            "labelled": labelled, "final_analysis": analysed, "vector_store": store, "summary": summary}
+            "labelled": labelled, "final_analysis": analysed, "topics_by_sentiment": by_sentiment, "vector_store": store, "summary": summary}

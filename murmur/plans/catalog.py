@@ -810,3 +810,13 @@ def q_qa_log(spark, sf_dir):
     path = stages.stage_path(spark, "qa_log")
     ask.append_log(log, path)
     return spark.read.parquet(path)
+
+
+@register("topic_details")
+def q_topic_details(spark, sf_dir):
+    """Topic info with name, c-TF-IDF words and representative documents."""
+    d = docs(spark, sf_dir)
+    vecs = doc_vectors(spark, sf_dir).join(d.select("doc_id", "text"), "doc_id")
+    assigned = topics.cluster(vecs, k=10, min_topic_size=10)
+    toks = assigned.select("topic_id", retrieval.lex_terms(F.col("text")).alias("tokens"))
+    return topics.topic_details(assigned, topics.ctfidf_words(toks, "topic_id", "tokens", 10))

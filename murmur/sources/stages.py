@@ -31,3 +31,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Write ``df`` as a stage table and continue from the written copy."""
     spark = df.sparkSession
     return read_stage(spark, write_stage(df, stage_path(spark, name), partition_by))
+
+
+def write_word_list(words: DataFrame, path: str, col: str = "word") -> None:
+    """A small word list (e.g. the top-n stopwords) as one sorted text file."""
+    words.select(col).orderBy(col).coalesce(1).write.mode("overwrite").text(path)
