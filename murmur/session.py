@@ -8,6 +8,7 @@ missing, which is the case in local tests.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,14 +42,32 @@ def get_spark(master: str | None = None, app: str = "murmur",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply defaults that are not set yet and make sure a checkpoint dir exists."""
+    """Apply defaults that are not set yet, make sure a checkpoint dir exists
+    and that Python workers can import this package."""
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once per application (what
+    ``--py-files`` does), so Arrow-batch functions can be unpickled there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="murmur-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "murmur"), "zip", os.path.dirname(pkg), "murmur")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
