@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,9 @@ class TfidfIndex:
                  persist: bool = True):
         self.id_col = id_col
         tf = _term_counts(corpus, id_col, text_col)
+        if persist:
+            # read twice (document frequencies, then weights): tokenise once
+            tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
         n = corpus.count()
         self.idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                       .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")))

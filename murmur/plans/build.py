@@ -44,9 +44,10 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
     def with_entities():
         c = F.col("clean_text")
         ents = E.regex_entities(c)
-        kw = E.keywords(c, terms)
-        return final.select("*", ents.alias("regex_entities"), kw.alias("cyber_keywords"),
-                            E.all_terms(ents, kw).alias("all_extracted_terms"))
+        kw = E.keywords(F.col("_lc"), terms, lowered=True)
+        return (E.with_lower(final).select("*", ents.alias("regex_entities"), kw.alias("cyber_keywords"))
+                .withColumn("all_extracted_terms", E.all_terms(F.col("regex_entities"), F.col("cyber_keywords")))
+                .drop("_lc"))
     ner = staged(spark, root, "entities", with_entities)
 
     def with_labels():

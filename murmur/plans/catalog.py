@@ -230,7 +230,8 @@ WITH {_CLEAN_DOCS}
 SELECT doc_id, {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM cl3""")
 def q_keyword_hits(spark, sf_dir):
     terms = lexicon.lexicon_terms(spark)
-    return clean_docs(spark, sf_dir).select("doc_id", E.keywords(F.col("clean_text"), terms).alias("cyber_keywords"))
+    d = E.with_lower(clean_docs(spark, sf_dir))
+    return d.select("doc_id", E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords"))
 
 
 @register("keyword_counts", f"""
@@ -239,7 +240,8 @@ kw AS (SELECT unnest({O.keywords("clean_text", _TERMS)}) AS term FROM cl3)
 SELECT term, count(*) AS n FROM kw GROUP BY term""")
 def q_keyword_counts(spark, sf_dir):
     terms = lexicon.lexicon_terms(spark)
-    kw = clean_docs(spark, sf_dir).select(F.explode_outer(E.keywords(F.col("clean_text"), terms)).alias("term"))
+    d = E.with_lower(clean_docs(spark, sf_dir))
+    kw = d.select(F.explode_outer(E.keywords(F.col("_lc"), terms, lowered=True)).alias("term"))
     return kw.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -270,8 +272,9 @@ SELECT doc_id, list_sort(list_distinct(flatten([
 def q_all_terms(spark, sf_dir):
     terms = lexicon.lexicon_terms(spark)
     c = F.col("clean_text")
-    return clean_docs(spark, sf_dir).select(
-        "doc_id", E.all_terms(E.regex_entities(c), E.keywords(c, terms)).alias("all_extracted_terms"))
+    return E.with_lower(clean_docs(spark, sf_dir)).select(
+        "doc_id", E.all_terms(E.regex_entities(c), E.keywords(F.col("_lc"), terms, lowered=True))
+        .alias("all_extracted_terms"))
 
 
 @register("gazetteer_entities", f"""
@@ -619,7 +622,7 @@ SELECT doc_id, {_PL} AS sentiment, {_PS} AS sentiment_score, {_IL} AS irony_labe
        {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM mi""")
 def q_enrichment_stage(spark, sf_dir):
     terms = lexicon.lexicon_terms(spark)
-    return enrich(model_input(spark, sf_dir), terms).select(
+    return enrich(E.with_lower(model_input(spark, sf_dir)), terms).select(
         "doc_id", "sentiment", "sentiment_score", "irony_label", "irony_score", "emotion_label", "emotion_score",
         "cves", "ips", "hashes", "cyber_keywords")
 
@@ -634,7 +637,7 @@ def enrich(df: DataFrame, terms: list[str]) -> DataFrame:
         i["irony_label"].alias("irony_label"), i["irony_score"].alias("irony_score"),
         e["emotion_label"].alias("emotion_label"), e["emotion_score"].alias("emotion_score"),
         ents["cves"].alias("cves"), ents["ips"].alias("ips"), ents["hashes"].alias("hashes"),
-        E.keywords(c, terms).alias("cyber_keywords")).drop("_g", "_t")
+        E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords")).drop("_g", "_t", "_lc")
 
 
 @register("batch_model_scores", f"""WITH {_CLEAN_DOCS},

@@ -27,13 +27,13 @@ def enrich_stream(stream: DataFrame, terms: list[str]) -> DataFrame:
     """Row-wise enrichment (clean text, identifiers, keywords, labels); no
     state, so every micro-batch is independent."""
     df = stream.withColumn("clean_text", TX.clean_text(F.col("text")))
-    df = labels.with_model_input(df, "clean_text")
+    df = E.with_lower(labels.with_model_input(df, "clean_text"))
     g, t, c = F.col("_g"), F.col("_t"), F.col("clean_text")
     p, e = labels.polarity(g, t), labels.emotion(g, t)
     return df.select(
         "*", p["sentiment"].alias("sentiment"), p["sentiment_score"].alias("sentiment_score"),
         e["emotion_label"].alias("emotion_label"), E.regex_entities(c).alias("regex_entities"),
-        E.keywords(c, terms).alias("cyber_keywords")).drop("_g", "_t")
+        E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords")).drop("_g", "_t", "_lc")
 
 
 def daily_sentiment(enriched: DataFrame, lateness: str = "1 day") -> DataFrame:
