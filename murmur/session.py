@@ -59,8 +59,8 @@ def ship_package(spark: SparkSession) -> None:
     """Send the package to the executors once per application (what
     ``--py-files`` does), so Arrow-batch functions can be unpickled there."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
+    if sc.applicationId in _SHIPPED or "murmur" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        return                      # already shipped, or deployed with --py-files
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="murmur-pkg-")
     archive = shutil.make_archive(os.path.join(out, "murmur"), "zip", os.path.dirname(pkg), "murmur")
