@@ -96,11 +96,14 @@ def join_words(arr: Column) -> Column:
     return F.array_join(arr, " ")
 
 
-def guard_model_input(c: Column, limit: int = 512) -> Column:
-    """Model-input guard: null for blank text (caller substitutes the default
-    label), else the first ``limit`` characters."""
+def guard_model_input(c: Column, limit: int | None = None) -> Column:
+    """Model-input guard: null for blank text (the caller substitutes the
+    default label), else the whole text.  ``limit`` cuts to that many
+    characters for a user model with a fixed input size; the scorers of this
+    package always read the whole text."""
     blank = F.regexp_replace(F.coalesce(c, F.lit("")), "^[" + WS + "]+|[" + WS + "]+$", "") == ""
-    return F.when(blank, F.lit(None).cast("string")).otherwise(F.substring(c, 1, limit))
+    kept = F.substring(c, 1, limit) if limit else c
+    return F.when(blank, F.lit(None).cast("string")).otherwise(kept)
 
 
 def sentiment_label(label: Column) -> Column:

@@ -200,7 +200,7 @@ def route(expr: str) -> str:
 
 def guard(expr: str) -> str:
     blank = f"regexp_replace(coalesce({expr}, ''), {q('^[' + WS + ']+|[' + WS + ']+$')}, '', 'g') = ''"
-    return f"(CASE WHEN {blank} THEN NULL ELSE substr({expr}, 1, 512) END)"
+    return f"(CASE WHEN {blank} THEN NULL ELSE {expr} END)"
 
 
 def polarity(g: str, toks: str) -> tuple[str, str]:
