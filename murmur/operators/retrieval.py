@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,44 +51,54 @@ def _normalise(df: DataFrame, id_col: str, raw: str, out: str) -> DataFrame:
 
 
 class TfidfIndex:
-    """Document term weights ``(id, term, w)`` with
-    ``idf = ln((1 + n) / (1 + df)) + 1`` and L2-normalised rows.
-
-    The weights and the idf table are built once and reused by every batch of
-    questions (``persist``); the index shuffles once on (id, term) for the
-    counts and once on id for the norms.
+    """TF-IDF index in inverted form: term counts ``(id, term, tf)``, the idf
+    table ``idf = ln((1 + n) / (1 + df)) + 1`` and one L2 norm per document.
+
+    A question batch reads only the postings of its own terms and scores
+    ``sum(tf * idf * qw) / norm`` (= cosine of the L2-normalised vectors);
+    the rest of the index is never touched at query time.  The three tables
+    are checkpointed to the shared checkpoint folder (lineage cut, nothing
+    pinned in executor memory).  Building shuffles on (id, term) for the counts
+    (no shuffle when the corpus is already partitioned by id); the counts,
+    the norms and the per-question sums all stay partitioned by id.
     """
 
     def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 persist: bool = True):
+                 checkpoint: bool = True):
         self.id_col = id_col
-        tf = _term_counts(corpus, id_col, text_col)
-        if persist:
-            # read twice (document frequencies, then weights): tokenise once
-            tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
+
+        def keep(df):
+            return df.checkpoint(eager=True) if checkpoint else df
+        self.tf = keep(_term_counts(corpus, id_col, text_col))
         n = corpus.count()
-        self.idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                      .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-        if persist:
-            self.idf = self.idf.persist()
-        weighted = tf.join(self.idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-        self.weights = _normalise(weighted, id_col, "raw", "w")
-        if persist:
-            self.weights = self.weights.persist()
+        self.idf = keep(self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                        .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+        raw = self.tf.join(self.idf, "term").select(id_col, (F.col("tf") * F.col("idf")).alias("raw"))
+        # one row per document, computed inside the query plan (an aggregation
+        # that keeps the id partitioning of the counts)
+        self.norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """(id, term, w): the normalised document vectors."""
+        return (self.tf.join(self.idf, "term").join(self.norms, self.id_col)
+                    .select(self.id_col, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w")))
 
     def query_vectors(self, queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
         qtf = _term_counts(queries, qid, text_col)
         raw = (qtf.join(self.idf, "term")          # unknown query terms drop out
-                  .select(qid, "term", (F.col("tf") * F.col("idf")).alias("raw")))
+                  .select(qid, "term", "idf", (F.col("tf") * F.col("idf")).alias("raw")))
         return _normalise(raw, qid, "raw", "qw")
 
     def scores(self, queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
         """(qid, id, lexical_score) for every document sharing a term with the
         question; exact, score > 0 only."""
         qv = bounded_broadcast(self.query_vectors(queries, qid, text_col))
-        hits = self.weights.join(qv, "term")
-        return (hits.groupBy(qid, self.id_col)
-                    .agg(F.round(F.sum(F.col("w") * F.col("qw")), LEX_DIGITS).alias("lexical_score"))
+        part = (self.tf.join(qv, "term")
+                    .select(qid, self.id_col, (F.col("tf") * F.col("idf") * F.col("qw")).alias("_p")))
+        dots = part.groupBy(qid, self.id_col).agg(F.sum("_p").alias("_dot"))
+        return (dots.join(self.norms, self.id_col)
+                    .select(qid, self.id_col, F.round(F.col("_dot") / F.col("norm"), LEX_DIGITS).alias("lexical_score"))
                     .filter(F.col("lexical_score") > 0))
 
     def top_k(self, queries: DataFrame, k: int = 5, qid: str = "qid", text_col: str = "text") -> DataFrame:
@@ -216,6 +225,10 @@ def hybrid_search(corpus_text: DataFrame, corpus_vecs: DataFrame, questions: Dat
     lex = index.top_k(questions, 2 * k).select("qid", F.col("doc_id").alias("comment_id"), "lexical_score")
     sem = (cosine_top_k(corpus_vecs.withColumnRenamed("comment_id", "doc_id"), question_vecs, 2 * k)
            .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
+    # At most 2k hits per question: with that bound under the broadcast limit
+    # the hits are shipped to the corpus scan instead of shuffling the corpus.
+    if questions.count() * 2 * k <= MAX_BROADCAST_ROWS:
+        lex, sem = F.broadcast(lex), F.broadcast(sem)
     lex = lex.join(corpus_text, "comment_id")
     sem = sem.join(corpus_text, "comment_id")
     return hybrid_merge(sem, lex, k, alpha)

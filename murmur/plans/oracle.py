@@ -96,13 +96,15 @@ def tfidf_ctes(corpus: str, queries: str, p: str = "lx") -> str:
 {p}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus}),
 {p}_idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {p}_tf, {p}_n GROUP BY term, n),
 {p}_dw AS (SELECT id, term, tf * idf AS raw FROM {p}_tf JOIN {p}_idf USING (term)),
-{p}_dn AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM {p}_dw),
+{p}_nm AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM {p}_dw GROUP BY id),
 {p}_qt AS (SELECT qid, unnest(regexp_extract_all(lower(text), {pat})) AS term FROM {queries}),
 {p}_qtf AS (SELECT qid, term, count(*) AS tf FROM {p}_qt GROUP BY qid, term),
-{p}_qw0 AS (SELECT qid, term, tf * idf AS raw FROM {p}_qtf JOIN {p}_idf USING (term)),
-{p}_qw AS (SELECT qid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS qw FROM {p}_qw0),
-{p}_sc AS (SELECT qid, id, round(sum(w * qw), 6) AS lexical_score
-           FROM {p}_dn JOIN {p}_qw USING (term) GROUP BY qid, id HAVING round(sum(w * qw), 6) > 0)"""
+{p}_qw0 AS (SELECT qid, term, idf, tf * idf AS raw FROM {p}_qtf JOIN {p}_idf USING (term)),
+{p}_qw AS (SELECT qid, term, idf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS qw FROM {p}_qw0),
+{p}_dot AS (SELECT q.qid, t.id, sum(t.tf * q.idf * q.qw) AS dot FROM {p}_tf t JOIN {p}_qw q USING (term)
+            GROUP BY q.qid, t.id),
+{p}_sc AS (SELECT qid, id, round(dot / norm, 6) AS lexical_score FROM {p}_dot JOIN {p}_nm USING (id)
+           WHERE round(dot / norm, 6) > 0)"""
 
 
 def cosine_ctes(corpus: str, queries: str, p: str = "sm") -> str:
