@@ -149,13 +149,16 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     larger question tables are processed in blocks of that size, each block a
     distributed pass over the corpus.  No pair table is ever materialised.
     """
-    n_q = queries.count()
-    blocks = max(1, math.ceil(n_q / max_queries))
     qcol = F.col(qid)
+    pick = queries.select(qcol.alias("q"), F.col(qvec).alias("v"))
+    first = pick.limit(max_queries + 1).collect()          # at most one block on the driver
+    blocks = 1 if len(first) <= max_queries else max(2, math.ceil(queries.count() / max_queries))
     results = []
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(qcol), F.lit(blocks)) == b)
-        rows = part.select(qcol.alias("q"), F.col(qvec).alias("v")).collect()
+        if blocks == 1:
+            rows = first
+        else:
+            rows = pick.filter(F.pmod(F.xxhash64(F.col("q")), F.lit(blocks)) == b).collect()
         if not rows:
             continue
         q_ids = np.array([r["q"] for r in rows], dtype=np.int64)

@@ -84,3 +84,12 @@ def test_hybrid_keeps_k(spark):
     sem, lex = _sides(spark)
     out = R.hybrid_merge(sem, lex, 2, 0.7).orderBy("rank").collect()
     assert [r["rank"] for r in out] == [1, 2]
+
+
+def test_cosine_blocks_of_questions_match_single_block(spark):
+    docs, qs = _vectors(120, 8, 3), _vectors(9, 8, 4)
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(docs)], "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(qs)], "qid long, embedding array<float>")
+    one = {tuple(r) for r in R.cosine_top_k(c, q, 3).collect()}
+    many = {tuple(r) for r in R.cosine_top_k(c, q, 3, max_queries=2).collect()}
+    assert one == many and len(one) == 27
