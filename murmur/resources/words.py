@@ -128,7 +128,7 @@ GAZETTEER = [
     ("cisco", "ORG"), ("fortinet", "ORG"), ("crowdstrike", "ORG"), ("mandiant", "ORG"),
     ("kaspersky", "ORG"), ("nsa", "ORG"), ("fbi", "ORG"), ("cisa", "ORG"), ("nist", "ORG"),
     ("owasp", "ORG"), ("comptia", "ORG"), ("lockbit", "ORG"), ("lazarus group", "ORG"),
-    ("anonymous", "ORG"), ("youtube", "ORG"), ("github", "ORG"),
+    ("anonymous", "ORG"), ("github", "ORG"),
     ("windows", "PRODUCT"), ("linux", "PRODUCT"), ("kali linux", "PRODUCT"), ("android", "PRODUCT"),
     ("iphone", "PRODUCT"), ("wireshark", "PRODUCT"), ("metasploit", "PRODUCT"), ("nmap", "PRODUCT"),
     ("burp suite", "PRODUCT"), ("chatgpt", "PRODUCT"), ("active directory", "PRODUCT"),
