@@ -11,15 +11,13 @@ from __future__ import annotations
 import base64
 import uuid
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from murmur.llm.common import load
+from murmur.llm.common import add_column, load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KNOWN_PIECES = 300_000
@@ -147,24 +145,9 @@ class Vocabulary:
         return Vocabulary._encoders[self.key]
 
 
-def _with_column(df: DataFrame, name: str, kind: str, batch_column) -> DataFrame:
-    """``df`` with one more column, made by Arrow batches; a column of that name is replaced."""
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col(batch_column.source).alias("\x00in"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField(name, T._parse_datatype_string(kind))])
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            last = part.num_columns - 1
-            columns = [part.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays([*columns, batch_column(part.column(last))],
-                                             names=[f.name for f in schema.fields])
-
-    return df.mapInArrow(batches, schema)
-
-
 class _Encode:
-    def __init__(self, vocabulary: Vocabulary, source: str):
-        self.vocabulary, self.source = vocabulary, source
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         encode = self.vocabulary.encoder().encode
@@ -176,8 +159,8 @@ class _Encode:
 
 
 class _Decode:
-    def __init__(self, vocabulary: Vocabulary, source: str):
-        self.vocabulary, self.source = vocabulary, source
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
 
     def __call__(self, ids: pa.Array) -> pa.Array:
         decode = self.vocabulary.encoder().decode
@@ -191,12 +174,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str
     of one long run of letters costs n log n; an empty table gives an empty table; other
     columns are carried along, and one called as the result is replaced.
     """
-    return _with_column(docs, to, "array<int>", _Encode(vocabulary, text))
+    return add_column(docs, to, "array<int>", text, _Encode(vocabulary))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the bytes of each list of ids (null: no bytes); the exact inverse of ``encode``."""
-    return _with_column(tokens, to, "binary", _Decode(vocabulary, ids))
+    return add_column(tokens, to, "binary", ids, _Decode(vocabulary))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from murmur.llm.bpe import op3_byte_bpe
+from murmur.llm.language_id import op8_language_id
+from murmur.llm.quality import op4_quality_classifier
 from murmur.llm.quality_rules import op10_quality_rules
 from murmur.llm.sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op3_byte_bpe, op4_quality_classifier, op7_sharding, op8_language_id, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.session import configure
 from murmur.sources import stages
@@ -73,3 +76,21 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
 def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; a table may hold others with any name."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def add_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
+    """``df`` with one more column: ``make`` turns an Arrow array of ``source`` into the new one.
+
+    A column of that name is replaced; the others pass through, whatever their names.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    given = df.select(*kept, F.col(f"`{source}`").alias("\x00in"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(name, T._parse_datatype_string(kind))])
+    names = [field.name for field in schema.fields]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            *columns, made_from = part.columns
+            yield pa.RecordBatch.from_arrays([*columns, make(made_from)], names=names)
+
+    return given.mapInArrow(batches, schema)
