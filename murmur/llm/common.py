@@ -94,3 +94,12 @@ def add_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, make(made_from)], names=names)
 
     return given.mapInArrow(batches, schema)
+
+
+SMALL_ROWS = 2_000_000
+"""Ids that are broadcast at most (16 MB); more of them are joined by a shuffle."""
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids as one side of a join: broadcast if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids

@@ -37,7 +37,7 @@ def rank_within(df: DataFrame, strata: list[str], fraction: Column, order: list,
             .withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_bin", "_before", "_place"))
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 7, rows_per_bin: int = 20_000,
+def shard(docs: DataFrame, shards: int, seed: int = 7, rows_per_bin: int = 5_000,
           keys: tuple[str, ...] = ("doc_id",), source: str = "source") -> DataFrame:
     """Deal the rows of ``docs`` out to ``shards`` shards; adds ``shard`` and ``slot``.
 
