@@ -6,10 +6,11 @@ from murmur.llm.bpe import op3_byte_bpe
 from murmur.llm.decontaminate import op5_decontaminate
 from murmur.llm.jaccard_join import op1_jaccard_join
 from murmur.llm.language_id import op8_language_id
+from murmur.llm.line_dedup import op6_line_dedup
 from murmur.llm.quality import op4_quality_classifier
 from murmur.llm.quality_rules import op10_quality_rules
 from murmur.llm.sharding import op7_sharding
 
 QUERIES = {f.__name__: f for f in (
-    op1_jaccard_join, op3_byte_bpe, op4_quality_classifier, op5_decontaminate, op7_sharding, op8_language_id, op10_quality_rules)}
+    op1_jaccard_join, op3_byte_bpe, op4_quality_classifier, op5_decontaminate, op6_line_dedup, op7_sharding, op8_language_id, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

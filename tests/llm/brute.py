@@ -105,3 +105,25 @@ def op10_base(text):
     lines = [x for x in (text or "").split("\n") if words(x)]
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)),
             len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w))
+
+
+def op6(rows, least=5, p=4, q=5):
+    """rows: (doc_id, text).  -> {doc_id: (lines, removed, what is left)}"""
+    out, before, where = {}, [], defaultdict(list)
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        lines, kept = (t.split("\n") if t is not None else []), []
+        for line in lines:
+            s = frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w)
+            if len(s) >= least:
+                counts = Counter(k for w in s for k in where[w])
+                repeat = any(n * q >= (len(s) + len(before[k]) - n) * p for k, n in counts.items())
+                if s not in where:
+                    for w in s:
+                        where[w].append(len(before))
+                    before.append(s)
+                    where[s] = []
+                if repeat:
+                    continue
+            kept.append(line)
+        out[d] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
