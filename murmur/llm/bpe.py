@@ -9,8 +9,10 @@ changes the ranks of two live neighbours at most, which are updated in logarithm
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 from murmur.llm.common import add_column, load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN_PIECES = 300_000
-"""Pieces in each of a worker's two generations of memory; results don't depend on it."""
+KNOWN_WORDS, KNOWN_PIECES = 500_000, 150_000
+"""Entries in each generation of a worker's memories; results don't depend on them."""
+# Fixed value: the public pattern for which a text may be cut before single spaces.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ENCODE_ROWS = 512
 LONG_PIECE = 64
-"""Pieces of more characters are merged each time: they seldom come again."""
+"""Pieces of more bytes are merged one by one."""
 NEVER = 1 << 62
 
 
@@ -88,42 +93,163 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Merger:
+    """Many short pieces at once: a segment tree for each, side by side in arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def _leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves for the pairs of tokens that begin ``at``; a pair without a rank is never least."""
+        keys = left << 32 | right
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[slot] == keys, self.values[slot] << 8 | at, NEVER)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                out[i] = (rank,)
+            elif len(piece) > LONG_PIECE:
+                out[i] = tuple(merge(piece, self.ranks))
+            elif piece:
+                by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
+        for width, places in by_width.items():
+            for begin in range(0, len(places), 1 << 14):
+                part = places[begin:begin + (1 << 14)]
+                for i, ids in zip(part, self._merge([pieces[i] for i in part], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+        n = np.array([len(p) for p in pieces], np.int64)
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        token = np.concatenate([self.single[data], np.zeros((len(n), 1), np.int64)], 1)
+        place = np.arange(width)
+        following = np.broadcast_to(place + 1, (len(n), width)).copy()
+        before = np.broadcast_to(np.arange(-1, width), (len(n), width + 1)).copy()
+        tree = np.full((len(n), 2 * width), NEVER, np.int64)
+        leaves = self._leaves(token[:, :-2], token[:, 1:-1], place[:-1])
+        tree[:, width:-1] = np.where(place[1:] < n[:, None], leaves, NEVER)
+        level = width
+        while level > 1:
+            tree[:, level // 2:level] = np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2])
+            level //= 2
+        row = np.flatnonzero(tree[:, 1] < NEVER)
+        while len(row):
+            least = tree[row, 1]
+            at, rank = least & 255, least >> 8
+            middle = following[row, at]
+            stop = following[row, middle]
+            token[row, at] = rank
+            following[row, at] = stop
+            before[row, stop] = at
+            left = before[row, at]
+            tree[row, width + middle] = NEVER
+            last = n[row]
+            ahead = self._leaves(rank, token[row, stop], at)
+            tree[row, width + at] = np.where(stop < last, ahead, NEVER)
+            inner = left >= 0
+            tree[row[inner], width + left[inner]] = self._leaves(
+                token[row[inner], left[inner]], rank[inner], left[inner])
+            for rows, leaf in ((row, middle), (row, at), (row[inner], left[inner])):
+                node = (width + leaf) >> 1
+                for _ in range(width.bit_length() - 1):
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                    node = node >> 1
+            row = row[tree[row, 1] < NEVER]
+        # live tokens are those reached from the first by ``following``
+        live = np.zeros((len(n), width + 1), bool)
+        at, row = np.zeros(len(n), np.int64), np.arange(len(n))
+        while len(row):
+            live[row, at] = True
+            at = following[row, at]
+            more = at < n[row]
+            row, at = row[more], at[more]
+        ends = np.cumsum(live.sum(1)).tolist()
+        flat = token[live].tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class Memory:
+    """A bounded map of two generations, filled for many keys at once."""
+
+    def __init__(self, make_all, size: int):
+        self.make_all, self.size = make_all, size
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def of(self, keys: set[str]) -> dict[str, tuple[int, ...]]:
+        """A map that has all of ``keys``."""
+        unknown = keys - self.young.keys()
+        if len(self.young) + len(unknown) > self.size:
+            self.old, self.young = self.young, {}
+            unknown = keys
+        new = [k for k in unknown if k not in self.old]
+        self.young.update((k, self.old[k]) for k in unknown if k in self.old)
+        self.young.update(zip(new, self.make_all(new), strict=True))
+        return self.young
+
+
 class Encoder:
-    """Ranks, their inverse and a bounded memory of pieces; a worker keeps one for all its tasks."""
+    """Ranks, their inverse and bounded memories; a worker keeps one for all its tasks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.pieces = ranks, regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.split = regex.compile(pattern).findall
+        # the public pattern never joins a space to a character before it, if that is no space
+        self.by_spaces = re.compile(r"\s ").search if pattern == SPACED_PATTERN else lambda text: True
+        merger = Merger(ranks)
+        self.pieces = Memory(lambda pieces: merger.merge([p.encode() for p in pieces]), KNOWN_PIECES)
+        self.words = Memory(self._learn_words, KNOWN_WORDS)
+
+    def _learn_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words that follow a space: split together, as each begins at its space."""
+        pieces = self.split(" " + " ".join(words)) if words else []
+        starts = [i for i, piece in enumerate(pieces) if piece[0] == " "]
+        if len(starts) != len(words):           # empty words and the like
+            return list(map(tuple, self._by_pieces([" " + w for w in words])))
+        known = self.pieces.of(set(pieces))
+        ids = list(map(known.__getitem__, pieces))
+        return [ids[a] if b - a == 1 else tuple(chain.from_iterable(ids[a:b]))
+                for a, b in zip(starts, [*starts[1:], len(pieces)], strict=True)]
+
+    def _by_pieces(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split(t) for t in texts]
+        known = self.pieces.of(set().union(*split))
+        return [_joined(known, pieces) for pieces in split]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        whole = [bool(self.by_spaces(t)) for t in texts]
+        words = [[] if w else t.split(" ")[1:] for t, w in zip(texts, whole, strict=True)]
+        heads = self._by_pieces([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole, strict=True)])
+        known = self.words.of(set().union(*words))
+        return [head + _joined(known, rest) for head, rest in zip(heads, words, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for piece in self.pieces(text):
-            got = known.get(piece)
-            if got is None:
-                got = self.learn(piece)
-                known = self.known
-            ids += got
-        return ids
-
-    def learn(self, piece: str) -> tuple[int, ...]:
-        """The ids of a piece that isn't in the young generation, which they join."""
-        got = self.older.get(piece)
-        if got is None:
-            got = tuple(merge(piece.encode(), self.ranks))
-        if len(piece) <= LONG_PIECE:
-            if len(self.known) >= KNOWN_PIECES:
-                self.older, self.known = self.known, {}
-            self.known[piece] = got
-        return got
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _joined(known: dict[str, tuple[int, ...]], keys: list[str]) -> list[int]:
+    return list(chain.from_iterable(map(known.__getitem__, keys)))
+
+
 class Vocabulary:
     """Ranks and pattern, broadcast once; a vocabulary file has a fixed size."""
 
@@ -150,11 +276,12 @@ class _Encode:
         self.vocabulary = vocabulary
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        encode = self.vocabulary.encoder().encode
+        encoder = self.vocabulary.encoder()
         flat, ends = array("i"), [0]
-        for text in texts.to_pylist():
-            flat.extend(encode(text or ""))
-            ends.append(len(flat))
+        for begin in range(0, len(texts), ENCODE_ROWS):
+            for ids in encoder.encode_all([t or "" for t in texts[begin:begin + ENCODE_ROWS].to_pylist()]):
+                flat.extend(ids)
+                ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
 
