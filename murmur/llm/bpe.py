@@ -218,7 +218,9 @@ class Encoder:
 
     def _learn_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words that follow a space: split together, as each begins at its space."""
-        pieces = self.split(" " + " ".join(words)) if words else []
+        if not words:
+            return []
+        pieces = self.split(" " + " ".join(words))
         starts = [i for i, piece in enumerate(pieces) if piece[0] == " "]
         if len(starts) != len(words):           # empty words and the like
             return list(map(tuple, self._by_pieces([" " + w for w in words])))
