@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and go on from the written copy.
 
-    The copy cuts the lineage and survives lost executors.  It stays until ``release``.
+    The copy cuts the lineage and survives lost executors.  It stays until ``delete``.
     """
     spark = df.sparkSession
     path = stages.stage_path(spark, f"llm-{name}-{uuid.uuid4().hex[:8]}", unique=False)
@@ -49,11 +50,19 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the stage tables written so far: their readers must have been written."""
+@contextmanager
+def opened_tables() -> Iterator[list[str]]:
+    """The paths of the stage tables written inside, listed when it ends."""
+    before, paths = len(_open_stages), []
+    yield paths
+    paths += _open_stages[before:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables, and empty the list.  Whatever read them must have been written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _open_stages:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_open_stages.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import add_column, load, narrow, remainder, stage
+from murmur.llm.common import add_column, load, narrow, remainder, small_side, stage
 
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#$%&*|<>@^~_=+{}[]\\/",
          "loud": b"!?", "stop": b".,;:", "line": b"\n"}
@@ -148,14 +148,25 @@ def score(rows: DataFrame, model: Discriminant, source: str = "statistics", to:
     return add_column(rows, to, "double", source, make)
 
 
+def _learned(labels: DataFrame, fold: int, held_out: int) -> DataFrame:
+    return narrow(labels, {"doc_id": "long", "quality": "int"}).filter(remainder("doc_id", fold) != held_out)
+
+
 def train(documents: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1) -> tuple[Discriminant, DataFrame]:
     """The model, learned from labelled rows outside the held-out fold, and all rows' statistics."""
     rows = stage(with_statistics(narrow(documents, {"doc_id": "long", "text": "string"})).drop("text"), "statistics")
-    learned = narrow(labels, {"doc_id": "long", "quality": "int"}).filter(remainder("doc_id", fold) != held_out)
-    known = rows.join(learned.withColumnRenamed("quality", "label"), "doc_id")
+    known = rows.join(_learned(labels, fold, held_out).withColumnRenamed("quality", "label"), "doc_id")
     return fit(known), rows
 
 
+def train_on_labelled(documents: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1) -> Discriminant:
+    """The same model, from the statistics of the labelled rows only."""
+    learned = stage(_learned(labels, fold, held_out).withColumnRenamed("quality", "label"), "labelled")
+    texts = narrow(documents, {"doc_id": "long", "text": "string"}).join(
+        small_side(learned.select("doc_id").distinct()), "doc_id", "left_semi")
+    return fit(with_statistics(texts).drop("text").join(learned, "doc_id"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels are learned outside the held-out fold only."""
     model, rows = train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
