@@ -11,8 +11,6 @@ from __future__ import annotations
 import base64
 import re
 import uuid
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import add_column, load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN_WORDS, KNOWN_PIECES = 500_000, 150_000
+KNOWN_WORDS, KNOWN_PIECES = 300_000, 100_000
 """Entries in each generation of a worker's memories; results don't depend on them."""
 # Fixed value: the public pattern for which a text may be cut before single spaces.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,15 +112,16 @@ class Merger:
         slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[slot] == keys, self.values[slot] << 8 | at, NEVER)
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as 32-bit numbers."""
+        out = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is not None:
-                out[i] = (rank,)
+                out[i] = np.int32(rank).tobytes()
             elif len(piece) > LONG_PIECE:
-                out[i] = tuple(merge(piece, self.ranks))
+                out[i] = np.array(merge(piece, self.ranks), np.int32).tobytes()
             elif piece:
                 by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, places in by_width.items():
@@ -132,7 +131,7 @@ class Merger:
                     out[i] = ids
         return out
 
-    def _merge(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = np.array([len(p) for p in pieces], np.int64)
         data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         token = np.concatenate([self.single[data], np.zeros((len(n), 1), np.int64)], 1)
@@ -177,9 +176,9 @@ class Merger:
             at = following[row, at]
             more = at < n[row]
             row, at = row[more], at[more]
-        ends = np.cumsum(live.sum(1)).tolist()
-        flat = token[live].tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        ends = (4 * np.cumsum(live.sum(1))).tolist()
+        flat = token[live].astype(np.int32).tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Memory:
@@ -187,10 +186,10 @@ class Memory:
 
     def __init__(self, make_all, size: int):
         self.make_all, self.size = make_all, size
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def of(self, keys: set[str]) -> dict[str, tuple[int, ...]]:
+    def of(self, keys: set[str]) -> dict[str, bytes]:
         """A map that has all of ``keys``."""
         unknown = keys - self.young.keys()
         if len(self.young) + len(unknown) > self.size:
@@ -203,12 +202,14 @@ class Memory:
 
 
 class Encoder:
-    """Ranks, their inverse and bounded memories; a worker keeps one for all its tasks."""
+    """Ranks and bounded memories of words and pieces; a worker keeps one for all its tasks.
+
+    Ids are held as 32-bit numbers in bytes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         # the public pattern never joins a space to a character before it, if that is no space
         self.by_spaces = re.compile(r"\s ").search if pattern == SPACED_PATTERN else lambda text: True
@@ -216,46 +217,49 @@ class Encoder:
         self.pieces = Memory(lambda pieces: merger.merge([p.encode() for p in pieces]), KNOWN_PIECES)
         self.words = Memory(self._learn_words, KNOWN_WORDS)
 
-    def _learn_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def _learn_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that follow a space: split together, as each begins at its space."""
         if not words:
             return []
         pieces = self.split(" " + " ".join(words))
         starts = [i for i, piece in enumerate(pieces) if piece[0] == " "]
         if len(starts) != len(words):           # empty words and the like
-            return list(map(tuple, self._by_pieces([" " + w for w in words])))
+            return self._by_pieces([" " + w for w in words])
         known = self.pieces.of(set(pieces))
         ids = list(map(known.__getitem__, pieces))
-        return [ids[a] if b - a == 1 else tuple(chain.from_iterable(ids[a:b]))
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b])
                 for a, b in zip(starts, [*starts[1:], len(pieces)], strict=True)]
 
-    def _by_pieces(self, texts: list[str]) -> list[list[int]]:
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         known = self.pieces.of(set().union(*split))
-        return [_joined(known, pieces) for pieces in split]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = [bool(self.by_spaces(t)) for t in texts]
         words = [[] if w else t.split(" ")[1:] for t, w in zip(texts, whole, strict=True)]
         heads = self._by_pieces([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole, strict=True)])
         known = self.words.of(set().union(*words))
-        return [head + _joined(known, rest) for head, rest in zip(heads, words, strict=True)]
+        return [b"".join([head, *map(known.__getitem__, rest)]) for head, rest in zip(heads, words, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
 
+class Decoder:
+    """The bytes of each id."""
 
-def _joined(known: dict[str, tuple[int, ...]], keys: list[str]) -> list[int]:
-    return list(chain.from_iterable(map(known.__getitem__, keys)))
+    def __init__(self, ranks: dict[bytes, int], _: str):
+        self.tokens = {rank: token for token, rank in ranks.items()}
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class Vocabulary:
     """Ranks and pattern, broadcast once; a vocabulary file has a fixed size."""
 
-    _encoders: dict[str, Encoder] = {}
+    _made: dict[tuple, Encoder | Decoder] = {}
 
     def __init__(self, spark: SparkSession, path: str | None = None, pattern: str | None = None):
         import public_tokenizers
@@ -266,11 +270,14 @@ class Vocabulary:
         self.key = uuid.uuid4().hex
         self.shared = spark.sparkContext.broadcast((ranks, pattern or public_tokenizers.PATTERN))
 
-    def encoder(self) -> Encoder:
-        if self.key not in Vocabulary._encoders:
-            Vocabulary._encoders.clear()
-            Vocabulary._encoders[self.key] = Encoder(*self.shared.value)
-        return Vocabulary._encoders[self.key]
+    def get(self, kind: type):
+        """The worker's encoder or decoder of this vocabulary."""
+        made = Vocabulary._made
+        if (self.key, kind) not in made:
+            for key in [k for k in made if k[0] != self.key]:
+                del made[key]
+            made[self.key, kind] = kind(*self.shared.value)
+        return made[self.key, kind]
 
 
 class _Encode:
@@ -278,13 +285,11 @@ class _Encode:
         self.vocabulary = vocabulary
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        encoder = self.vocabulary.encoder()
-        flat, ends = array("i"), [0]
+        encoder, parts, ends = self.vocabulary.get(Encoder), [], [0]
         for begin in range(0, len(texts), ENCODE_ROWS):
-            for ids in encoder.encode_all([t or "" for t in texts[begin:begin + ENCODE_ROWS].to_pylist()]):
-                flat.extend(ids)
-                ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            parts += encoder.encode_all([t or "" for t in texts[begin:begin + ENCODE_ROWS].to_pylist()])
+        ends = np.cumsum([0, *[len(p) // 4 for p in parts]])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 class _Decode:
@@ -292,8 +297,19 @@ class _Decode:
         self.vocabulary = vocabulary
 
     def __call__(self, ids: pa.Array) -> pa.Array:
-        decode = self.vocabulary.encoder().decode
-        return pa.array([decode(row or ()) for row in ids.to_pylist()], pa.binary())
+        decode = self.vocabulary.get(Decoder).decode
+        return pa.array([decode(ids[i].values.to_pylist()) if ids[i].is_valid else b"" for i in range(len(ids))], pa.binary())
+
+
+class _RoundTrip:
+    """Ids and the bytes decoded from them, without sending the ids in between."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.encode, self.decode = _Encode(vocabulary), _Decode(vocabulary)
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        ids = self.encode(texts)
+        return pa.StructArray.from_arrays([ids, self.decode(ids)], names=["ids", "decoded"])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "ids") -> DataFrame:
@@ -313,11 +329,12 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of each document."""
-    tokens = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    tokens = add_column(docs.select("doc_id", "text"), "both", "struct<ids:array<int>,decoded:binary>", "text",
+                        _RoundTrip(vocabulary))
     return tokens.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
