@@ -135,7 +135,7 @@ class Filter:
     @staticmethod
     def places(keys: np.ndarray, level: int) -> np.ndarray:
         """Bits of an event within its segment, a column for each probe."""
-        h = _mix(keys + np.uint64(level) * _ODD[0])
+        h = _mix(keys + np.arange(level, level + 1, dtype=np.uint64) * _ODD[0])
         step = (h >> np.uint64(40)) | np.uint64(1)
         return ((h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64((1 << 20) - 1)).astype(np.int64)
 
