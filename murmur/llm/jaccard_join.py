@@ -69,6 +69,23 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
+LANES = 16
+"""64-bit numbers in the bitmap of a set or a group."""
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's tokens as bits; the bitmap of a group is the union of its members'."""
+    bits = np.zeros(64 * LANES, np.uint8)
+    bits[(tokens & np.uint64(64 * LANES - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def outside(bits: Column, union: Column) -> Column:
+    """Bits of the first bitmap that the second lacks: at most the tokens of a set outside a union."""
+    lanes = F.zip_with(bits, union, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+    return F.aggregate(lanes, F.lit(0), lambda n, k: n + k)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Sizes of sets in bands, such that linked sets are in the same or in neighbouring bands.
@@ -152,7 +169,7 @@ def _lists(values: list[np.ndarray], dtype, kind) -> pa.Array:
 
 
 def _described(size: int, share: Fraction):
-    """A batch function: (doc_id, text) to (doc_id, n, signature, bundles)."""
+    """A batch function: (doc_id, text) to (doc_id, n, signature, bundles, bits)."""
     bands = Bands(share)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +180,9 @@ def _described(size: int, share: Fraction):
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                _lists([bands.bundles(s)[0] for s in sets], np.int64, pa.int64())],
-                names=["doc_id", "n", "signature", "bundles"])
+                _lists([bands.bundles(s)[0] for s in sets], np.int64, pa.int64()),
+                _lists([bitmap(s) for s in sets], np.int64, pa.int64())],
+                names=["doc_id", "n", "signature", "bundles", "bits"])
 
     return batches
 
@@ -212,8 +230,8 @@ def jaccard_join(documents: DataFrame, size: int = 5, share: Fraction = Fraction
     """
     docs = narrow(documents, {"doc_id": "long", "text": "string"})
     bands = Bands(share)
-    about = stage(docs.mapInArrow(_described(size, share), "doc_id long, n long, signature binary, bundles array<long>"),
-                  "bundles")
+    about = stage(docs.mapInArrow(_described(size, share), "doc_id long, n long, signature binary, "
+                                                                     "bundles array<long>, bits array<long>"), "bundles")
     some = about.filter("n > 0")
     classes = some.groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes, "classes")
@@ -232,7 +250,7 @@ def jaccard_join(documents: DataFrame, size: int = 5, share: Fraction = Fraction
 
     # groups are the components of the links so far; a document without links is its own group
     groups = stage(components(links), "groups")
-    sizes = some.select("doc_id", "n").distinct()
+    sizes = some.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("set")).select("doc_id", "set.*")
     placed = (shared.select("token", "doc_id").join(groups, shared.doc_id == groups.node, "left")
               .select("token", "doc_id", F.coalesce("component", "doc_id").alias("grp")))
     contested = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high")
@@ -252,27 +270,38 @@ def _open_groups(placed: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame
     """Pairs (a, b) of documents in different groups that the matrix doesn't rule out.
 
     ``placed`` has the tokens that several groups share: (token, doc_id, grp).  The document
-    of the smaller group asks, the larger group answers; a group is opened if the overlap of
-    the document with the union of its tokens reaches what the least favourable member needs.
+    of the smaller group asks, the larger group answers.  Two bounds must allow a link: the
+    bits that the document has outside the union of the group's n-grams, and its overlap with
+    the union of the group's bundles.  Of opened groups, the members that the same bounds
+    allow are compared.
     """
-    weights = placed.groupBy("grp").agg(F.count_distinct("doc_id").alias("members"))
-    sized = placed.join(weights, "grp")
-    matrix = sized.select("token", "grp", "members").distinct()
-    asks = sized.alias("q").join(matrix.alias("g"), "token").filter(
-        (F.col("q.members") < F.col("g.members"))
-        | ((F.col("q.members") == F.col("g.members")) & (F.col("q.grp") > F.col("g.grp"))))
-    largest = placed.join(sizes, "doc_id").groupBy("grp").agg(F.max("n").alias("most"))
-    overlap = (asks.groupBy("q.doc_id", "g.grp").agg(F.count(F.lit(1)).alias("overlap"))
-               .join(sizes, "doc_id").join(largest, "grp"))
-    least = F.pandas_udf(lambda n, most: pd.Series([bands.least_overlap(*x) for x in zip(n, most, strict=True)]), "long")
-    opened = stage(overlap.filter(F.col("overlap") >= least("n", "most")).select("doc_id", "grp"), "asks")
-    members = placed.select("token", F.col("doc_id").alias("b"), "grp")
-    asked = placed.select("token", "doc_id").join(opened, "doc_id").join(members, ["token", "grp"])
-    near = (asked.select(F.col("doc_id").alias("a"), "b").distinct()
-            .join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
-            .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b"))
     p, q = bands.share.numerator, bands.share.denominator
-    return near.filter((F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)).select("a", "b")
+    members = stage(placed.select("doc_id", "grp").distinct().join(sizes, "doc_id"), "members")
+    lanes = [F.bit_or(F.col("bits")[k]).alias(f"lane{k}") for k in range(LANES)]
+    unions = (members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest"),
+                                         F.max("n").alias("most"), *lanes)
+              .select("grp", "members", "fewest", "most", F.array(*[f"lane{k}" for k in range(LANES)]).alias("union")))
+    unions = stage(unions, "unions")
+    matrix = placed.select("token", "grp").distinct().join(unions, "grp")
+    asking = placed.join(members.drop("grp"), "doc_id").join(unions.select("grp", "members"), "grp")
+    # of n tokens at least share * n are common to a linked set
+    spare = F.col("q.n") - F.ceil(F.col("q.n") * p / F.lit(q))
+    asks = asking.alias("q").join(matrix.alias("g"), "token").filter(
+        ((F.col("q.members") < F.col("g.members"))
+         | ((F.col("q.members") == F.col("g.members")) & (F.col("q.grp") > F.col("g.grp"))))
+        & (F.col("q.n") * q >= F.col("g.fewest") * p) & (F.col("g.most") * q >= F.col("q.n") * p)
+        & (outside(F.col("q.bits"), F.col("g.union")) <= spare))
+    least = F.pandas_udf(lambda n, most: pd.Series([bands.least_overlap(*x) for x in zip(n, most, strict=True)]), "long")
+    opened = (asks.groupBy("q.doc_id", "g.grp").agg(F.count(F.lit(1)).alias("overlap"), F.first("q.n").alias("n"),
+                                                    F.first("g.most").alias("most"))
+              .filter(F.col("overlap") >= least("n", "most")))
+    opened = stage(opened.select("doc_id", "grp"), "asks").join(members.drop("grp"), "doc_id")
+    n, m = F.col("a.n"), F.col("b.n")
+    common = F.ceil((n + m) * p / F.lit(p + q))
+    near = opened.alias("a").join(members.alias("b"), "grp").filter(
+        (n * q >= m * p) & (m * q >= n * p) & (outside(F.col("a.bits"), F.col("b.bits")) <= n - common)
+        & (outside(F.col("b.bits"), F.col("a.bits")) <= m - common))
+    return near.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

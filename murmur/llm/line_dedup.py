@@ -141,6 +141,7 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame
     """
     limits = Limits(share)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.filter(F.col("doc_id").isNotNull())
     ranks = rarity(docs)
     lines = stage(described(docs, ranks, limits), "lines")
     first = F.row_number().over(Window.partitionBy("signature").orderBy("doc_id", "line"))
@@ -185,7 +186,7 @@ def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
 
     Defined results: null texts stay null and have no lines; empty texts have one; a text of one
     very long line is one set; rows with equal ids are the same document (their lines fall
-    together by number); rows without an id come before all others and lose no line; an empty table gives no row; other
+    together by number); rows without an id are left as they are; an empty table gives no row; other
     columns are carried along, and those called n_lines and n_removed are replaced.
     """
     repeats = stage(find_repeats(docs, share).distinct(), "repeats")
