@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import WORD_GAP, load, small_side, stage, whole_text
 
-RARITY_SLOTS = 1 << 16
-"""Slots of the rarity table: its size, whatever the corpus."""
+SLOT_BITS = 18
+"""The rarity table has 2**18 slots, whatever the corpus."""
+HASH_BITS = 45
+"""Bits of a word's hash behind its rank."""
 LEAST_WORDS = 5
 """Lines of fewer different words (headings, brackets, numbers) are never removed."""
 
@@ -47,83 +49,112 @@ class Limits:
         return self._ceil(n + m, self.share / (1 + self.share))
 
     def may_link(self, a: str, b: str) -> Column:
-        """Length, positional and parity filter for rows (n, place, parity), joined on a word.
-
-        ``parity`` has a bit for each word slot, flipped by each word of the line; bits that
-        differ are words that differ.
-        """
+        """Length and parity filter for lines (n, parity, parity2): bits that differ are words that differ."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        one = F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))
+        two = F.col(f"{a}.parity2").bitwiseXOR(F.col(f"{b}.parity2"))
+        differ = F.when(F.least(n, m) > FOLDED_WORDS, F.bit_count(one) + F.bit_count(two)).otherwise(
+            F.bit_count(one.bitwiseXOR(two)))
+        return (n * self.share.numerator <= m * self.share.denominator) & \
+               (m * self.share.numerator <= n * self.share.denominator) & (differ <= n + m - 2 * self.common(n, m))
+
+    def may_follow(self, a: str, b: str) -> Column:
+        """Positional filter for lines joined on a word at ``place``, from 1: enough words come after it."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        needed = self.common(n, m)
-        near = (n * self.share.numerator <= m * self.share.denominator) & \
-               (m * self.share.numerator <= n * self.share.denominator)
-        place = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + 1 >= needed
-        parity = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= n + m - 2 * needed
-        return near & place & parity
+        return F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + 1 >= self.common(n, m)
 
     def linked(self, common: Column, n: Column, m: Column) -> Column:
         return common * self.share.denominator >= (n + m - common) * self.share.numerator
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(text), WORD_GAP)
+FOLDED_WORDS = 64
+"""Lines of up to so many words have their 128 parity bits folded into 64."""
+
+
+def _words(line: Column) -> Column:
+    """The words of a lower-cased line; a line without words gives one empty word."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), WORD_GAP)
 
 
 def _slot(word_hash: Column) -> Column:
-    return F.shiftrightunsigned(word_hash, 48).cast("int")
+    return F.shiftrightunsigned(word_hash, 64 - SLOT_BITS).cast("int")
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
     """An array of ranks, by slot of the word's hash: the rarer, the lower.
 
-    The counts of all words of all texts go into ``RARITY_SLOTS`` numbers.
+    All words of all texts are counted, into a table of fixed size.
     """
-    words = docs.select(F.explode(_words(F.col(text))).alias("word")).filter("word <> ''")
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), WORD_GAP)).alias("word"))
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = ["0"] * RARITY_SLOTS
-    for rank, row in enumerate(sorted(counts.collect(), key=lambda r: (r.n, r.slot)), 1):
-        ranks[row.slot] = str(min(rank, RARITY_SLOTS - 1))
+    ranks = ["0"] * (1 << SLOT_BITS)
+    for rank, row in enumerate(sorted(counts.collect(), key=lambda r: (r.n, r.slot))):
+        ranks[row.slot] = str(rank)
     # one literal: the split is folded when the query is planned
     return F.split(F.lit(" ".join(ranks)), " ").cast("array<int>")
 
 
-def _ordered_words(line: Column, ranks: Column) -> Column:
-    """The line's set of words as numbers in order of rarity: rank, then 47 bits of the hash."""
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.element_at(ranks, _slot(h) + 1).cast("bigint")
-        return F.shiftleft(rank, 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
-    words = F.filter(_words(line), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+
+def _ordered(hashes: Column, ranks: Column) -> Column:
+    """The line's set of words as numbers in order of rarity: rank, then the low bits of the hash."""
+    def number(h: Column) -> Column:
+        rank = F.coalesce(F.get(ranks, _slot(h)), F.lit(0)).cast("bigint")
+        return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    return F.sort_array(F.transform(hashes, number))
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line, content): the lines of each text, numbered from 0."""
-    split = docs.select(F.col("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"))
+    """(doc_id, line, content): the lower-cased lines of each text, numbered from 0."""
+    split = docs.select(F.col("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "content"))
     return split.filter(F.length("content") > 2 * LEAST_WORDS - 2)
 
 
+def _parity(words: Column, keep=None) -> Column:
+    """A bit for each of 64 word slots, flipped by each word."""
+    words = F.filter(words, keep) if keep else words
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def described(docs: DataFrame, ranks: Column, limits: Limits) -> DataFrame:
-    """Lines with enough words: (doc_id, line, n, signature, parity, prefix)."""
-    rows = lines_of(docs).select("doc_id", "line", _ordered_words(F.col("content"), ranks).alias("words"))
-    rows = rows.select("*", F.size("words").alias("n"))
-    flip = F.transform("words", lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), (w % 64).cast("int")))
-    bits = F.aggregate(flip, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
-    prefix = F.transform(F.slice("words", 1, limits.probe_length(F.col("n"))), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.filter(F.col("n") >= LEAST_WORDS).select(
-        "doc_id", "line", "n", F.struct(F.xxhash64("words").alias("x"), F.xxhash64(F.lit(1), "words").alias("y")).alias("signature"),
-        bits.alias("parity"), prefix.alias("prefix"))
-
-
-def _exact(pairs: DataFrame, docs: DataFrame, ranks: Column, limits: Limits) -> DataFrame:
+    """Lines with enough words: (doc_id, line, n, signature, low, high, parity, parity2, prefix)."""
+    rows = lines_of(docs).select("doc_id", "line", _hashes(F.col("content")).alias("hashes"))
+    rows = rows.select("doc_id", "line", F.size("hashes").alias("n"), F.array_min("hashes").alias("low"),
+                       F.array_max("hashes").alias("high"), _ordered(F.col("hashes"), ranks).alias("words"))
+    long = F.col("n") > FOLDED_WORDS
+    words = F.col("words")
+    prefix = F.transform(F.slice(words, 1, limits.probe_length(F.col("n"))),
+                         lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    rows = rows.select(
+        "doc_id", "line", "n", F.xxhash64("words").alias("signature"), "low", "high",
+        F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) == 0)).otherwise(_parity(words)).alias("parity"),
+        F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("bigint")).alias("parity2"),
+        prefix.alias("prefix"))
+    return rows.filter(F.col("n") >= LEAST_WORDS)
+
+
+def _before(a: str, b: str) -> Column:
+    """Whether line ``a`` comes before line ``b``."""
+    return (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | (
+        (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
+
+
+def _at(a: str) -> Column:
+    return F.struct(F.col(f"{a}.doc_id").alias("doc_id"), F.col(f"{a}.line").alias("line"))
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     """The pairs (later, earlier), structs of doc_id and line, that are similar enough."""
     lines = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct()
     lines = stage(lines.select("at.doc_id", "at.line"), "compared-lines")
     some = docs.select("doc_id", "text").join(small_side(stage(lines.select("doc_id").distinct(), "compared-docs")),
                                               "doc_id", "left_semi")
     words = lines_of(some).join(lines, ["doc_id", "line"], "left_semi")
-    words = stage(words.select(F.struct("doc_id", "line").alias("at"), _ordered_words(F.col("content"), ranks).alias("w")),
-                  "line-words")
+    words = stage(words.select(F.struct("doc_id", "line").alias("at"), _hashes(F.col("content")).alias("w")), "line-words")
     one = words.select(F.col("at").alias("later"), F.col("w").alias("x"))
     two = words.select(F.col("at").alias("earlier"), F.col("w").alias("y"))
     both = pairs.join(one, "later").join(two, "earlier")
@@ -135,46 +166,44 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame
     """(doc_id, line): the lines with a similar line before them, by document id and line number.
 
     1. Lines with equal sets of words are a class, and its first line stands for it.
-    2. Each class is compared with the first line that has one of its leading words; this takes
-       the bulk of the copies, in a number of pairs that grows with the lines.
+    2. Each class is compared with the first lines that have its word of the least and of the
+       largest hash: this takes the bulk of large groups of near copies, in two pairs a line.
     3. Classes that are left are joined with all earlier lines that pass the filters.
     """
     limits = Limits(share)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull())
-    ranks = rarity(docs)
-    lines = stage(described(docs, ranks, limits), "lines")
-    first = F.row_number().over(Window.partitionBy("signature").orderBy("doc_id", "line"))
-    classes = stage(lines.withColumn("nth", first).filter("nth = 1")
-                    .select(F.struct("doc_id", "line").alias("at"), "n", "parity", "prefix"), "line-classes")
-
-    def words_of(rows: DataFrame, *extra: str) -> DataFrame:
-        spread = rows.select("at", "n", "parity", *extra, F.posexplode("prefix").alias("place", "word"))
-        return spread.withColumn("place", F.col("place") + 1)
-
-    leading = words_of(classes).filter(F.col("place") <= limits.index_length(F.col("n")))
-    heads = leading.groupBy("word").agg(F.min(F.struct("at", "n", "parity", "place")).alias("head"),
-                                        F.max("at").alias("last"))
-    heads = heads.filter(F.col("head.at") < F.col("last")).select("word", "head.*")
-    near = leading.alias("a").join(heads.alias("b"), "word").filter(
-        (F.col("a.at") > F.col("b.at")) & limits.may_link("a", "b"))
-    near = stage(near.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")).distinct(), "head-pairs")
-    gone = stage(_exact(near, docs, ranks, limits).distinct(), "gone")
-
-    found = classes.join(small_side(gone).withColumn("gone", F.lit(True)), classes["at"] == F.col("later"), "left")
-    found = words_of(found.withColumn("left", F.col("gone").isNull()), "left")
-    larger, smaller = found.alias("a"), found.filter(F.col("place") <= limits.index_length(F.col("n"))).alias("b")
-    order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.at") > F.col("b.at")))
-    a_later = F.col("a.at") > F.col("b.at")
+    lines = stage(described(docs, rarity(docs), limits), "lines")
+
+    place = F.struct("doc_id", "line")
+    several = lines.groupBy("signature").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    several = several.filter(F.col("first") < F.col("last")).select("signature", "first")
+    copies = lines.select("doc_id", "line", "signature").join(several, "signature")
+    copies = stage(copies.filter(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line").distinct(), "copies")
+    classes = lines.drop("signature").join(small_side(copies), ["doc_id", "line"], "left_anti")
+
+    about = ["doc_id", "line", "n", "parity", "parity2"]
+    keyed = classes.select(*about, F.explode(F.array("low", "high")).alias("key"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct(*about)).alias("head"), F.max(place).alias("last"))
+    heads = heads.filter(F.struct("head.doc_id", "head.line") < F.col("last")).select("key", "head.*")
+    near = keyed.alias("a").join(heads.alias("b"), "key").filter(_before("b", "a") & limits.may_link("a", "b"))
+    near = stage(near.select(_at("a").alias("later"), _at("b").alias("earlier")).distinct(), "head-pairs")
+    gone = stage(_exact(near, docs, limits).select("later.*").distinct().withColumn("gone", F.lit(True)), "gone")
+
+    left = classes.join(small_side(gone), ["doc_id", "line"], "left")
+    words = left.select(*about, F.col("gone").isNull().alias("left"), F.posexplode("prefix").alias("place", "word"))
+    words = words.withColumn("place", F.col("place") + 1)
+    larger, smaller = words.alias("a"), words.filter(F.col("place") <= limits.index_length(F.col("n"))).alias("b")
+    order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & _before("b", "a"))
+    a_later = _before("b", "a")
     pairs = larger.join(smaller, "word").filter(
-        order & F.when(a_later, F.col("a.left")).otherwise(F.col("b.left")) & limits.may_link("a", "b"))
-    pairs = stage(pairs.select(F.when(a_later, F.col("a.at")).otherwise(F.col("b.at")).alias("later"),
-                               F.when(a_later, F.col("b.at")).otherwise(F.col("a.at")).alias("earlier")).distinct(),
-                  "line-pairs")
-    more = _exact(pairs, docs, ranks, limits)
-    kept = (classes.select(F.col("at").alias("later")).join(gone.union(more).distinct(), "later", "left_anti")
-            .select("later.*"))
-    return lines.select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti")
+        order & limits.may_follow("a", "b") & F.when(a_later, F.col("a.left")).otherwise(F.col("b.left"))
+        & limits.may_link("a", "b"))
+    pairs = pairs.select(F.when(a_later, _at("a")).otherwise(_at("b")).alias("later"),
+                         F.when(a_later, _at("b")).otherwise(_at("a")).alias("earlier")).distinct()
+    more = _exact(stage(pairs, "line-pairs"), docs, limits).select("later.*")
+    # the other lines of a class are copies of its first, so the classes' first lines complete them
+    return copies.union(gone.select("doc_id", "line")).union(more).distinct()
 
 
 def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -189,7 +218,7 @@ def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
     together by number); rows without an id are left as they are; an empty table gives no row; other
     columns are carried along, and those called n_lines and n_removed are replaced.
     """
-    repeats = stage(find_repeats(docs, share).distinct(), "repeats")
+    repeats = stage(find_repeats(docs, share), "repeats")
     removed = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
     small = repeats.count() <= 2_000_000          # a number for each of them: 8 MB
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
