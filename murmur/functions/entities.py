@@ -1,18 +1,24 @@
-"""Identifier, lexicon-keyword and gazetteer entity extraction (native
-regex and array expressions)."""
+"""Identifier, lexicon-keyword and gazetteer entity extraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.resources.words import GAZETTEER
 
+# What an identifier looks like.
 CVE_PATTERN = r"(?i)\bCVE-\d{4}-\d{4,7}\b"
 IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 HASH_PATTERN = r"\b[a-fA-F0-9]{32,64}\b"
 ENTITY_TOKEN = r"[\p{L}\p{N}_]+"
-MAX_INLINE_TERMS = 2000
+LEXICON_BLOCK_BYTES = 8 << 20
+"""Lexicon terms that are broadcast at once; a larger lexicon takes more passes."""
 
 
 def cves(c: Column) -> Column:
@@ -34,83 +40,102 @@ def regex_entities(c: Column) -> Column:
     return F.struct(cves(c).alias("cves"), ips(c).alias("ips"), hashes(c).alias("hashes"))
 
 
-def with_lower(df, col: str = "clean_text", out: str = "_lc"):
-    """The lower-cased text as its own column, so the keyword conditions
-    share one ``lower`` instead of one per term."""
-    return df.withColumn(out, F.lower(F.col(col)))
+_automata: dict[str, object] = {}
 
 
-def keywords(c: Column, terms: list[str], chunk: int = 16, lowered: bool = False) -> Column:
-    """Sorted distinct lexicon terms contained (as substrings) in the
-    lower-cased text; rows without a hit get an empty array.
+def _matcher(key: str, shared):
+    """The terms' automaton, made once in each worker."""
+    if key not in _automata:
+        import ahocorasick
 
-    One ``contains`` per term, in arrays of ``chunk`` terms concatenated in
-    order: one flat array of hundreds of conditions is too large for
-    whole-stage code generation and runs about five times slower.  Pass a
-    lower-cased column (``with_lower``) with ``lowered=True`` on hot paths.
-    """
-    terms = sorted(set(terms))
-    if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("lexicon too large for the inline form; use the join form")
-    if not terms:
-        return F.array().cast("array<string>")
-    lc = c if lowered else F.lower(c)
-    parts = [F.array_compact(F.array(*[F.when(lc.contains(t), F.lit(t)) for t in terms[i:i + chunk]]))
-             for i in range(0, len(terms), chunk)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        automaton = ahocorasick.Automaton()
+        for term in shared.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        _automata.clear()
+        _automata[key] = automaton
+    return _automata[key]
 
 
-def all_terms(ents: Column, kw: Column) -> Column:
-    """Union of identifiers and keywords, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.concat(ents["cves"], ents["ips"], ents["hashes"], kw)))
+def _keyword_pass(df: DataFrame, terms: list[str], text_col: str, out: str) -> DataFrame:
+    key, shared = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(terms)
+    kept = df.columns
+    given = df.select("*", F.lower(F.col(text_col)).alias("\x00text"))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
 
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _matcher(key, shared).iter if terms else lambda text: ()
+        for part in parts:
+            found = [sorted({term for _, term in find(t or "")}) for t in part.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, pa.list_(pa.string()))],
+                                             names=[*kept, out])
 
-def _gazetteer_sets(table=GAZETTEER):
-    by_len: dict[int, list[str]] = {1: [], 2: [], 3: []}
-    for phrase, _ in table:
-        by_len[len(phrase.split())].append(phrase)
-    return by_len
+    return given.mapInArrow(batches, schema)
 
 
-def _gram(toks: Column, i: Column, n: int) -> Column:
-    return F.array_join(F.slice(toks, i, n), " ")
+def with_keywords(df: DataFrame, lexicon: DataFrame, text_col: str = "clean_text", out: str = "cyber_keywords",
+                  block_bytes: int = LEXICON_BLOCK_BYTES) -> DataFrame:
+    """Adds the sorted distinct lexicon terms contained (as substrings) in the
+    lower-cased text; rows without a hit, also null texts, get an empty array.
 
+    Each text is read once for all terms of a block (multi-pattern search over
+    Arrow batches), so the time hardly depends on the number of terms.  The
+    lexicon (``term``) is measured and broadcast block by block; the result is
+    the same for any size.
+    """
+    lexicon = lexicon.select(F.lower("term").alias("term")).filter("term <> ''").distinct()
+    size = lexicon.agg(F.coalesce(F.sum(F.octet_length("term") + 8), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    found = []
+    for b in range(blocks):
+        part = lexicon.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b) if blocks > 1 else lexicon
+        found.append(out if b == 0 else f"{out}\x00{b}")
+        df = _keyword_pass(df, sorted(r["term"] for r in part.collect()), text_col, found[-1])
+    if blocks == 1:
+        return df
+    return df.withColumn(out, F.array_sort(F.concat(*[F.col(f"`{c}`") for c in found]))).drop(*found[1:])
 
-def gazetteer_best(toks: Column, table=GAZETTEER) -> Column:
-    """Per token position, the length (3, 2, 1 or 0) of the longest phrase of
-    the gazetteer starting there."""
-    sets = _gazetteer_sets(table)
-    n = F.size(toks)
-    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
-    def best(i):
-        out = F.lit(0)
-        for k in (1, 2, 3):      # built inside out: the longest test comes first
-            if sets[k]:
-                out = F.when((i + (k - 1) <= n) & _gram(toks, i, k).isin(sets[k]), F.lit(k)).otherwise(out)
-        return out
-    return F.transform(idx, best)
+def all_terms(ents: Column, kw: Column) -> Column:
+    """Union of identifiers and keywords, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.concat(ents["cves"], ents["ips"], ents["hashes"], kw)))
 
 
-def gazetteer_entities(toks: Column, best: Column, table=GAZETTEER) -> Column:
-    """Longest phrase per start position, dropped when a longer phrase that
-    starts one or two tokens earlier covers it; ``{text, label}`` structs."""
-    labels = F.create_map(*[F.lit(x) for kv in table for x in kv])
-    n = F.size(toks)
-    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def gazetteer_table(spark, table=GAZETTEER) -> DataFrame:
+    return spark.createDataFrame(list(table), "phrase string, label string")
 
-    def at(i):
-        return F.element_at(best, i)
 
-    def keep(i):
-        covered = (((i > 1) & (F.when(i > 1, at(i - 1)) >= 2))
-                   | ((i > 2) & (F.when(i > 2, at(i - 2)) >= 3)))
-        return (at(i) > 0) & ~F.coalesce(covered, F.lit(False))
+def with_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str = "clean_text",
+                   out: str = "entities") -> DataFrame:
+    """Adds ``{text, label}`` structs of the gazetteer phrases in the text.
 
-    def ent(i):
-        phrase = _gram(toks, i, at(i))
-        return F.struct(phrase.alias("text"), F.element_at(labels, phrase).alias("label"))
-    return F.transform(F.filter(idx, keep), ent)
+    Token n-grams, of the lengths that the gazetteer has, are joined with its
+    phrases.  The longest phrase counts at each start, and it is dropped if a
+    phrase that starts before it reaches over its start.  Rows are told apart
+    by ``id_col``; those without a phrase get an empty array.
+    """
+    gazetteer = gazetteer.withColumn("k", F.size(F.split("phrase", " ")))
+    lengths = sorted(r["k"] for r in gazetteer.select("k").distinct().collect())     # a few word counts
+    toks = F.col("_toks")
+
+    def grams(k: int) -> Column:
+        starts = F.when(F.size(toks) >= k, F.sequence(F.lit(1), F.size(toks) - (k - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.struct(
+            i.alias("i"), F.array_join(F.slice(toks, i, k), " ").alias("phrase")))
+
+    rows = df.select(F.col(id_col).alias("_id"), entity_tokens(F.col(text_col)).alias("_toks"))
+    rows = rows.select("_id", F.explode_outer(F.concat(*[grams(k) for k in lengths])).alias("g"))
+    hits = rows.select("_id", "g.i", "g.phrase").join(gazetteer, "phrase")
+    best = hits.groupBy("_id", "i").agg(F.max(F.struct("k", "phrase", "label")).alias("b"))
+    reach = F.max(F.col("i") + F.col("b.k")).over(
+        Window.partitionBy("_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    kept = best.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("reach") <= F.col("i")))
+    lists = (kept.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
+        "i", F.col("b.phrase").alias("text"), F.col("b.label").alias("label")))).alias("_e"))
+        .select("_id", F.transform("_e", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))).alias(out)))
+    none = F.array().cast("array<struct<text:string,label:string>>")
+    return (df.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
+              .withColumn(out, F.coalesce(F.col(out), none)))
 
 
 def entity_tokens(c: Column) -> Column:

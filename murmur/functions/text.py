@@ -96,14 +96,11 @@ def join_words(arr: Column) -> Column:
     return F.array_join(arr, " ")
 
 
-def guard_model_input(c: Column, limit: int | None = None) -> Column:
+def guard_model_input(c: Column) -> Column:
     """Model-input guard: null for blank text (the caller substitutes the
-    default label), else the whole text.  ``limit`` cuts to that many
-    characters for a user model with a fixed input size; the scorers of this
-    package always read the whole text."""
+    default label), else the whole text."""
     blank = F.regexp_replace(F.coalesce(c, F.lit("")), "^[" + WS + "]+|[" + WS + "]+$", "") == ""
-    kept = F.substring(c, 1, limit) if limit else c
-    return F.when(blank, F.lit(None).cast("string")).otherwise(kept)
+    return F.when(blank, F.lit(None).cast("string")).otherwise(c)
 
 
 def sentiment_label(label: Column) -> Column:
@@ -112,13 +109,3 @@ def sentiment_label(label: Column) -> Column:
     return (F.when(low.contains("positive"), "positive")
              .when(low.contains("negative"), "negative")
              .otherwise("neutral"))
-
-
-def word_count(c: Column) -> Column:
-    """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "[" + WS + "]+"),
-                           lambda w: w != ""))
-
-
-def safe_double(c: Column, default: float = 0.0) -> Column:
-    return F.coalesce(c.try_cast("double"), F.lit(default))

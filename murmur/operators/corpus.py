@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import text as T
 from murmur.functions.language import language_of_tokens
+from murmur.sources.stages import stage
 
 
 def clean(df: DataFrame, text_col: str = "text", emoji: bool = True) -> DataFrame:
@@ -82,12 +83,12 @@ def rank_words(freq: DataFrame) -> DataFrame:
 
     A range-partitioned sort orders the words; each row's position inside its
     partition comes from monotonically_increasing_id, the sorted table is
-    checkpointed (freezes partitions and cuts lineage), and per-partition
+    written (which fixes the positions), and per-partition
     offsets (one row per partition) are a running sum broadcast back.
     """
     ordered = (freq.orderBy(F.col("frequency").desc(), F.col("word"))
                    .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = ordered.checkpoint(eager=True)
+    ordered = stage(ordered, "ordered-words")
     part = F.shiftright(F.col("_mid"), 33)
     sizes = ordered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
@@ -108,8 +109,9 @@ def with_final_tokens(df: DataFrame, stopwords: list[str], col: str = "lemmas")
 
 
 def preprocess(df: DataFrame, text_col: str = "text", top_n: int = 50):
-    """Full preprocessing stage: returns (rows, word frequency, stopwords)."""
-    rows = prepare(df, text_col)
+    """Full preprocessing stage: returns (rows, word frequency, stopwords).  The
+    prepared rows are written once; the counts and the final tokens read them."""
+    rows = stage(prepare(df, text_col), "prepared")
     freq = word_frequency(rows)
     stop = stopword_list(freq, top_n)
     return with_final_tokens(rows, stop), freq, stop

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,10 +61,10 @@ def facet_filter(df: DataFrame, sentiments=(), emotions=(), topics=(), videos=()
 
 
 def facet_values(df: DataFrame, cols=("sentiment", "emotion_label", "topic_id", "video_id")) -> DataFrame:
-    """(facet, value) of every distinct non-null value, as strings."""
-    parts = [df.select(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value"))
-             for c in cols if c in df.columns]
-    return reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull()).distinct()
+    """(facet, value) of every distinct non-null value, as strings, in one pass."""
+    pairs = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in cols if c in df.columns]
+    rows = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.facet", "p.value")
+    return rows.filter(F.col("value").isNotNull()).distinct()
 
 
 def dashboard_counts(df: DataFrame, filtered: DataFrame) -> DataFrame:
@@ -103,38 +103,31 @@ def to_day(c: F.Column, dtype) -> F.Column:
 
 def sentiment_over_time(df: DataFrame, ts: str = "updated_at", labels=SENTIMENTS) -> DataFrame:
     """Comment counts per day and sentiment, sentiments as columns, 0 when
-    absent; rows whose time does not parse are dropped."""
+    absent; rows whose time does not parse are dropped.  The columns are
+    ``labels`` and whatever other labels the data has."""
     day = to_day(F.col(ts), df.schema[ts].dataType)
     rows = df.select(day.alias("date"), "sentiment").filter(F.col("date").isNotNull()
                                                            & F.col("sentiment").isNotNull())
-    return rows.groupBy("date").pivot("sentiment", list(labels)).count().na.fill(0)
+    found = {r["sentiment"] for r in rows.select("sentiment").distinct().collect()}   # one row per column
+    columns = [*labels, *sorted(found - set(labels))]
+    return rows.groupBy("date").pivot("sentiment", columns).count().na.fill(0)
 
 
 def corpus_summary(df: DataFrame, topic_top: int = 15) -> DataFrame:
     """Long table (section, key, value): row count, column list and the
-    language / sentiment / topic (top n) / emotion distributions in one scan
-    (GROUPING SETS)."""
-    present = [c for c in ("language", "sentiment", "topic_id", "emotion_label") if c in df.columns]
-    cols = [F.col(c).cast("string").alias(c) for c in present]
-    g = (df.select(*cols).groupingSets([[c] for c in present] + [[]], *present)
-           .agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("_gid")))
-    nsets = len(present)
-    parts = []
-    for i, c in enumerate(present):
-        gid = (1 << nsets) - 1 - (1 << (nsets - 1 - i))
-        part = g.filter((F.col("_gid") == gid) & F.col(c).isNotNull()).select(
-            F.lit({"topic_id": "topic", "emotion_label": "emotion"}.get(c, c)).alias("section"),
-            F.col(c).alias("key"), "value")
-        parts.append(part)
-    rows = g.filter(F.col("_gid") == (1 << nsets) - 1).select(
-        F.lit("rows").alias("section"), F.lit("rows").alias("key"), "value")
-    spark = df.sparkSession
-    columns = spark.createDataFrame([("columns", c, i + 1) for i, c in enumerate(df.columns)],
-                                    "section string, key string, value long")
-    out = reduce(DataFrame.unionByName, [rows, columns] + parts)
-    if "topic_id" in present:
-        from pyspark.sql import Window
-        w = Window.partitionBy("section").orderBy(F.col("value").desc(), F.col("key").try_cast("int"))
-        out = (out.withColumn("_r", F.when(F.col("section") == "topic", F.row_number().over(w)))
-                  .filter(F.col("_r").isNull() | (F.col("_r") <= topic_top)).drop("_r"))
-    return out
+    language / sentiment / topic (top n) / emotion distributions.
+
+    Each row gives one (section, key) pair per distribution and one for the
+    row count; one aggregation over one scan counts them all."""
+    sections = {"language": "language", "sentiment": "sentiment", "topic_id": "topic", "emotion_label": "emotion"}
+    pairs = [F.struct(F.lit("rows").alias("section"), F.lit("rows").alias("key"))]
+    pairs += [F.struct(F.lit(name).alias("section"), F.col(c).cast("string").alias("key"))
+              for c, name in sections.items() if c in df.columns]
+    counted = (df.select(F.explode(F.array(*pairs)).alias("p")).select("p.section", "p.key")
+               .filter(F.col("key").isNotNull()).groupBy("section", "key").agg(F.count(F.lit(1)).alias("value")))
+    w = Window.partitionBy("section").orderBy(F.col("value").desc(), F.col("key").try_cast("int"), "key")
+    counted = (counted.withColumn("_r", F.row_number().over(w))
+                      .filter((F.col("section") != "topic") | (F.col("_r") <= topic_top)).drop("_r"))
+    columns = df.sparkSession.createDataFrame([("columns", c, i + 1) for i, c in enumerate(df.columns)],
+                                              "section string, key string, value long")
+    return counted.unionByName(columns)

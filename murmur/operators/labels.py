@@ -77,13 +77,12 @@ def irony(g: Column, toks: Column, cues=IRONY_CUES) -> Column:
 # --- batch scoring with a user model ----------------------------------------------
 
 def batch_score(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[list[str]], list[dict]]],
-                default_label: str = "neutral", out: str = "prediction", label_map=None,
-                max_chars: int | None = None) -> DataFrame:
+                default_label: str = "neutral", out: str = "prediction", label_map=None) -> DataFrame:
     """Score ``text_col`` with a model built once per task by
     ``model_factory()``; the model takes a list of texts and returns
     ``[{"label", "score"}]``.  Blank texts get ``default_label`` with 0.0 and
-    are not sent to the model.  Whole texts are sent unless ``max_chars``
-    is given for a model with a fixed input size."""
+    are not sent to the model.  Whole texts are sent; a model with a fixed
+    input size does its own windowing."""
     cols = df.columns
     guarded = "_guarded"
     schema = T.StructType(list(df.select(*cols).schema.fields) + [
@@ -105,7 +104,7 @@ def batch_score(df: DataFrame, text_col: str, model_factory: Callable[[], Callab
             res[out + "_score"] = scores
             yield res
 
-    scored = df.withColumn(guarded, guard_model_input(F.col(text_col), max_chars)).mapInPandas(run, schema)
+    scored = df.withColumn(guarded, guard_model_input(F.col(text_col))).mapInPandas(run, schema)
     if label_map is not None:
         scored = scored.withColumn(out + "_label", label_map(F.col(out + "_label")))
     return scored

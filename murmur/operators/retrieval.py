@@ -3,33 +3,28 @@ inner product on unit vectors (semantic) and their hybrid merge."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from murmur.sources.stages import stage
 
 # Terms as the default sparse vectoriser sees them: lower case, runs of two or
 # more word characters.
 LEX_PATTERN = r"[\p{L}\p{N}_]{2,}"
 LEX_DIGITS = 6       # lexical scores are compared at 6 decimals
 SEM_DIGITS = 5       # float32 dot products are compared at 5 decimals
-MAX_BROADCAST_ROWS = 2_000_000
+BLOCK_BYTES = 16 << 20
+"""Questions that are sent to the tasks at once; more of them take more passes."""
 
 
 def lex_terms(c):
     return F.regexp_extract_all(F.lower(c), F.lit(LEX_PATTERN), 0)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven small; otherwise the
-    planner (and AQE at run time) chooses the join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def top_k(df: DataFrame, k: int, part: str, score: str, tie: str, rank: str = "rank") -> DataFrame:
     """Rows with rank <= k per ``part``, ordered by score desc then ``tie``.
     Plans as WindowGroupLimit (partial before the shuffle, final after)."""
@@ -45,145 +40,166 @@ def _term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _normalise(df: DataFrame, id_col: str, raw: str, out: str) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col(raw) * F.col(raw)).over(Window.partitionBy(id_col)))
-    return df.withColumn(out, F.col(raw) / norm).drop(raw)
+class _Best:
+    """The k best rows of each question so far, by score (rounded), then id."""
+
+    def __init__(self, n: int, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.ids = np.zeros((n, 0), np.int64)
+        self.scores = np.zeros((n, 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: questions x rows; minus infinity for rows that aren't hits."""
+        scores = np.concatenate([self.scores, np.round(scores, self.digits)], 1)
+        ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))], 1)
+        if scores.shape[1] > self.k:
+            order = np.lexsort((ids, -scores), axis=1)[:, :self.k]
+            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        self.ids, self.scores = ids, scores
+
+    def rows(self, qids: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        q, r = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(self.ids[q, r]), pa.array(self.scores[q, r])],
+                                          names=names)
+
+
+def _blocks(questions: DataFrame, size_of, block_bytes: int):
+    """The questions in lists of bounded size, one at a time on the driver."""
+    size = questions.agg(F.coalesce(F.sum(size_of), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    for b in range(n):
+        part = questions if n == 1 else questions.filter(F.pmod(F.xxhash64(questions.columns[0]), F.lit(n)) == b)
+        yield part.collect()
+
+
+def _search(corpus: DataFrame, blocks, score_batch, k: int, digits: int, qid: str, id_col: str, score: str) -> DataFrame:
+    """Top-k of all blocks of questions: each partition of the corpus gives k
+    rows per question, and a window merges them.  No pair table is made."""
+    out = corpus.sparkSession.createDataFrame([], f"{qid} bigint, {id_col} bigint, {score} double")
+    for prepared in blocks:
+        if prepared is None:
+            continue
+        shared = corpus.sparkSession.sparkContext.broadcast(prepared)
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            best = _Best(len(block["qid"]), k, digits)
+            for part in parts:
+                step = max(1, (32 << 20) // (8 * len(block["qid"]) + 1))      # 32 MB of scores at once
+                for begin in range(0, part.num_rows, step):
+                    best.add(*score_batch(block, part.slice(begin, step)))
+            yield best.rows(block["qid"], [qid, id_col, score])
+
+        out = out.unionByName(corpus.mapInArrow(run, f"{qid} bigint, {id_col} bigint, {score} double"))
+    return top_k(out, k, qid, score, id_col)
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends) of an Arrow list column."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False), offsets
 
 
 class TfidfIndex:
-    """TF-IDF index in inverted form: term counts ``(id, term, tf)``, the idf
-    table ``idf = ln((1 + n) / (1 + df)) + 1`` and one L2 norm per document.
-
-    A question batch reads only the postings of its own terms and scores
-    ``sum(tf * idf * qw) / norm`` (= cosine of the L2-normalised vectors);
-    the rest of the index is never touched at query time.  The three tables
-    are checkpointed to the shared checkpoint folder (lineage cut, nothing
-    pinned in executor memory).  Building shuffles on (id, term) for the counts
-    (no shuffle when the corpus is already partitioned by id); the counts,
-    the norms and the per-question sums all stay partitioned by id.
+    """TF-IDF vectors as a stored table, built once: one row ``(id, terms, w)``
+    per document, with hashed terms and L2-normalised weights, and the idf table
+    ``idf = ln((1 + n) / (1 + df)) + 1``.
+
+    A search reads the rows once per block of questions: their dot products with
+    the questions are taken batch by batch, each partition keeps its k best rows
+    per question, and only those are shuffled.
     """
 
-    def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 checkpoint: bool = True):
+    def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.id_col = id_col
-
-        def keep(df):
-            return df.checkpoint(eager=True) if checkpoint else df
-        self.tf = keep(_term_counts(corpus, id_col, text_col))
-        n = corpus.count()
-        self.idf = keep(self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                        .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-        raw = self.tf.join(self.idf, "term").select(id_col, (F.col("tf") * F.col("idf")).alias("raw"))
-        # one row per document, computed inside the query plan (an aggregation
-        # that keeps the id partitioning of the counts)
-        self.norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        corpus = corpus.select(F.col(id_col).cast("long").alias(id_col), text_col)
+        tf = stage(_term_counts(corpus, id_col, text_col), "term-counts")
+        n = corpus.select(id_col).count()
+        self.idf = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                         .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
+        rows = (tf.join(self.idf, "term").groupBy(id_col)
+                .agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("idf")).alias("w"))).alias("v")))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        self.rows = stage(rows.select(id_col, F.col("v.t").alias("terms"),
+                                      F.transform("v", lambda x: x["w"] / norm).alias("w")), "tfidf")
 
     @property
     def weights(self) -> DataFrame:
-        """(id, term, w): the normalised document vectors."""
-        return (self.tf.join(self.idf, "term").join(self.norms, self.id_col)
-                    .select(self.id_col, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w")))
+        """(id, term hash, w): the normalised document vectors."""
+        return self.rows.select(self.id_col, F.explode(F.arrays_zip("terms", "w")).alias("x")).select(
+            self.id_col, F.col("x.terms").alias("term"), F.col("x.w").alias("w"))
 
     def query_vectors(self, queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
-        qtf = _term_counts(queries, qid, text_col)
-        raw = (qtf.join(self.idf, "term")          # unknown query terms drop out
-                  .select(qid, "term", "idf", (F.col("tf") * F.col("idf")).alias("raw")))
-        return _normalise(raw, qid, "raw", "qw")
-
-    def scores(self, queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
-        """(qid, id, lexical_score) for every document sharing a term with the
-        question; exact, score > 0 only."""
-        qv = bounded_broadcast(self.query_vectors(queries, qid, text_col))
-        part = (self.tf.join(qv, "term")
-                    .select(qid, self.id_col, (F.col("tf") * F.col("idf") * F.col("qw")).alias("_p")))
-        dots = part.groupBy(qid, self.id_col).agg(F.sum("_p").alias("_dot"))
-        return (dots.join(self.norms, self.id_col)
-                    .select(qid, self.id_col, F.round(F.col("_dot") / F.col("norm"), LEX_DIGITS).alias("lexical_score"))
-                    .filter(F.col("lexical_score") > 0))
-
-    def top_k(self, queries: DataFrame, k: int = 5, qid: str = "qid", text_col: str = "text") -> DataFrame:
-        return top_k(self.scores(queries, qid, text_col), k, qid, "lexical_score", self.id_col)
+        """(qid, term, qw); terms that the corpus doesn't have drop out."""
+        raw = _term_counts(queries, qid, text_col).join(self.idf, "term").select(
+            qid, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(qid)))
+        return raw.withColumn("qw", F.col("raw") / norm).drop("raw")
+
+    def top_k(self, queries: DataFrame, k: int = 5, qid: str = "qid", text_col: str = "text",
+              block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        """(qid, id, lexical_score, rank); exact, scores above 0 only."""
+        vectors = (self.query_vectors(queries, qid, text_col).groupBy(F.col(qid).cast("long").alias(qid))
+                   .agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "qw")).alias("v")))
+
+        def prepared():
+            for rows in _blocks(vectors, F.size("v") * 16 + 8, block_bytes):
+                if not rows:
+                    continue
+                terms = np.array([x["t"] for r in rows for x in r["v"]], np.int64)
+                order = np.argsort(terms, kind="stable")
+                yield {"qid": np.array([r[qid] for r in rows], np.int64), "terms": terms[order],
+                       "q": np.repeat(np.arange(len(rows)), [len(r["v"]) for r in rows])[order],
+                       "w": np.array([x["qw"] for r in rows for x in r["v"]])[order]}
+
+        return _search(self.rows, prepared(), _lexical, k, LEX_DIGITS, qid, self.id_col, "lexical_score")
+
+
+def _lexical(block: dict, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Dot products of a batch of documents with the questions; -inf without a common term."""
+    ids = part.column(0).to_numpy()
+    terms, ends = _lists(part.column(1))
+    weights, _ = _lists(part.column(2))
+    doc = np.repeat(np.arange(len(ids)), np.diff(ends))
+    terms, weights = terms[ends[0]:ends[-1]], weights[ends[0]:ends[-1]]
+    low, high = np.searchsorted(block["terms"], terms, "left"), np.searchsorted(block["terms"], terms, "right")
+    some = np.flatnonzero(high > low)
+    times = (high - low)[some]
+    at = np.repeat(low[some] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    cell = block["q"][at] * len(ids) + np.repeat(doc[some], times)
+    scores = np.bincount(cell, np.repeat(weights[some], times) * block["w"][at], len(block["qid"]) * len(ids))
+    scores = scores.reshape(len(block["qid"]), len(ids))
+    return ids, np.where(np.round(scores, LEX_DIGITS) > 0, scores, -np.inf)
 
 
 # --- exact inner-product search ---------------------------------------------------
 
-def _partition_top_k(query_ids: np.ndarray, query_mat: np.ndarray, k: int, id_col: str,
-                     vec_col: str, margin: float):
-    """mapInPandas body: per corpus partition, scores against all questions
-    (one matrix product per batch) and keeps, per question, the k best rows
-    plus any row within ``margin`` of the k-th (so rounding cannot change the
-    final order).  Emits O(k) rows per question and partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(len(query_ids))]
-        best_scores = [np.empty(0, dtype=np.float64) for _ in range(len(query_ids))]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            scores = mat @ query_mat.T                      # rows x questions
-            for j in range(len(query_ids)):
-                s = np.concatenate([best_scores[j], scores[:, j]])
-                i = np.concatenate([best_ids[j], ids])
-                if len(s) > k:
-                    kth = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= kth - margin
-                    s, i = s[keep], i[keep]
-                best_scores[j], best_ids[j] = s, i
-        out = [pd.DataFrame({"qid": np.full(len(best_ids[j]), query_ids[j], dtype=np.int64),
-                             id_col: best_ids[j], "score": best_scores[j]})
-               for j in range(len(query_ids)) if len(best_ids[j])]
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-    return run
+def _semantic(block: dict, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    values, ends = _lists(part.column(1))
+    rows = values[ends[0]:ends[-1]].reshape(part.num_rows, -1).astype(np.float64)
+    return part.column(0).to_numpy(), block["vectors"] @ rows.T
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc_id",
                  vec_col: str = "embedding", qid: str = "qid", qvec: str = "embedding",
-                 max_queries: int = 50_000) -> DataFrame:
-    """Exact top-k by inner product (= cosine on unit vectors).
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact top-k by inner product (= cosine on unit vectors): exactly k rows
+    per question, ties of the rounded score by id.
 
-    The question matrix is bounded by ``max_queries`` rows per broadcast;
-    larger question tables are processed in blocks of that size, each block a
-    distributed pass over the corpus.  No pair table is ever materialised.
+    Questions are sent in blocks of bounded size, each a distributed pass over
+    the corpus; scores are matrix products of bounded size.
     """
-    qcol = F.col(qid)
-    pick = queries.select(qcol.alias("q"), F.col(qvec).alias("v"))
-    first = pick.limit(max_queries + 1).collect()          # at most one block on the driver
-    blocks = 1 if len(first) <= max_queries else max(2, math.ceil(queries.count() / max_queries))
-    results = []
-    for b in range(blocks):
-        if blocks == 1:
-            rows = first
-        else:
-            rows = pick.filter(F.pmod(F.xxhash64(F.col("q")), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        q_ids = np.array([r["q"] for r in rows], dtype=np.int64)
-        q_mat = np.array([r["v"] for r in rows], dtype=np.float64)
-        sc = corpus.sparkSession.sparkContext
-        bq = sc.broadcast((q_ids, q_mat))
-        margin = 10.0 ** (-SEM_DIGITS)
-        schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(id_col, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-
-        def run(batches, bq=bq):
-            ids, mat = bq.value
-            yield from _partition_top_k(ids, mat, k, id_col, vec_col, margin)(batches)
-
-        cand = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).mapInPandas(run, schema)
-        results.append(cand)
-    if not results:
-        spark = corpus.sparkSession
-        return spark.createDataFrame([], f"{qid} bigint, {id_col} bigint, semantic_score double, rank int")
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
-    cand = cand.select(F.col("qid").alias(qid), id_col,
-                       F.round(F.col("score"), SEM_DIGITS).alias("semantic_score"))
-    return top_k(cand, k, qid, "semantic_score", id_col)
+    pick = queries.select(F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")).filter(F.col("v").isNotNull())
+
+    def prepared():
+        for rows in _blocks(pick, F.size("v") * 8 + 8, block_bytes):
+            if rows:
+                yield {"qid": np.array([r["q"] for r in rows], np.int64),
+                       "vectors": np.array([r["v"] for r in rows], np.float64)}
+
+    rows = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>")).filter(
+        F.col(vec_col).isNotNull())
+    return _search(rows, prepared(), _semantic, k, SEM_DIGITS, qid, id_col, "semantic_score")
 
 
 # --- hybrid ---------------------------------------------------------------------------
@@ -196,14 +212,16 @@ def dedup_by_text(hits: DataFrame, qid: str, id_col: str, text_col: str, score:
 
 def hybrid_merge(sem: DataFrame, lex: DataFrame, k: int = 5, alpha: float = 0.7,
                  qid: str = "qid", id_col: str = "comment_id", text_col: str = "text") -> DataFrame:
-    """Full outer merge of the two hit lists on (question, raw text); a side
-    that did not return the text scores 0.0; hybrid = a*sem + (1-a)*lex."""
-    s = dedup_by_text(sem, qid, id_col, text_col, "semantic_score") \
-        .select(qid, text_col, F.col(id_col).alias("_sid"), "semantic_score")
-    lx = dedup_by_text(lex, qid, id_col, text_col, "lexical_score") \
-        .select(qid, text_col, F.col(id_col).alias("_lid"), "lexical_score")
-    merged = s.join(lx, [qid, text_col], "full_outer").select(
-        qid, text_col,
+    """Full outer merge of the two hit lists on (question, raw text), compared by
+    a 256-bit digest; a side that did not return the text scores 0.0;
+    hybrid = a*sem + (1-a)*lex."""
+    digest = F.sha2(F.col(text_col).cast("binary"), 256)
+    s = dedup_by_text(sem.withColumn("_key", digest), qid, id_col, "_key", "semantic_score") \
+        .select(qid, "_key", F.col(id_col).alias("_sid"), F.col(text_col).alias("_stext"), "semantic_score")
+    lx = dedup_by_text(lex.withColumn("_key", digest), qid, id_col, "_key", "lexical_score") \
+        .select(qid, "_key", F.col(id_col).alias("_lid"), F.col(text_col).alias("_ltext"), "lexical_score")
+    merged = s.join(lx, [qid, "_key"], "full_outer").select(
+        qid, F.coalesce("_stext", "_ltext").alias(text_col),
         F.coalesce("_sid", "_lid").alias(id_col),
         F.coalesce("semantic_score", F.lit(0.0)).alias("semantic_score"),
         F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"))
@@ -228,10 +246,6 @@ def hybrid_search(corpus_text: DataFrame, corpus_vecs: DataFrame, questions: Dat
     lex = index.top_k(questions, 2 * k).select("qid", F.col("doc_id").alias("comment_id"), "lexical_score")
     sem = (cosine_top_k(corpus_vecs.withColumnRenamed("comment_id", "doc_id"), question_vecs, 2 * k)
            .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score"))
-    # At most 2k hits per question: with that bound under the broadcast limit
-    # the hits are shipped to the corpus scan instead of shuffling the corpus.
-    if questions.count() * 2 * k <= MAX_BROADCAST_ROWS:
-        lex, sem = F.broadcast(lex), F.broadcast(sem)
     lex = lex.join(corpus_text, "comment_id")
     sem = sem.join(corpus_text, "comment_id")
     return hybrid_merge(sem, lex, k, alpha)

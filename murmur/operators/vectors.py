@@ -7,7 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.operators.retrieval import SEM_DIGITS
+from murmur.operators.retrieval import SEM_DIGITS, cosine_top_k
+from murmur.sources.stages import stage
 
 
 def embed(df: DataFrame, tokens_col: str, dims: int = 256, out: str = "embedding") -> DataFrame:
@@ -42,17 +43,19 @@ def vector_table(df: DataFrame, id_col: str, text_col: str, vec_col: str = "embe
 
 
 def lsh_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, bucket_length: float = 0.5,
-              tables: int = 8, max_distance: float = 1.2, id_col: str = "doc_id",
-              qid: str = "qid", seed: int = 7) -> DataFrame:
-    """Approximate top-k: random-projection LSH proposes candidate pairs with
-    Euclidean distance below ``max_distance`` (on unit vectors d^2 = 2 - 2 cos),
-    then candidates are ranked exactly by inner product."""
+              tables: int = 8, id_col: str = "doc_id", qid: str = "qid", seed: int = 7) -> DataFrame:
+    """Approximate top-k: random-projection LSH proposes candidate pairs (on unit
+    vectors d^2 = 2 - 2 cos), which are ranked exactly by inner product.  A
+    question with fewer than k candidates is searched exactly instead."""
     c = corpus.select(F.col(id_col).alias("_id"), array_to_vector("embedding").alias("_v"))
     q = queries.select(F.col(qid).alias("_q"), array_to_vector("embedding").alias("_v"))
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, max_distance, distCol="_d")
+    pairs = model.approxSimilarityJoin(q, c, 4.0, distCol="_d")     # no two unit vectors are farther apart
     scored = pairs.select(F.col("datasetA._q").alias(qid), F.col("datasetB._id").alias(id_col),
                           F.round(1.0 - F.col("_d") * F.col("_d") / 2.0, SEM_DIGITS).alias("semantic_score"))
     w = Window.partitionBy(qid).orderBy(F.col("semantic_score").desc(), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
+    found = stage(scored.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k), "lsh")
+    full = found.filter(F.col("rank") == k).select(qid)
+    few = cosine_top_k(corpus, queries.join(full, qid, "left_anti"), k, id_col, qid=qid)
+    return found.join(full, qid, "left_semi").unionByName(few)

@@ -1,10 +1,12 @@
 """The full build as a chain of stages, each written as a Parquet table in
-the shared checkpoint folder.  A stage whose table is complete is read back
-instead of recomputed, so a failed build restarts from the last finished
-stage."""
+the shared checkpoint folder.  The tables of a build are in a folder named by
+its input and parameters; a stage whose table is complete is read back instead
+of recomputed, so a failed build restarts from the last finished stage, and new
+input or parameters are built anew."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,14 @@ def _done(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def fingerprint(raw: DataFrame, *parameters) -> str:
+    """A key of the input's rows (in any order) and of the build's parameters."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    n, total = raw.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)"))).first()
+    said = repr((raw.dtypes, n, str(total), parameters))
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
 def staged(spark: SparkSession, root: str, name: str, make, partition_by=None) -> DataFrame:
     path = os.path.join(root, name)
     if not _done(spark, path):
@@ -30,10 +40,13 @@ def staged(spark: SparkSession, root: str, name: str, make, partition_by=None) -
 
 
 def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, min_topic_size: int = 10,
-              k: int = 10, lexicon_path: str = lexicon.DEFAULT_LEXICON) -> dict[str, DataFrame]:
+              k: int | None = None, lexicon_path: str | None = None) -> dict[str, DataFrame]:
     """raw: (comment_id, text, video_id, ...) -> processed, word frequency,
-    entities, labels, topics, vector table and summary stages."""
-    terms = lexicon.lexicon_terms(spark, lexicon_path)
+    entities, labels, topics (with info, per sentiment too), vector table and
+    summary stages."""
+    terms = lexicon.read_lexicon(spark, lexicon_path)
+    words = sorted(r["term"] for r in terms.collect()) if lexicon_path is None else lexicon_path
+    root = os.path.join(root, fingerprint(raw, top_n, min_topic_size, k, words))
     processed = staged(spark, root, "processed", lambda: corpus.prepare(raw))
     freq = staged(spark, root, "word_frequency", lambda: corpus.rank_words(corpus.word_frequency(processed)))
     stop_df = freq.filter(F.col("rank") <= top_n).select("word")
@@ -43,11 +56,9 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
 
     def with_entities():
         c = F.col("clean_text")
-        ents = E.regex_entities(c)
-        kw = E.keywords(F.col("_lc"), terms, lowered=True)
-        return (E.with_lower(final).select("*", ents.alias("regex_entities"), kw.alias("cyber_keywords"))
-                .withColumn("all_extracted_terms", E.all_terms(F.col("regex_entities"), F.col("cyber_keywords")))
-                .drop("_lc"))
+        found = E.with_keywords(final.withColumn("regex_entities", E.regex_entities(c)), terms)
+        found = found.withColumn("all_extracted_terms", E.all_terms(F.col("regex_entities"), F.col("cyber_keywords")))
+        return E.with_gazetteer(found, E.gazetteer_table(spark), "comment_id")
     ner = staged(spark, root, "entities", with_entities)
 
     def with_labels():
@@ -63,12 +74,15 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
     analysed = staged(spark, root, "final_analysis",
                       lambda: topics.cluster(embedded, "embedding", k=k, min_topic_size=min_topic_size,
                                              id_col="comment_id", model_path=os.path.join(root, "topic_model")))
+    info = staged(spark, root, "topic_info", lambda: topics.topic_info(analysed))
     by_sentiment = staged(spark, root, "topics_by_sentiment",
-                          lambda: topics.per_group_topics(embedded, "sentiment", min_topic_size=5, k=max(2, k // 2),
-                                                          id_col="comment_id")[0],
+                          lambda: topics.per_group_topics(embedded, "sentiment", min_topic_size=5, id_col="comment_id")[0],
                           partition_by=["sentiment"])
+    sentiment_info = staged(spark, root, "topic_info_by_sentiment",
+                            lambda: by_sentiment.groupBy("sentiment", "sentiment_topic_id").agg(F.count(F.lit(1)).alias("count")))
     store = staged(spark, root, "vector_store",
                    lambda: vectors.vector_table(analysed, "comment_id", "final_text"))
     summary = staged(spark, root, "summary", lambda: explore.corpus_summary(analysed.drop("embedding")))
     return {"processed": processed, "word_frequency": freq, "final": final, "entities": ner,
-            "labelled": labelled, "final_analysis": analysed, "topics_by_sentiment": by_sentiment, "vector_store": store, "summary": summary}
+            "labelled": labelled, "final_analysis": analysed, "topic_info": info, "topics_by_sentiment": by_sentiment,
+            "topic_info_by_sentiment": sentiment_info, "vector_store": store, "summary": summary}

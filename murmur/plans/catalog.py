@@ -149,8 +149,7 @@ def doc_vectors(spark, sf_dir, doc_filter=None) -> DataFrame:
 WITH {O.tfidf_ctes(O.DOC_CORPUS, O.QUESTIONS)}
 SELECT qid, id AS comment_id, lexical_score, rank FROM {O.ranked('lx_sc', 'qid', 'lexical_score', 'id', 5)}""")
 def q_tfidf_topk(spark, sf_dir):
-    index = retrieval.TfidfIndex(docs(spark, sf_dir).select("doc_id", "text"))
-    return (index.top_k(questions(spark, sf_dir), 5)
+    return (text_index(spark, sf_dir).top_k(questions(spark, sf_dir), 5)
             .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score", "rank"))
 
 
@@ -162,7 +161,11 @@ def q_cosine_topk(spark, sf_dir):
             .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
 
 
-def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None, qs=None):
+def text_index(spark, sf_dir) -> retrieval.TfidfIndex:
+    return retrieval.TfidfIndex(docs(spark, sf_dir).select(F.col("doc_id"), "text"))
+
+
+def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None, qs=None, index=None):
     qs = questions(spark, sf_dir) if qs is None else qs
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     qvec = qs.join(emb, F.col("qid") == F.col("vec_id")).select("qid", "embedding")
@@ -171,7 +174,7 @@ def hybrid(spark, sf_dir, k=5, alpha=0.7, doc_filter=None, qs=None):
         d = d.filter(doc_filter)
     text_of = d.select(F.col("doc_id").alias("comment_id"), "text")
     vecs = doc_vectors(spark, sf_dir, doc_filter).withColumnRenamed("doc_id", "comment_id")
-    return retrieval.hybrid_search(text_of, vecs, qs, qvec, k, alpha)
+    return retrieval.hybrid_search(text_of, vecs, qs, qvec, k, alpha, index)
 
 
 HYBRID_COLS = ["qid", "comment_id", "semantic_score", "lexical_score", "hybrid_score", "rank"]
@@ -200,7 +203,7 @@ def clean_docs(spark, sf_dir) -> DataFrame:
 
 
 _CLEAN_DOCS = O.clean_ctes("(SELECT doc_id, text FROM documents)")
-_TERMS = lexicon.local_terms()
+_TERMS = lexicon.shipped_terms()
 
 
 @register("regex_entities", f"""
@@ -229,9 +232,7 @@ def q_regex_entities_raw(spark, sf_dir):
 WITH {_CLEAN_DOCS}
 SELECT doc_id, {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM cl3""")
 def q_keyword_hits(spark, sf_dir):
-    terms = lexicon.lexicon_terms(spark)
-    d = E.with_lower(clean_docs(spark, sf_dir))
-    return d.select("doc_id", E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords"))
+    return E.with_keywords(clean_docs(spark, sf_dir), lexicon.read_lexicon(spark)).select("doc_id", "cyber_keywords")
 
 
 @register("keyword_counts", f"""
@@ -239,28 +240,21 @@ WITH {_CLEAN_DOCS},
 kw AS (SELECT unnest({O.keywords("clean_text", _TERMS)}) AS term FROM cl3)
 SELECT term, count(*) AS n FROM kw GROUP BY term""")
 def q_keyword_counts(spark, sf_dir):
-    terms = lexicon.lexicon_terms(spark)
-    d = E.with_lower(clean_docs(spark, sf_dir))
-    kw = d.select(F.explode_outer(E.keywords(F.col("_lc"), terms, lowered=True)).alias("term"))
+    d = E.with_keywords(clean_docs(spark, sf_dir), lexicon.read_lexicon(spark))
+    kw = d.select(F.explode_outer("cyber_keywords").alias("term"))
     return kw.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("keyword_join", f"""
 WITH {_CLEAN_DOCS},
 lx AS (SELECT unnest({O.q(chr(10).join(_TERMS))}.string_split(chr(10))) AS term)
-SELECT doc_id, list(term ORDER BY term) AS cyber_keywords
-FROM cl3 JOIN lx ON contains(lower(clean_text), term) GROUP BY doc_id""")
+SELECT doc_id, coalesce(list(term ORDER BY term) FILTER (WHERE term IS NOT NULL), []) AS cyber_keywords
+FROM cl3 LEFT JOIN lx ON contains(lower(clean_text), term) GROUP BY doc_id""")
 def q_keyword_join(spark, sf_dir):
-    """The join form (lexicon broadcast, theta join on containment), for
-    lexicons too large for one expression; documents without a hit drop out."""
-    lex = lexicon.read_lexicon(spark)
-    return keywords_by_join(clean_docs(spark, sf_dir), lex)
-
-
-def keywords_by_join(d: DataFrame, lex: DataFrame) -> DataFrame:
-    lex = retrieval.bounded_broadcast(lex)
-    hits = d.select("doc_id", F.lower("clean_text").alias("lc")).join(lex, F.col("lc").contains(F.col("term")))
-    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("cyber_keywords"))
+    """Documents with the lexicon terms that they contain, the lexicon in many
+    blocks: the same rows as in one."""
+    return E.with_keywords(clean_docs(spark, sf_dir), lexicon.read_lexicon(spark), block_bytes=2048).select(
+        "doc_id", "cyber_keywords")
 
 
 @register("all_terms", f"""
@@ -270,11 +264,9 @@ SELECT doc_id, list_sort(list_distinct(flatten([
     regexp_extract_all(clean_text, {O.q(E.HASH_PATTERN)}), {O.keywords("clean_text", _TERMS)}])))
     AS all_extracted_terms FROM cl3""")
 def q_all_terms(spark, sf_dir):
-    terms = lexicon.lexicon_terms(spark)
-    c = F.col("clean_text")
-    return E.with_lower(clean_docs(spark, sf_dir)).select(
-        "doc_id", E.all_terms(E.regex_entities(c), E.keywords(F.col("_lc"), terms, lowered=True))
-        .alias("all_extracted_terms"))
+    d = E.with_keywords(clean_docs(spark, sf_dir), lexicon.read_lexicon(spark))
+    return d.select("doc_id", E.all_terms(E.regex_entities(F.col("clean_text")), F.col("cyber_keywords"))
+                    .alias("all_extracted_terms"))
 
 
 @register("gazetteer_entities", f"""
@@ -282,9 +274,7 @@ WITH {_CLEAN_DOCS},
 {O.gazetteer_ctes("cl3", GAZETTEER)}
 SELECT doc_id, {O.gazetteer_select(GAZETTEER)} AS entities FROM gz1""")
 def q_gazetteer_entities(spark, sf_dir):
-    d = clean_docs(spark, sf_dir).withColumn("_toks", E.entity_tokens(F.col("clean_text")))
-    d = d.withColumn("_best", E.gazetteer_best(F.col("_toks")))
-    return d.select("doc_id", E.gazetteer_entities(F.col("_toks"), F.col("_best")).alias("entities"))
+    return E.with_gazetteer(clean_docs(spark, sf_dir), E.gazetteer_table(spark), "doc_id").select("doc_id", "entities")
 
 
 # --- exploration over the analysed-comment table ----------------------------------
@@ -621,14 +611,13 @@ SELECT doc_id, {_PL} AS sentiment, {_PS} AS sentiment_score, {_IL} AS irony_labe
        regexp_extract_all(clean_text, {O.q(E.HASH_PATTERN)}) AS hashes,
        {O.keywords("clean_text", _TERMS)} AS cyber_keywords FROM mi""")
 def q_enrichment_stage(spark, sf_dir):
-    terms = lexicon.lexicon_terms(spark)
-    return enrich(E.with_lower(model_input(spark, sf_dir)), terms).select(
+    return enrich(E.with_keywords(model_input(spark, sf_dir), lexicon.read_lexicon(spark))).select(
         "doc_id", "sentiment", "sentiment_score", "irony_label", "irony_score", "emotion_label", "emotion_score",
         "cves", "ips", "hashes", "cyber_keywords")
 
 
-def enrich(df: DataFrame, terms: list[str]) -> DataFrame:
-    """One projection adding sentiment, irony, emotion and entity columns."""
+def enrich(df: DataFrame) -> DataFrame:
+    """One projection adding sentiment, irony, emotion and identifier columns."""
     g, t, c = F.col("_g"), F.col("_t"), F.col("clean_text")
     p, i, e = labels.polarity(g, t), labels.irony(g, t), labels.emotion(g, t)
     ents = E.regex_entities(c)
@@ -636,8 +625,7 @@ def enrich(df: DataFrame, terms: list[str]) -> DataFrame:
         "*", p["sentiment"].alias("sentiment"), p["sentiment_score"].alias("sentiment_score"),
         i["irony_label"].alias("irony_label"), i["irony_score"].alias("irony_score"),
         e["emotion_label"].alias("emotion_label"), e["emotion_score"].alias("emotion_score"),
-        ents["cves"].alias("cves"), ents["ips"].alias("ips"), ents["hashes"].alias("hashes"),
-        E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords")).drop("_g", "_t", "_lc")
+        ents["cves"].alias("cves"), ents["ips"].alias("ips"), ents["hashes"].alias("hashes")).drop("_g", "_t")
 
 
 @register("batch_model_scores", f"""WITH {_CLEAN_DOCS},
@@ -663,25 +651,30 @@ def q_classifier_scores(spark, sf_dir):
 
 # --- topics, vectors --------------------------------------------------------------------
 
+def text_vectors(spark, sf_dir) -> DataFrame:
+    """(doc_id, final_tokens, final_text, embedding) of every English document, from its processed text."""
+    rows, _, _ = corpus.preprocess(docs(spark, sf_dir))
+    return vectors.embed(rows, "final_tokens", 128).select("doc_id", "final_tokens", "final_text", "embedding")
+
+
 @register("topic_clusters")
 def q_topic_clusters(spark, sf_dir):
-    """k-means topics over the document vectors (rows-only: cluster ids are a
-    model output; invariants are tested in pytest)."""
-    return topics.cluster(doc_vectors(spark, sf_dir), k=10, min_topic_size=10).select("doc_id", "topic_id")
+    """Topics of every English document, from its processed text (rows-only:
+    cluster ids are a model output; invariants are tested in pytest)."""
+    return topics.cluster(text_vectors(spark, sf_dir)).select("doc_id", "topic_id")
 
 
 @register("topic_info")
 def q_topic_info(spark, sf_dir):
-    return topics.topic_info(topics.cluster(doc_vectors(spark, sf_dir), k=10, min_topic_size=10))
+    return topics.topic_info(topics.cluster(text_vectors(spark, sf_dir)))
 
 
 @register("topics_per_sentiment")
 def q_topics_per_sentiment(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    c = comments(spark, sf_dir).select("comment_id", "sentiment")
-    rows = c.join(emb, F.col("comment_id") == F.col("vec_id")).select("comment_id", "sentiment", "embedding")
-    assigned, _ = topics.per_group_topics(rows, "sentiment", min_topic_size=5, k=4, id_col="comment_id")
-    return assigned.select("comment_id", "sentiment", "sentiment_topic_id")
+    c = comments(spark, sf_dir).select(F.col("comment_id").alias("doc_id"), "sentiment")
+    rows = text_vectors(spark, sf_dir).join(c, "doc_id").select("doc_id", "sentiment", "embedding")
+    assigned, _ = topics.per_group_topics(rows, "sentiment", min_topic_size=5)
+    return assigned.select(F.col("doc_id").alias("comment_id"), "sentiment", "sentiment_topic_id")
 
 
 @register("topic_words", f"""
@@ -753,12 +746,11 @@ def q_thread_flatten(spark, sf_dir):
 @register("source_union", """
 SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, source FROM documents""")
 def q_source_union(spark, sf_dir):
-    """Documents written partitioned by source, read back as one multi-path
-    read of the per-source folders."""
+    """Documents written partitioned by source, read back as the union of the
+    per-source folders."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
     path = stages.write_stage(d, stages.stage_path(spark, "by_source"), ["source"])
-    values = [r["source"] for r in d.select("source").distinct().collect()]   # one row per source
-    return files.read_sources(spark, path, "source", values).select("doc_id", "n_chars", "source")
+    return files.read_sources(spark, path).select("doc_id", "n_chars", "source")
 
 
 @register("stage_roundtrip", f"""{_C}
@@ -790,7 +782,8 @@ FROM rq LEFT JOIN a USING (qid)"""
 def q_route_dispatch(spark, sf_dir):
     qs = questions(spark, sf_dir)
     routed = qs.withColumn("route", routing.route(F.col("text")))
-    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q))
+    index = text_index(spark, sf_dir)            # one index for all routes
+    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q, index=index))
     counts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"),
                                      F.round(F.avg("hybrid_score"), 3).alias("confidence"))
     return routed.join(counts, "qid", "left").select(
@@ -805,7 +798,8 @@ def q_qa_log(spark, sf_dir):
     and read back."""
     qs = questions(spark, sf_dir)
     routed = qs.withColumn("route", routing.route(F.col("text")))
-    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q))
+    index = text_index(spark, sf_dir)            # one index for all routes
+    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q, index=index))
     answers = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
                .groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("answer")))
     text_of = docs(spark, sf_dir).select(F.col("doc_id").alias("comment_id"), "text")
@@ -818,8 +812,6 @@ def q_qa_log(spark, sf_dir):
 @register("topic_details")
 def q_topic_details(spark, sf_dir):
     """Topic info with name, c-TF-IDF words and representative documents."""
-    d = docs(spark, sf_dir)
-    vecs = doc_vectors(spark, sf_dir).join(d.select("doc_id", "text"), "doc_id")
-    assigned = topics.cluster(vecs, k=10, min_topic_size=10)
-    toks = assigned.select("topic_id", retrieval.lex_terms(F.col("text")).alias("tokens"))
-    return topics.topic_details(assigned, topics.ctfidf_words(toks, "topic_id", "tokens", 10))
+    assigned = topics.cluster(text_vectors(spark, sf_dir))
+    words = topics.ctfidf_words(assigned, "topic_id", "final_tokens", 10)
+    return topics.topic_details(assigned, words, text_col="final_text")

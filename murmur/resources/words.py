@@ -153,3 +153,9 @@ ROUTE_RULES = [
 ]
 VALID_ROUTES = ["sentiment_agent", "topic_agent", "rag_agent", "summary_agent",
                 "metadata_agent", "evaluation_agent"]
+
+# --- fixed values: parts of the phrases of the shipped security lexicon ------------
+SECURITY_OBJECTS = ["account", "api", "app", "browser", "card", "cloud", "code", "data", "database", "device", "dns",
+                    "domain", "email", "endpoint", "identity", "mobile", "network", "password", "server", "website"]
+SECURITY_PHRASE_HEADS = ["abuse", "attack", "breach", "compromise", "disclosure", "exposure", "fraud", "hijacking",
+                         "leak", "scam", "scanning", "security", "spoofing", "theft", "vulnerability"]

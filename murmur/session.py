@@ -7,6 +7,7 @@ missing, which is the case in local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -71,8 +72,8 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator (a shared filesystem path); only
-    when it is unset (local tests) a scratch folder is created.
+    On a cluster it must be set (a shared filesystem path).  Only in local mode
+    a scratch folder is created instead, and removed when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -80,6 +81,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="murmur-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -56,14 +56,7 @@ def read_thread_pages(spark: SparkSession, path: str) -> DataFrame:
     return flatten_threads(spark.read.schema(THREAD_PAGE_SCHEMA).json(path))
 
 
-def min_length_filter(df: DataFrame, videos: list[str], min_len: int = 60) -> DataFrame:
-    if not videos:
-        return df
-    return df.filter(~F.col("video_id").isin(videos) | (F.length("text") >= min_len))
-
-
-def read_sources(spark: SparkSession, base: str, column: str, values: list[str]) -> DataFrame:
-    """Union of per-source folders written with ``partitionBy(column)``, as
-    one multi-path read (the partition column is kept)."""
-    paths = [f"{base.rstrip('/')}/{column}={v}" for v in values]
-    return spark.read.option("basePath", base).parquet(*paths)
+def read_sources(spark: SparkSession, base: str) -> DataFrame:
+    """Union of the per-source folders written with ``partitionBy`` under
+    ``base``; the partition column is kept as text."""
+    return spark.read.option("basePath", base).parquet(base)

@@ -1,36 +1,29 @@
-"""Lexicon scan: one term per line, trimmed, lower-cased, blanks dropped,
-distinct."""
+"""Lexicons: one term per line, trimmed, lower-cased, blanks dropped,
+distinct.  A lexicon is a table of any size; the shipped one is package data."""
 
 from __future__ import annotations
 
-import os
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The security lexicon shipped with the package (our own list; any file of
-# the same shape can be used instead).
-DEFAULT_LEXICON = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources",
-                               "security_terms.txt")
+from murmur.resources.words import SECURITY_OBJECTS, SECURITY_PHRASE_HEADS
 
 
-def read_lexicon(spark: SparkSession, path: str = DEFAULT_LEXICON) -> DataFrame:
+def shipped_terms() -> list[str]:
+    """Our own security lexicon: the listed terms, and every phrase of an
+    object and a head (``cloud breach``, ``email scam``, ...)."""
+    listed = files("murmur.resources").joinpath("security_terms.txt").read_text(encoding="utf-8").splitlines()
+    phrases = [f"{o} {h}" for o in SECURITY_OBJECTS for h in SECURITY_PHRASE_HEADS]
+    return sorted({t.strip().lower() for t in [*listed, *phrases]} - {""})
+
+
+def read_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The lexicon at ``path``, or the shipped one."""
+    if path is None:
+        return spark.createDataFrame([(t,) for t in shipped_terms()], "term string")
     return (spark.read.text(path)
             .select(F.lower(F.trim(F.col("value"))).alias("term"))
             .filter(F.col("term") != "")
             .distinct())
-
-
-def lexicon_terms(spark: SparkSession, path: str = DEFAULT_LEXICON, max_terms: int = 100_000) -> list[str]:
-    """The lexicon as a sorted list; a lexicon is a small dimension table, its
-    size is checked before it is brought to the driver."""
-    lex = read_lexicon(spark, path)
-    n = lex.count()
-    if n > max_terms:
-        raise ValueError(f"lexicon has {n} terms; use the join form for lexicons this large")
-    return sorted(r["term"] for r in lex.collect())
-
-
-def local_terms(path: str = DEFAULT_LEXICON) -> list[str]:
-    with open(path, encoding="utf-8") as fh:
-        return sorted({line.strip().lower() for line in fh if line.strip()})

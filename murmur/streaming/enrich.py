@@ -23,17 +23,16 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType = LANDED_SC
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def enrich_stream(stream: DataFrame, terms: list[str]) -> DataFrame:
+def enrich_stream(stream: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Row-wise enrichment (clean text, identifiers, keywords, labels); no
     state, so every micro-batch is independent."""
     df = stream.withColumn("clean_text", TX.clean_text(F.col("text")))
-    df = E.with_lower(labels.with_model_input(df, "clean_text"))
+    df = E.with_keywords(labels.with_model_input(df, "clean_text"), lexicon)
     g, t, c = F.col("_g"), F.col("_t"), F.col("clean_text")
     p, e = labels.polarity(g, t), labels.emotion(g, t)
     return df.select(
         "*", p["sentiment"].alias("sentiment"), p["sentiment_score"].alias("sentiment_score"),
-        e["emotion_label"].alias("emotion_label"), E.regex_entities(c).alias("regex_entities"),
-        E.keywords(F.col("_lc"), terms, lowered=True).alias("cyber_keywords")).drop("_g", "_t", "_lc")
+        e["emotion_label"].alias("emotion_label"), E.regex_entities(c).alias("regex_entities")).drop("_g", "_t")
 
 
 def daily_sentiment(enriched: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -17,22 +17,52 @@ def test_hash_lengths(spark):
         assert bool(one(spark, E.hashes(F.col("v")), "x " + "a" * n + " y")) is hit
 
 
+def found(spark, texts, terms, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, v string")
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    return {r.id: r.cyber_keywords for r in E.with_keywords(df, lexicon, "v", **kw).collect()}
+
+
 def test_keywords_substring_sorted_distinct(spark):
-    kw = E.keywords(F.col("v"), ["ida", "zero day", "apt", "ida"])
-    assert one(spark, kw, "Friday: a Zero Day exploit, friday") == ["ida", "zero day"]
-    assert one(spark, kw, "nothing here") == []
+    got = found(spark, ["Friday: a Zero Day exploit, friday", "nothing here", None, ""], ["ida", "zero day", "apt", "ida"])
+    assert got == {0: ["ida", "zero day"], 1: [], 2: [], 3: []}
+    assert found(spark, ["x"], []) == {0: []}
+
+
+def test_keywords_of_a_large_lexicon_in_blocks(spark):
+    terms = [f"term{i}x" for i in range(50_000)]
+    texts = ["term7x and Term49999x", "term7 x", None, "term12x" * 3]
+    want = {0: ["term49999x", "term7x"], 1: [], 2: [], 3: ["term12x"]}
+    assert found(spark, texts, terms) == want
+    assert found(spark, texts, terms, block_bytes=100_000) == want
+
+
+def test_shipped_lexicon():
+    from murmur.sources.lexicon import shipped_terms
+
+    assert len(shipped_terms()) >= 365 and shipped_terms() == sorted(set(shipped_terms()))
 
 
 def test_all_terms_union(spark):
-    c = F.col("v")
-    out = one(spark, E.all_terms(E.regex_entities(c), E.keywords(c, ["ransomware"])),
-              "10.0.0.1 ransomware 10.0.0.1")
+    c, kw = F.col("v"), F.array(F.lit("ransomware"))
+    out = one(spark, E.all_terms(E.regex_entities(c), kw), "10.0.0.1 ransomware 10.0.0.1")
     assert out == ["10.0.0.1", "ransomware"]
 
 
 def test_gazetteer_longest_match(spark):
-    df = spark.createDataFrame([("Kali Linux on North Korea servers; linux friday",)], "v string")
-    df = df.withColumn("t", E.entity_tokens(F.col("v"))).withColumn("b", E.gazetteer_best(F.col("t")))
-    ents = df.select(E.gazetteer_entities(F.col("t"), F.col("b")).alias("e")).first()["e"]
-    assert [(e["text"], e["label"]) for e in ents] == [
-        ("kali linux", "PRODUCT"), ("north korea", "GPE"), ("linux", "PRODUCT"), ("friday", "DATE")]
+    table = [("kali linux", "PRODUCT"), ("north korea", "GPE"), ("linux", "PRODUCT"), ("friday", "DATE"),
+             ("the bank of north korea today", "ORG"), ("korea", "GPE")]
+    df = spark.createDataFrame([(1, "Kali Linux on North Korea servers; linux friday"), (2, None), (3, "nothing"),
+                                (4, "at the Bank of North Korea, today")], "id long, clean_text string")
+    rows = E.with_gazetteer(df, E.gazetteer_table(spark, table), "id").collect()
+    got = {r.id: [(e["text"], e["label"]) for e in r.entities] for r in rows}
+    assert got == {1: [("kali linux", "PRODUCT"), ("north korea", "GPE"), ("linux", "PRODUCT"), ("friday", "DATE")],
+                   2: [], 3: [], 4: [("the bank of north korea today", "ORG")]}
+
+
+def test_filter_on_entities_adds_no_second_tokeniser(spark):
+    df = spark.createDataFrame([(1, "linux")], "id long, clean_text string")
+    out = E.with_gazetteer(df, E.gazetteer_table(spark), "id").filter(F.size("entities") > 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert out.count() == 1

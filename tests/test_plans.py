@@ -80,8 +80,33 @@ def test_build_restarts_from_stages(spark):
     out = run_build(spark, raw, root, k=4, min_topic_size=5)
     n = out["final_analysis"].count()
     assert n == out["processed"].count() and n > 0
-    again = run_build(spark, raw.limit(0), root, k=4, min_topic_size=5)   # every stage is read back
+    assert "entities" in out["entities"].columns and out["topic_info"].count() > 0
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(root) for f in names if "part-" in f}
+    again = run_build(spark, raw, root, k=4, min_topic_size=5)             # every stage is read back
+    after = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(root) for f in names if "part-" in f}
     assert again["final_analysis"].count() == n
+    assert {f for f in before if f.endswith(".parquet")} == {f for f in after if f.endswith(".parquet")}
+    # other input or parameters are built anew
+    less = raw.filter("comment_id % 2 = 0")
+    assert run_build(spark, less, root, k=4, min_topic_size=5)["processed"].count() < out["processed"].count()
+
+
+def test_a_fourth_sentiment_has_its_column(spark):
+    from murmur.operators.explore import sentiment_over_time
+
+    rows = [(1, "2024-01-01 10:00:00", "ironic"), (2, "2024-01-01 11:00:00", "negative"), (3, "2024-01-02 11:00:00", "ironic")]
+    df = spark.createDataFrame(rows, "id long, updated_at string, sentiment string")
+    got = {str(r.date): (r.negative, r.neutral, r.positive, r.ironic) for r in sentiment_over_time(df).collect()}
+    assert got == {"2024-01-01": (1, 0, 0, 1), "2024-01-02": (0, 0, 0, 1)}
+
+
+def test_far_rows_are_outliers(spark):
+    rows = [(i, [1.0 + i % 5 * 0.01, 0.0]) for i in range(60)] + [(100 + i, [-1.0 - i % 5 * 0.01, 0.0]) for i in range(60)]
+    rows += [(999, [1.0, 1.5])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    got = {r.doc_id: r.topic_id for r in topics.cluster(df, k=2).collect()}
+    assert got[999] == -1 and {got[i] for i in range(60)} == {got[0]} != {got[100]}
+    assert topics.topic_count(200) < topics.topic_count(20_000) < topics.topic_count(2_000_000)
 
 
 def test_streaming_enrichment_and_watermark(spark):
@@ -93,7 +118,7 @@ def test_streaming_enrichment_and_watermark(spark):
                                      "text string, video_id string").withColumn("updated_at", F.to_timestamp("updated_at"))
     df.write.mode("overwrite").parquet(src)
     sink, ck = tempfile.mkdtemp(prefix="murmur-sink-"), tempfile.mkdtemp(prefix="murmur-ck-")
-    q = enrich.start(enrich.daily_sentiment(enrich.enrich_stream(enrich.read_landed(spark, src), ["scam"])),
+    q = enrich.start(enrich.daily_sentiment(enrich.enrich_stream(enrich.read_landed(spark, src), spark.createDataFrame([("scam",)], "term string"))),
                      sink, ck, available_now=True)
     q.awaitTermination(120)
     got = {(str(r["day_start"])[:10], r["sentiment"], r["n"]) for r in spark.read.parquet(sink).collect()}
