@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import add_column, load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN_WORDS, KNOWN_PIECES = 300_000, 100_000
+KNOWN_WORDS, KNOWN_PIECES = 700_000, 300_000
 """Entries in each generation of a worker's memories; results don't depend on them."""
 # Fixed value: the public pattern for which a text may be cut before single spaces.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
