@@ -40,27 +40,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _powers(n: int) -> list[int]:
-    return [1 << k for k in range(n.bit_length()) if n >> k & 1]
+_LEVELS = [int(x) | 1 for x in mix(np.arange(300, 320, dtype=np.uint64))]
 
 
 def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all strings of ``width`` bytes, put together from powers of two."""
-    part, out, done, size = _BYTE[data], None, 0, 1
+    part, out, done, level = _BYTE[data], None, 0, 0
     while True:
+        size = 1 << level
         if width & size:
             if out is None:
                 out = part.copy()
             else:
                 n = len(data) - done - size + 1
-                out = mix(out[:n] * np.uint64(0xD6E8FEB86659FD93)) + part[done:done + n]
+                out = out[:n] * np.uint64(_LEVELS[-1 - level])
+                out += part[done:done + n]
             done += size
         if size * 2 > width:
-            break
+            return mix(out)
         n = len(part) - size
-        part = mix(part[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + part[size:size + n])
-        size *= 2
-    return out
+        nearer = part[:n] * np.uint64(_LEVELS[level])
+        nearer += part[size:size + n]
+        part, level = nearer, level + 1
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,9 +95,11 @@ def pieces(data: bytes, width: int = WIDTH) -> Iterator[tuple[int, bytes]]:
 STEP = 50
 """Bytes of a symbol; a window has eight."""
 SHARD_BYTES = 512 << 10
-SET_BYTES = 4 << 20
+SET_BYTES = 1 << 20
 """Contexts that are sorted together: whole anchors, up to this size."""
-HOT_BYTES = 8 << 20
+COUNTER_BITS = 22
+"""Symbols are counted in so many slots, to see which may occur twice."""
+HOT_BYTES = 4 << 20
 """Contexts of one anchor beyond which its windows are counted by Spark instead."""
 
 
@@ -188,8 +191,9 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH, step: int = STEP,
                      shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each text, a mark for each window that occurs twice among all of them.
 
-    Symbols that occur once are taken out first: no window that holds one is repeated.  Parts
-    that are left and are equal repeat each other; only one of them is sorted.
+    Symbols that occur once are taken out first, as far as a count in slots shows them: no
+    window that holds one is repeated.  Parts that are left and are equal repeat each other;
+    only one of them is sorted.
     """
     rounds = width // step
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -199,8 +203,8 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH, step: int = STEP,
     if len(data) < width:
         return marks
     symbol = string_hashes(data, step) | np.uint64(1)           # 0 stands for no symbol
-    _, back, count = np.unique(symbol, return_inverse=True, return_counts=True)
-    again = count[back] > 1
+    slot = (symbol >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    again = (np.bincount(slot, minlength=1 << COUNTER_BITS) > 1)[slot]
     alive = again[:len(data) - width + 1].copy()
     for k in range(1, rounds):
         alive &= again[k * step:k * step + len(alive)]
