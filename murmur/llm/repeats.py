@@ -97,8 +97,6 @@ STEP = 50
 SHARD_BYTES = 512 << 10
 SET_BYTES = 1 << 20
 """Contexts that are sorted together: whole anchors, up to this size."""
-COUNTER_BITS = 22
-"""Symbols are counted in so many slots, to see which may occur twice."""
 HOT_BYTES = 4 << 20
 """Contexts of one anchor beyond which its windows are counted by Spark instead."""
 
@@ -191,9 +189,8 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH, step: int = STEP,
                      shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each text, a mark for each window that occurs twice among all of them.
 
-    Symbols that occur once are taken out first, as far as a count in slots shows them: no
-    window that holds one is repeated.  Parts that are left and are equal repeat each other;
-    only one of them is sorted.
+    Symbols that occur once are taken out first: no window that holds one is repeated.  Parts
+    that are left and are equal repeat each other; only one of them is sorted.
     """
     rounds = width // step
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -203,8 +200,10 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH, step: int = STEP,
     if len(data) < width:
         return marks
     symbol = string_hashes(data, step) | np.uint64(1)           # 0 stands for no symbol
-    slot = (symbol >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-    again = (np.bincount(slot, minlength=1 << COUNTER_BITS) > 1)[slot]
+    order = np.argsort(symbol)
+    same = symbol[order[1:]] == symbol[order[:-1]]
+    again = np.zeros(len(symbol), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
     alive = again[:len(data) - width + 1].copy()
     for k in range(1, rounds):
         alive &= again[k * step:k * step + len(alive)]
