@@ -815,3 +815,7 @@ def q_topic_details(spark, sf_dir):
     assigned = topics.cluster(text_vectors(spark, sf_dir))
     words = topics.ctfidf_words(assigned, "topic_id", "final_tokens", 10)
     return topics.topic_details(assigned, words, text_col="final_text")
+
+
+# queries that register themselves with this catalog
+from murmur.plans import tagged  # noqa: E402,F401
