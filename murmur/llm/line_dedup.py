@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import WORD_GAP, load, small_side, stage, whole_text
+from murmur.operators.corpus import keep_where
 
 SLOT_BITS = 18
 """The rarity table has 2**18 slots, whatever the corpus."""
@@ -123,18 +124,19 @@ def _parity(words: Column, keep=None) -> Column:
 def described(docs: DataFrame, ranks: Column, limits: Limits) -> DataFrame:
     """Lines with enough words: (doc_id, line, n, signature, low, high, parity, parity2, prefix)."""
     rows = lines_of(docs).select("doc_id", "line", _hashes(F.col("content")).alias("hashes"))
-    rows = rows.select("doc_id", "line", F.size("hashes").alias("n"), F.array_min("hashes").alias("low"),
+    # a plain filter would be pushed below the hashes, which would then be made twice
+    rows = keep_where(rows.withColumn("n", F.size("hashes")), F.col("n") >= LEAST_WORDS)
+    rows = rows.select("doc_id", "line", "n", F.array_min("hashes").alias("low"),
                        F.array_max("hashes").alias("high"), _ordered(F.col("hashes"), ranks).alias("words"))
     long = F.col("n") > FOLDED_WORDS
     words = F.col("words")
     prefix = F.transform(F.slice(words, 1, limits.probe_length(F.col("n"))),
                          lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    rows = rows.select(
+    return rows.select(
         "doc_id", "line", "n", F.xxhash64("words").alias("signature"), "low", "high",
         F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) == 0)).otherwise(_parity(words)).alias("parity"),
         F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("bigint")).alias("parity2"),
         prefix.alias("prefix"))
-    return rows.filter(F.col("n") >= LEAST_WORDS)
 
 
 def _before(a: str, b: str) -> Column:
