@@ -61,11 +61,12 @@ def q_regex_entities_tagged(spark, sf_dir):
 WITH t AS (SELECT doc_id, concat(text, ' ', {tag_sql("doc_id", PHRASES)}, ' x ', {tag_sql("doc_id + 7", PHRASES)})
            AS clean_text FROM documents),
 {O.gazetteer_ctes("t", GAZETTEER)}
-SELECT doc_id, {O.gazetteer_select(GAZETTEER)} AS entities FROM gz1""")
+SELECT doc_id, list_transform({O.gazetteer_select(GAZETTEER)}, lambda e: e.text || '/' || e.label) AS entities FROM gz1""")
 def q_gazetteer_tagged(spark, sf_dir):
     text = F.concat("text", F.lit(" "), tag(F.col("doc_id"), PHRASES), F.lit(" x "), tag(F.col("doc_id") + 7, PHRASES))
     d = docs(spark, sf_dir).select("doc_id", text.alias("clean_text"))
-    return E.with_gazetteer(d, E.gazetteer_table(spark), "doc_id").select("doc_id", "entities")
+    named = E.with_gazetteer(d, E.gazetteer_table(spark), "doc_id")
+    return named.select("doc_id", F.transform("entities", lambda e: F.concat(e["text"], F.lit("/"), e["label"])).alias("entities"))
 
 
 @register("clean_emoji_tagged", f"""
