@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -82,8 +82,9 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 def outside(bits: Column, union: Column) -> Column:
     """Bits of the first bitmap that the second lacks: at most the tokens of a set outside a union."""
-    lanes = F.zip_with(bits, union, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
-    return F.aggregate(lanes, F.lit(0), lambda n, k: n + k)
+    # written out lane by lane, so that it is compiled: this runs for every pair that shares a token
+    lanes = [F.bit_count(bits[k].bitwiseAND(F.bitwise_not(union[k]))) for k in range(LANES)]
+    return reduce(lambda n, k: n + k, lanes)
 
 
 @dataclass(frozen=True)
@@ -204,6 +205,14 @@ def linked(common: Column, a: Column, b: Column, share: Fraction) -> Column:
     return common * share.denominator >= (a + b - common) * share.numerator
 
 
+def may_link(n: Column, bits: Column, m: Column, others: Column, share: Fraction) -> Column:
+    """Whether the sizes and the bitmaps of two sets allow a link: a bound, not a verdict."""
+    p, q = share.numerator, share.denominator
+    common = F.ceil((n + m) * p / F.lit(p + q))
+    return ((n * q >= m * p) & (m * q >= n * p) & (outside(bits, others) <= n - common)
+            & (outside(others, bits) <= m - common))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; only their texts are read again."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
@@ -246,11 +255,15 @@ def jaccard_join(documents: DataFrame, size: int = 5, share: Fraction = Fraction
     heads = heads.filter("head <> other").select("token", "head")
     shared = stage(rows.join(heads, "token").distinct(), "shared")
     seeds = shared.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sizes = some.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("set")).select("doc_id", "set.*")
+    one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    seeds = seeds.join(one, "a").join(two, "b").filter(
+        may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), share)).select("a", "b")
     links = stage(verify(stage(seeds, "seeds"), docs, size, share), "seed-links")
 
     # groups are the components of the links so far; a document without links is its own group
     groups = stage(components(links), "groups")
-    sizes = some.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("set")).select("doc_id", "set.*")
     placed = (shared.select("token", "doc_id").join(groups, shared.doc_id == groups.node, "left")
               .select("token", "doc_id", F.coalesce("component", "doc_id").alias("grp")))
     contested = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high")
@@ -296,11 +309,8 @@ def _open_groups(placed: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame
                                                     F.first("g.most").alias("most"))
               .filter(F.col("overlap") >= least("n", "most")))
     opened = stage(opened.select("doc_id", "grp"), "asks").join(members.drop("grp"), "doc_id")
-    n, m = F.col("a.n"), F.col("b.n")
-    common = F.ceil((n + m) * p / F.lit(p + q))
     near = opened.alias("a").join(members.alias("b"), "grp").filter(
-        (n * q >= m * p) & (m * q >= n * p) & (outside(F.col("a.bits"), F.col("b.bits")) <= n - common)
-        & (outside(F.col("b.bits"), F.col("a.bits")) <= m - common))
+        may_link(F.col("a.n"), F.col("a.bits"), F.col("b.n"), F.col("b.bits"), bands.share))
     return near.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
