@@ -4,12 +4,13 @@ The filter holds the quantised counts of words and word pairs: an n-gram whose c
 level L is inserted L times, as the events (n-gram, 1) to (n-gram, L).  A count is read back by
 asking for level after level until one is missing.
 
-n-grams with a share of less than 2**-24 of the training tokens stay out and are one smoothed
-class.  As a count on level L is at least 1.5 ** (L - 1) times the least one, there are fewer
-than 2 * 2**24 events of each order, and the filter never exceeds 84 MB, whatever the corpus.
+Texts are read once, into blocks of word numbers.  The n-grams of the blocks are dealt by hash
+into parts, whose number follows the tokens.  A part's task adds up its n-grams' training counts,
+fills the part's filter and answers each block that asked; no task and no broadcast holds more
+of the filter than one part of it.
 
-Texts are read once, into blocks of word numbers.  Exact counts come from one shuffle of each
-block's vocabulary, so their number follows the distinct words of the blocks, not the text.
+n-grams with a share of less than 2**-24 of the training tokens stay out and are one smoothed
+class.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import load, narrow, remainder, stage
@@ -30,17 +31,22 @@ BLOCK_BYTES = 8 << 20
 """Text in a block; a longer text is a block of its own."""
 LEAST_SHARE = 2.0 ** -24
 """Share of the training tokens that an n-gram in the filter has at least."""
-CONTEXT_SHARE = 1e-5
-"""Share of the training tokens that each word of a pair has at least: 100,000 words at most."""
+PART_TOKENS, LEAST_PARTS = 2_000_000, 64
+"""Tokens for each part of the filter, which bound its n-grams of either order."""
 BASE = 1.5
 """Each level's counts are so many times those of the level before."""
 EVENT_BITS, PROBES = 10, 7
+PROBED = 1 << 16
+"""Keys whose probes are made at a time."""
 PAIR_WEIGHT = 0.3
 END = np.uint64(0x9AE16A3B2F90404F)
 """The number of the token that ends each text."""
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BLOCK = ("block long, doc_id array<long>, train array<boolean>, n array<int>, vocabulary array<long>, "
          "counts array<long>, tokens binary")
+ASKED = "part int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
+ANSWERS = ("part int, block long, words binary, exact binary, pairs binary, tokens long, distinct long, kept long, "
+           "kinds long, held double, kept_pairs long")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,6 +138,20 @@ class Filter:
     def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
         return (_mix(keys ^ _ODD[2]) >> np.uint64(32)).astype(np.int64) * segments >> 32
 
+    @classmethod
+    def filled(cls, keys: np.ndarray, counts: np.ndarray, least: float) -> Filter:
+        """A filter of the keys with a count of at least ``least``."""
+        some = counts >= least
+        keys, levels = keys[some], level_of(counts[some], least)
+        bits = np.zeros((cls.segments(int(levels.sum())), 1 << 20), np.uint8)
+        segment = cls.segment_of(keys, len(bits))
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            rest = np.flatnonzero(levels >= level)
+            for i in range(0, len(rest), PROBED):
+                at = rest[i:i + PROBED]
+                bits[segment[at, None], cls.places(keys[at], level)] = 1
+        return cls(np.packbits(bits, axis=1, bitorder="little"), least)
+
     @staticmethod
     def places(keys: np.ndarray, level: int) -> np.ndarray:
         """Bits of an event within its segment, a column for each probe."""
@@ -141,9 +161,9 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probes go on while the next level's event is there."""
+        if len(keys) > PROBED:
+            return np.concatenate([self.levels(keys[i:i + PROBED]) for i in range(0, len(keys), PROBED)])
         out = np.zeros(len(keys), np.int64)
-        if not len(self.bits):
-            return out
         segment = self.segment_of(keys, len(self.bits))
         left, level = np.arange(len(keys)), 0
         while len(left):
@@ -154,9 +174,6 @@ class Filter:
             out[left] = level
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return value_of(self.levels(keys), self.least)
-
 
 def level_of(count, least: float):
     """The level of a count, from 1 for the least that is held."""
@@ -168,178 +185,191 @@ def value_of(level: np.ndarray, least: float) -> np.ndarray:
     return np.where(level > 0, least * BASE ** (level - 0.5), 0.0)
 
 
-def _segment(least: float):
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 20, np.uint8)
-        keys, levels = rows["key"].to_numpy().view(np.uint64), level_of(rows["n"].to_numpy(), least)
-        for level in range(1, int(levels.max()) + 1):
-            bits[Filter.places(keys[levels >= level], level).ravel()] = 1
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    return build
+def build_filter(counts: DataFrame, least: float) -> Filter:
+    """The filter of one part's (key, n), on the driver."""
+    rows = counts.select("key", "n").toPandas()
+    return Filter.filled(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), least)
 
 
-def build_filter(counts: DataFrame, least: float) -> Filter:
-    """A filter of (key, n) with n at least ``least``.
+# --- the model -----------------------------------------------------------------------------
 
-    Segments are filled where their n-grams are; the driver joins them, 84 MB at most.
-    """
-    level = F.floor(F.log(F.col("n") / F.lit(least)) / F.log(F.lit(BASE)) + 1e-9).cast("long") + 1
-    events = counts.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
-    segments = Filter.segments(events)
 
-    @F.pandas_udf("int")
-    def segment(keys: pd.Series) -> pd.Series:
-        return pd.Series(Filter.segment_of(keys.to_numpy().view(np.uint64), segments).astype(np.int32))
+@dataclass(frozen=True)
+class Block:
+    """A row of the blocks, opened."""
+
+    vocabulary: np.ndarray
+    places: np.ndarray
+    n: np.ndarray
+    train: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch, i: int) -> Block:
+        return cls(rows.column("vocabulary")[i].values.to_numpy().view(np.uint64), _unpacked(rows.column("tokens")[i].as_py()),
+                   rows.column("n")[i].values.to_numpy().astype(np.int64), np.array(rows.column("train")[i].as_py(), bool))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, at, number): the different pairs, the tokens that end one, and its number.  No pair begins with an end."""
+        inner = np.ones(len(self.places), bool)
+        inner[np.cumsum(self.n) - 1] = False
+        at = np.flatnonzero(inner) + 1
+        keys, number = np.unique(_pair(self.vocabulary[self.places[at - 1]], self.vocabulary[self.places[at]]), return_inverse=True)
+        return keys, at, number
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): the keys' order by part, and where each part ends in it."""
+    part = ((_mix(keys ^ _ODD[1]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    return order, np.cumsum(np.bincount(part, minlength=parts))
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, cut at ``ends``."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int64)
+    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return cut.cast(pa.binary())
+
+
+def _asked(parts: int):
+    """A batch function: each block's n-grams with their training counts, a row for each part."""
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in given:
+            for i in range(rows.num_rows):
+                block, number = Block.of(rows, i), rows.column("block")[i].as_py()
+                keys, at, pair = block.pairs()
+                counts = np.bincount(pair[np.repeat(block.train, block.n)[at]], minlength=len(keys))
+                columns = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, number, np.int64))]
+                for k, n in ((block.vocabulary, rows.column("counts")[i].values.to_numpy()), (keys, counts)):
+                    order, ends = _dealt(k, parts)
+                    columns += [_binaries(k[order], ends), _binaries(n[order].astype(np.uint32), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASKED.split(", ")])
 
-    filled = (counts.withColumn("segment", segment("key")).groupBy("segment")
-              .applyInPandas(_segment(least), "segment int, bits binary"))
-    bits = np.zeros((segments, 1 << 17), np.uint8)
-    for row in filled.toLocalIterator():
-        bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return Filter(bits, least)
+    return batches
 
 
-# --- the model -----------------------------------------------------------------------------
+def _summed(rows: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, number, ends): different keys and their total counts; each row's keys as numbers, and where rows end."""
+    each = [np.frombuffer(x, np.uint64) for x in rows.column(keys).to_pylist()]
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column(counts).to_pylist()])
+    different, number = np.unique(np.concatenate(each), return_inverse=True)
+    total = np.bincount(number, n, len(different)).astype(np.int64)
+    return different, total, number, np.cumsum([len(x) for x in each])
+
+
+def _answers(least: float):
+    """A group function: a part's filter is filled and probed; a row without a block has the part's sums."""
+    def answer(rows: pa.Table) -> pa.Table:
+        words, n, word, word_ends = _summed(rows, "words", "word_counts")
+        pairs, n2, pair, pair_ends = _summed(rows, "pairs", "pair_counts")
+        made = Filter.filled(np.concatenate([words, pairs]), np.concatenate([n, n2]), least)
+        held, part = n >= least, rows.column("part")[0].as_py()
+        size, names = rows.num_rows, [c.split()[0] for c in ANSWERS.split(", ")]
+        out = [pa.array(np.full(size, part, np.int32)), rows.column("block").combine_chunks(),
+               _binaries(made.levels(words).astype(np.uint8)[word], word_ends), _binaries(n[word], word_ends),
+               _binaries(made.levels(pairs).astype(np.uint8)[pair], pair_ends)]
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
+        out = pa.Table.from_arrays([*out, *(pa.nulls(size, kind) for kind in kinds)], names=names)
+        sums = [n.sum(), (n > 0).sum(), n[held].sum(), held.sum(), value_of(level_of(n[held], least), least).sum(), n2[n2 >= least].sum()]
+        row = [part, None, None, None, None, *(x.item() for x in sums)]
+        return pa.concat_tables([out, pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, out.schema, strict=True)],
+                                                           schema=out.schema)])
+
+    return answer
 
 
 @dataclass(frozen=True)
 class Model:
-    """The filter and the sums that make probabilities of its counts."""
+    """The sums that make probabilities of the filter's counts."""
 
-    filter: Filter
+    parts: int
+    least: float
     tokens: int
     distinct: int
     rare_tokens: int
     rare_distinct: int
     held: float
     """Sum of the counts of words, as the filter gives them back."""
-    contexts: np.ndarray
     pair_share: float
-    """Share of the pairs of context words that the filter holds."""
+    """Share of the pairs after words in the filter that the filter holds."""
 
-    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(counts, probabilities) of words.  What the filter lacks shares the mass of rare words."""
-        counts = self.filter.counts(keys)
+    def words(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words.  What the filter lacks shares the mass of rare words."""
         total = self.tokens + 0.5
         rare = (self.rare_tokens + 0.5) / total / (self.rare_distinct + 1)
         common = (self.tokens - self.rare_tokens) / total / max(self.held, 1e-9)
-        return counts, np.where(counts > 0, counts * common, rare)
+        return np.where(counts > 0, counts * common, rare)
 
-    def score(self, vocabulary: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probabilities of all tokens.
+    def score(self, block: Block, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probabilities of all tokens, from the filter's levels in the order of parts.
 
-        Pairs of frequent words that the filter holds mix the pair's relative frequency with
-        the word's probability; other pairs of a frequent first word give up the share that
-        held pairs have taken.
+        After a word that the filter holds, the pair's relative frequency is mixed with the
+        word's probability; pairs that it lacks give up the share that held pairs have taken.
         """
-        counts, single = self.words(vocabulary)
-        p = single[places]
-        frequent = np.isin(vocabulary, self.contexts)
-        at = np.flatnonzero(frequent[places[:-1]] & ~ends[:-1]) + 1 if len(places) > 1 else np.zeros(0, np.int64)
-        if len(at):
-            pairs, back = np.unique(places[at - 1].astype(np.uint64) << np.uint64(32) | places[at], return_inverse=True)
-            first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            both = frequent[second]
-            found = np.zeros(len(pairs))
-            found[both] = self.filter.counts(_pair(vocabulary[first[both]], vocabulary[second[both]]))
-            relative = np.minimum(found / np.maximum(counts[first], 1), 1.0)
-            alone = single[second]
-            mixed = np.where(found > 0, PAIR_WEIGHT * relative + (1 - PAIR_WEIGHT) * alone,
-                             (1 - PAIR_WEIGHT * self.pair_share) * alone)
-            p[at] = mixed[back]
+        keys, at, number = block.pairs()
+        counts, found = np.empty(len(block.vocabulary)), np.empty(len(keys))
+        counts[_dealt(block.vocabulary, self.parts)[0]] = value_of(word_levels, self.least)
+        found[_dealt(keys, self.parts)[0]] = value_of(pair_levels, self.least)
+        p = self.words(counts)[block.places]
+        first, found, alone = counts[block.places[at - 1]], found[number], p[at]
+        relative = np.minimum(found / np.maximum(first, 1), 1.0)
+        mixed = np.where(found > 0, PAIR_WEIGHT * relative + (1 - PAIR_WEIGHT) * alone,
+                         (1 - PAIR_WEIGHT * self.pair_share) * alone)
+        p[at] = np.where(first > 0, mixed, alone)
         return np.log10(p)
 
 
-def _pairs_of(contexts):
-    """A batch function: each block's training pairs of context words, counted."""
+def read(documents: DataFrame) -> DataFrame:
+    """Blocks: a stage table of ``documents`` (doc_id, text, train)."""
+    return stage(narrow(documents, {"doc_id": "long", "text": "string", "train": "boolean"}).mapInArrow(_blocks, BLOCK),
+                 "blocks", compression="zstd")
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = contexts.value
-        for part in parts:
-            for i in range(part.num_rows):
-                vocabulary = part.column("vocabulary")[i].values.to_numpy().view(np.uint64)
-                places = _unpacked(part.column("tokens")[i].as_py())
-                n = part.column("n")[i].values.to_numpy()
-                train = np.repeat(np.array(part.column("train")[i].as_py(), bool), n)
-                inner = np.ones(len(places), bool)
-                inner[np.cumsum(n) - 1] = False          # no pair begins with an end
-                use = np.isin(vocabulary, known)[places] & train
-                at = np.flatnonzero(use[:-1] & use[1:] & inner[:-1])
-                keys, counts = np.unique(_pair(vocabulary[places[at]], vocabulary[places[at + 1]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    return batches
+def train(blocks: DataFrame) -> tuple[DataFrame, Model]:
+    """(answers, model): what the filter of the training documents says to each block, and the sums.
 
+    All statistics are over all training documents and all their words and pairs.  A block
+    has an n-gram once, so an n-gram's part gets it from each block, not from each occurrence.
+    """
+    def total(column: str):
+        return F.coalesce(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
 
-def read(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, counts): stage tables of ``documents`` (doc_id, text, train).
+    everything, tokens = blocks.agg(total("n"), total("counts")).first()
+    parts, least = max(LEAST_PARTS, -(-everything // PART_TOKENS)), max(1.0, tokens * LEAST_SHARE)
+    asked = blocks.select("block", "train", "n", "vocabulary", "counts", "tokens").mapInArrow(_asked(parts), ASKED)
+    answers = stage(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), "answers", compression="zstd")
+    names = ["distinct", "kept", "kinds", "held", "kept_pairs"]
+    distinct, kept, kinds, held, pairs = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+    return answers, Model(parts, least, tokens, distinct, tokens - kept, distinct - kinds, held, pairs / max(kept, 1))
 
-    ``counts`` has the training count n of each block's words: (block, place, n, key), where
-    key is set once for each word.  A word has one row for each block, so the window over a
-    frequent word grows with the number of blocks, not of its occurrences.
-    """
-    blocks = stage(narrow(documents, {"doc_id": "long", "text": "string", "train": "boolean"}).mapInArrow(_blocks, BLOCK),
-                   "blocks", compression="zstd")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("place", "word"))
-    words = words.select("block", "place", F.col("word.vocabulary").alias("key"), F.col("word.counts").alias("c"))
-    by_word = Window.partitionBy("key")
-    total = words.select("block", "place", F.sum("c").over(by_word).alias("n"),
-                         F.when(F.row_number().over(by_word.orderBy("block")) == 1, F.col("key")).alias("key"))
-    return blocks, stage(total, "word-counts")
-
-
-def train(blocks: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training documents of ``read``; all statistics are over all of them."""
-    spark = blocks.sparkSession
-    words = counts.filter(F.col("key").isNotNull() & (F.col("n") > 0)).select("key", "n")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1.0, tokens * LEAST_SHARE)
-    common = words.filter(F.col("n") >= least)
-    level = F.floor(F.log(F.col("n") / F.lit(least)) / F.log(F.lit(BASE)) + 1e-9) + 1
-    held = F.sum(F.lit(least) * F.pow(F.lit(BASE), level - 0.5))
-    kept, kinds, held = common.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(held, F.lit(0.0))).first()
-    frequent = words.filter(F.col("n") >= tokens * CONTEXT_SHARE)      # 1 / CONTEXT_SHARE words at most
-    contexts = np.array(sorted(r.key for r in frequent.select("key").collect()), np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(contexts)
-    pairs = (blocks.select("vocabulary", "tokens", "n", "train").mapInArrow(_pairs_of(shared), "key long, n long")
-             .groupBy("key").agg(F.sum("n").alias("n")))
-    pairs = stage(pairs.withColumn("kept", F.col("n") >= least), "pair-counts")
-    seen = frequent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = pairs.filter("kept").select("key", "n")
-    pair_tokens = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    made = build_filter(common.union(pairs), least)
-    return Model(made, tokens, distinct, tokens - kept, distinct - kinds, held, contexts, pair_tokens / max(seen, 1))
-
-
-def score(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+
+def score(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
-    ``base_score`` is of exact counts: each block is joined with the counts of its words, whose
+    ``base_score`` is of exact counts.  Each block is joined with the answers to it, whose
     number its size bounds.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-    by_block = (counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("words"))
-                .select("block", F.col("words.n").alias("exact")))
-    rows = blocks.drop("counts").join(by_block, "block")
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part in parts:
+    by_block = (answers.filter(F.col("block").isNotNull()).groupBy("block")
+                .agg(F.sort_array(F.collect_list(F.struct("part", "words", "exact", "pairs"))).alias("answers")))
+    rows = blocks.drop("counts").join(by_block.select("block", *[F.col(f"answers.{c}").alias(f"{c}_by_part") for c in
+                                                                 ("words", "exact", "pairs")]), "block")
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in given:
             for i in range(part.num_rows):
-                vocabulary = part.column("vocabulary")[i].values.to_numpy().view(np.uint64)
-                exact = part.column("exact")[i].values.to_numpy()
-                places = _unpacked(part.column("tokens")[i].as_py())
-                n = part.column("n")[i].values.to_numpy().astype(np.int64)
-                starts = np.cumsum(n) - n
-                ends = np.zeros(len(places), bool)
-                ends[np.cumsum(n) - 1] = True
+                block = Block.of(part, i)
+                words, counts, pairs = (np.frombuffer(b"".join(part.column(f"{c}_by_part")[i].as_py()), kind) for c, kind in
+                                        (("words", np.uint8), ("exact", np.int64), ("pairs", np.uint8)))
+                exact = np.empty(len(counts), np.int64)
+                exact[_dealt(block.vocabulary, model.parts)[0]] = counts
+                starts = np.cumsum(block.n) - block.n
                 base = np.log10((exact + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id")[i].values, pa.array([not t for t in part.column("train")[i].as_py()], pa.bool_()),
-                    pa.array(n), pa.array(np.add.reduceat((exact > 0)[places].astype(np.int64), starts)),
-                    pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(np.add.reduceat(base[places], starts)),
-                    pa.array(np.add.reduceat(model.score(vocabulary, places, ends), starts))], names=names)
+                    part.column("doc_id")[i].values, pa.array(~block.train, pa.bool_()), pa.array(block.n),
+                    pa.array(np.add.reduceat((exact > 0)[block.places].astype(np.int64), starts)),
+                    pa.array(np.full(len(block.n), model.tokens, np.int64)),
+                    pa.array(np.add.reduceat(base[block.places], starts)),
+                    pa.array(np.add.reduceat(model.score(block, words, pairs), starts))], names=names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, n_tokens long, n_known long, "
@@ -353,8 +383,8 @@ def language_model_scores(documents: DataFrame) -> DataFrame:
     scored each and count each; without training documents every probability is that of a rare
     word; an empty table gives no row; other columns are not carried along.
     """
-    blocks, counts = read(documents)
-    return score(blocks, counts, train(blocks, counts))
+    blocks = read(documents)
+    return score(blocks, *train(blocks))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,16 @@ def test_scores_of_odd_rows(spark, monkeypatch, block):
     assert lm.language_model_scores(docs.limit(0)).count() == 0
 
 
+def test_pairs_of_rare_words_count(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d " * 100_000, True), (2, "rare pair", True), (3, "rare pair", True), (4, "rare pair", False),
+            (5, "pair rare", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in lm.language_model_scores(docs).filter(F.col("held_out")).collect()}
+    assert got[4] > got[5] + 1
+
+
 def test_packed_numbers():
     places = np.random.default_rng(0).integers(0, 1 << 20, 1000).astype(np.uint32)
     assert (lm._unpacked(lm._packed(places)) == places).all() and len(lm._unpacked(lm._packed(places[:0]))) == 0
