@@ -7,10 +7,7 @@ asking for level after level until one is missing.
 Texts are read once, into blocks of word numbers.  The n-grams of the blocks are dealt by hash
 into parts, whose number follows the tokens.  A part's task adds up its n-grams' training counts,
 fills the part's filter and answers each block that asked; no task and no broadcast holds more
-of the filter than one part of it.
-
-n-grams with a share of less than 2**-24 of the training tokens stay out and are one smoothed
-class.
+of the filter than one part of it.  Every n-gram of the training documents is held, at any size.
 """
 
 from __future__ import annotations
@@ -29,10 +26,10 @@ from murmur.llm.common import load, narrow, remainder, stage
 
 BLOCK_BYTES = 8 << 20
 """Text in a block; a longer text is a block of its own."""
-LEAST_SHARE = 2.0 ** -24
-"""Share of the training tokens that an n-gram in the filter has at least."""
 PART_TOKENS, LEAST_PARTS = 2_000_000, 64
 """Tokens for each part of the filter, which bound its n-grams of either order."""
+LEAST = 1.0
+"""The least count that the filter holds: none is left out."""
 BASE = 1.5
 """Each level's counts are so many times those of the level before."""
 EVENT_BITS, PROBES = 10, 7
@@ -45,8 +42,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 BLOCK = ("block long, doc_id array<long>, train array<boolean>, n array<int>, vocabulary array<long>, "
          "counts array<long>, tokens binary")
 ASKED = "part int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-ANSWERS = ("part int, block long, words binary, exact binary, pairs binary, tokens long, distinct long, kept long, "
-           "kinds long, held double, kept_pairs long")
+ANSWERS = ("part int, block long, words binary, exact binary, pairs binary, tokens long, distinct long, held double")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -257,25 +253,21 @@ def _summed(rows: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndar
     return different, total, number, np.cumsum([len(x) for x in each])
 
 
-def _answers(least: float):
-    """A group function: a part's filter is filled and probed; a row without a block has the part's sums."""
-    def answer(rows: pa.Table) -> pa.Table:
-        words, n, word, word_ends = _summed(rows, "words", "word_counts")
-        pairs, n2, pair, pair_ends = _summed(rows, "pairs", "pair_counts")
-        made = Filter.filled(np.concatenate([words, pairs]), np.concatenate([n, n2]), least)
-        held, part = n >= least, rows.column("part")[0].as_py()
-        size, names = rows.num_rows, [c.split()[0] for c in ANSWERS.split(", ")]
-        out = [pa.array(np.full(size, part, np.int32)), rows.column("block").combine_chunks(),
-               _binaries(made.levels(words).astype(np.uint8)[word], word_ends), _binaries(n[word], word_ends),
-               _binaries(made.levels(pairs).astype(np.uint8)[pair], pair_ends)]
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
-        out = pa.Table.from_arrays([*out, *(pa.nulls(size, kind) for kind in kinds)], names=names)
-        sums = [n.sum(), (n > 0).sum(), n[held].sum(), held.sum(), value_of(level_of(n[held], least), least).sum(), n2[n2 >= least].sum()]
-        row = [part, None, None, None, None, *(x.item() for x in sums)]
-        return pa.concat_tables([out, pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, out.schema, strict=True)],
-                                                           schema=out.schema)])
-
-    return answer
+def _answers(rows: pa.Table) -> pa.Table:
+    """A part's filter is filled and probed; a row without a block has the part's sums."""
+    words, n, word, word_ends = _summed(rows, "words", "word_counts")
+    pairs, n2, pair, pair_ends = _summed(rows, "pairs", "pair_counts")
+    made = Filter.filled(np.concatenate([words, pairs]), np.concatenate([n, n2]), LEAST)
+    seen, part = n[n > 0], rows.column("part")[0].as_py()
+    size, names = rows.num_rows, [c.split()[0] for c in ANSWERS.split(", ")]
+    out = [pa.array(np.full(size, part, np.int32)), rows.column("block").combine_chunks(),
+           _binaries(made.levels(words).astype(np.uint8)[word], word_ends), _binaries(n[word], word_ends),
+           _binaries(made.levels(pairs).astype(np.uint8)[pair], pair_ends)]
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    out = pa.Table.from_arrays([*out, *(pa.nulls(size, kind) for kind in kinds)], names=names)
+    row = [part, None, None, None, None, int(seen.sum()), len(seen), float(value_of(level_of(seen, LEAST), LEAST).sum())]
+    return pa.concat_tables([out, pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, out.schema, strict=True)],
+                                                       schema=out.schema)])
 
 
 @dataclass(frozen=True)
@@ -283,39 +275,30 @@ class Model:
     """The sums that make probabilities of the filter's counts."""
 
     parts: int
-    least: float
     tokens: int
     distinct: int
-    rare_tokens: int
-    rare_distinct: int
     held: float
     """Sum of the counts of words, as the filter gives them back."""
-    pair_share: float
-    """Share of the pairs after words in the filter that the filter holds."""
 
     def words(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities of words.  What the filter lacks shares the mass of rare words."""
+        """Probabilities of words.  Words without a count share that of half a token."""
         total = self.tokens + 0.5
-        rare = (self.rare_tokens + 0.5) / total / (self.rare_distinct + 1)
-        common = (self.tokens - self.rare_tokens) / total / max(self.held, 1e-9)
-        return np.where(counts > 0, counts * common, rare)
+        return np.where(counts > 0, counts * (self.tokens / total / max(self.held, 1e-9)), 0.5 / total)
 
     def score(self, block: Block, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
         """log10 probabilities of all tokens, from the filter's levels in the order of parts.
 
         After a word that the filter holds, the pair's relative frequency is mixed with the
-        word's probability; pairs that it lacks give up the share that held pairs have taken.
+        word's probability.
         """
         keys, at, number = block.pairs()
         counts, found = np.empty(len(block.vocabulary)), np.empty(len(keys))
-        counts[_dealt(block.vocabulary, self.parts)[0]] = value_of(word_levels, self.least)
-        found[_dealt(keys, self.parts)[0]] = value_of(pair_levels, self.least)
+        counts[_dealt(block.vocabulary, self.parts)[0]] = value_of(word_levels, LEAST)
+        found[_dealt(keys, self.parts)[0]] = value_of(pair_levels, LEAST)
         p = self.words(counts)[block.places]
         first, found, alone = counts[block.places[at - 1]], found[number], p[at]
         relative = np.minimum(found / np.maximum(first, 1), 1.0)
-        mixed = np.where(found > 0, PAIR_WEIGHT * relative + (1 - PAIR_WEIGHT) * alone,
-                         (1 - PAIR_WEIGHT * self.pair_share) * alone)
-        p[at] = np.where(first > 0, mixed, alone)
+        p[at] = np.where(first > 0, PAIR_WEIGHT * relative + (1 - PAIR_WEIGHT) * alone, alone)
         return np.log10(p)
 
 
@@ -331,16 +314,12 @@ def train(blocks: DataFrame) -> tuple[DataFrame, Model]:
     All statistics are over all training documents and all their words and pairs.  A block
     has an n-gram once, so an n-gram's part gets it from each block, not from each occurrence.
     """
-    def total(column: str):
-        return F.coalesce(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
-
-    everything, tokens = blocks.agg(total("n"), total("counts")).first()
-    parts, least = max(LEAST_PARTS, -(-everything // PART_TOKENS)), max(1.0, tokens * LEAST_SHARE)
+    total = F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    parts = max(LEAST_PARTS, -(-blocks.agg(total).first()[0] // PART_TOKENS))
     asked = blocks.select("block", "train", "n", "vocabulary", "counts", "tokens").mapInArrow(_asked(parts), ASKED)
-    answers = stage(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), "answers", compression="zstd")
-    names = ["distinct", "kept", "kinds", "held", "kept_pairs"]
-    distinct, kept, kinds, held, pairs = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
-    return answers, Model(parts, least, tokens, distinct, tokens - kept, distinct - kinds, held, pairs / max(kept, 1))
+    answers = stage(asked.groupBy("part").applyInArrow(_answers, ANSWERS), "answers", compression="zstd")
+    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "held")]).first()
+    return answers, Model(parts, *sums)
 
 
 def score(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:

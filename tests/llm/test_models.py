@@ -155,6 +155,16 @@ def test_pairs_of_rare_words_count(spark):
     assert got[4] > got[5] + 1
 
 
+def test_a_word_seen_once_is_known_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    bulk = spark.range(40, numPartitions=8).select("id", F.repeat(F.lit("a "), 1_000_000).alias("text"), F.lit(True).alias("train"))
+    rows = [(100, "once", True), (101, "once", False), (102, "never", False)]
+    docs = bulk.union(spark.createDataFrame(rows, "id long, text string, train boolean")).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r.score for r in lm.language_model_scores(docs).filter(F.col("held_out")).collect()}
+    assert got[101] > got[102] + 0.3
+
+
 def test_packed_numbers():
     places = np.random.default_rng(0).integers(0, 1 << 20, 1000).astype(np.uint32)
     assert (lm._unpacked(lm._packed(places)) == places).all() and len(lm._unpacked(lm._packed(places[:0]))) == 0
