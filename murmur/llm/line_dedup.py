@@ -25,7 +25,8 @@ SLOT_BITS = 18
 HASH_BITS = 45
 """Bits of a word's hash behind its rank."""
 LEAST_WORDS = 5
-"""Lines of fewer different words (headings, brackets, numbers) are never removed."""
+"""Unless asked for, lines of fewer different words (headings, brackets, numbers) are never removed."""
+BLANK = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,10 @@ class Limits:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         return F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + 1 >= self.common(n, m)
 
+    def may_differ(self, n: Column) -> Column:
+        """Whether a line can be similar to one with another set of words."""
+        return n * self.share.denominator >= (n + 1) * self.share.numerator
+
     def linked(self, common: Column, n: Column, m: Column) -> Column:
         return common * self.share.denominator >= (n + m - common) * self.share.numerator
 
@@ -74,7 +79,7 @@ FOLDED_WORDS = 64
 
 def _words(line: Column) -> Column:
     """The words of a lower-cased line; a line without words gives one empty word."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), WORD_GAP)
+    return F.split(F.btrim(line, F.lit(BLANK)), WORD_GAP)
 
 
 def _slot(word_hash: Column) -> Column:
@@ -108,10 +113,10 @@ def _ordered(hashes: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(hashes, number))
 
 
-def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line, content): the lower-cased lines of each text, numbered from 0."""
+def lines_of(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, line, content): the lower-cased lines of each text, numbered from 0, that are long enough for so many words."""
     split = docs.select(F.col("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "content"))
-    return split.filter(F.length("content") > 2 * LEAST_WORDS - 2)
+    return split.filter(F.length(F.btrim("content", F.lit(BLANK))) > 2 * least_words - 2)
 
 
 def _parity(words: Column, keep=None) -> Column:
@@ -121,11 +126,11 @@ def _parity(words: Column, keep=None) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def described(docs: DataFrame, ranks: Column, limits: Limits) -> DataFrame:
+def described(docs: DataFrame, ranks: Column, limits: Limits, least_words: int = LEAST_WORDS) -> DataFrame:
     """Lines with enough words: (doc_id, line, n, signature, low, high, parity, parity2, prefix)."""
-    rows = lines_of(docs).select("doc_id", "line", _hashes(F.col("content")).alias("hashes"))
+    rows = lines_of(docs, least_words=least_words).select("doc_id", "line", _hashes(F.col("content")).alias("hashes"))
     # a plain filter would be pushed below the hashes, which would then be made twice
-    rows = keep_where(rows.withColumn("n", F.size("hashes")), F.col("n") >= LEAST_WORDS)
+    rows = keep_where(rows.withColumn("n", F.size("hashes")), F.col("n") >= least_words)
     rows = rows.select("doc_id", "line", "n", F.array_min("hashes").alias("low"),
                        F.array_max("hashes").alias("high"), _ordered(F.col("hashes"), ranks).alias("words"))
     long = F.col("n") > FOLDED_WORDS
@@ -149,13 +154,13 @@ def _at(a: str) -> Column:
     return F.struct(F.col(f"{a}.doc_id").alias("doc_id"), F.col(f"{a}.line").alias("line"))
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
+def _exact(pairs: DataFrame, docs: DataFrame, limits: Limits, least_words: int) -> DataFrame:
     """The pairs (later, earlier), structs of doc_id and line, that are similar enough."""
     lines = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct()
     lines = stage(lines.select("at.doc_id", "at.line"), "compared-lines")
     some = docs.select("doc_id", "text").join(small_side(stage(lines.select("doc_id").distinct(), "compared-docs")),
                                               "doc_id", "left_semi")
-    words = lines_of(some).join(lines, ["doc_id", "line"], "left_semi")
+    words = lines_of(some, least_words=least_words).join(lines, ["doc_id", "line"], "left_semi")
     words = stage(words.select(F.struct("doc_id", "line").alias("at"), _hashes(F.col("content")).alias("w")), "line-words")
     one = words.select(F.col("at").alias("later"), F.col("w").alias("x"))
     two = words.select(F.col("at").alias("earlier"), F.col("w").alias("y"))
@@ -164,25 +169,26 @@ def _exact(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     return both.filter(limits.linked(common, F.size("x"), F.size("y"))).select("later")
 
 
-def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
+def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5), least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line): the lines with a similar line before them, by document id and line number.
 
     1. Lines with equal sets of words are a class, and its first line stands for it.
     2. Each class is compared with the first lines that have its word of the least and of the
        largest hash: this takes the bulk of large groups of near copies, in two pairs a line.
+       Classes of so few words that only equal sets are similar enough are done by now.
     3. Classes that are left are joined with all earlier lines that pass the filters.
     """
     limits = Limits(share)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull())
-    lines = stage(described(docs, rarity(docs), limits), "lines")
+    lines = stage(described(docs, rarity(docs), limits, least_words), "lines")
 
     place = F.struct("doc_id", "line")
     several = lines.groupBy("signature").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     several = several.filter(F.col("first") < F.col("last")).select("signature", "first")
     copies = lines.select("doc_id", "line", "signature").join(several, "signature")
     copies = stage(copies.filter(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line").distinct(), "copies")
-    classes = lines.drop("signature").join(small_side(copies), ["doc_id", "line"], "left_anti")
+    classes = lines.filter(limits.may_differ(F.col("n"))).drop("signature").join(small_side(copies), ["doc_id", "line"], "left_anti")
 
     about = ["doc_id", "line", "n", "parity", "parity2"]
     keyed = classes.select(*about, F.explode(F.array("low", "high")).alias("key"))
@@ -190,7 +196,7 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame
     heads = heads.filter(F.struct("head.doc_id", "head.line") < F.col("last")).select("key", "head.*")
     near = keyed.alias("a").join(heads.alias("b"), "key").filter(_before("b", "a") & limits.may_link("a", "b"))
     near = stage(near.select(_at("a").alias("later"), _at("b").alias("earlier")).distinct(), "head-pairs")
-    gone = stage(_exact(near, docs, limits).select("later.*").distinct().withColumn("gone", F.lit(True)), "gone")
+    gone = stage(_exact(near, docs, limits, least_words).select("later.*").distinct().withColumn("gone", F.lit(True)), "gone")
 
     left = classes.join(small_side(gone), ["doc_id", "line"], "left")
     words = left.select(*about, F.col("gone").isNull().alias("left"), F.posexplode("prefix").alias("place", "word"))
@@ -203,24 +209,24 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame
         & limits.may_link("a", "b"))
     pairs = pairs.select(F.when(a_later, _at("a")).otherwise(_at("b")).alias("later"),
                          F.when(a_later, _at("b")).otherwise(_at("a")).alias("earlier")).distinct()
-    more = _exact(stage(pairs, "line-pairs"), docs, limits).select("later.*")
+    more = _exact(stage(pairs, "line-pairs"), docs, limits, least_words).select("later.*")
     # the other lines of a class are copies of its first, so the classes' first lines complete them
     return copies.union(gone.select("doc_id", "line")).union(more).distinct()
 
 
-def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
+def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5), least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and n_lines and n_removed.
 
     A line goes if a line before it, in the order of doc_id and line number, has a Jaccard
     similarity of ``share`` or more between the sets of lower-cased words.  Lines of fewer than
-    ``LEAST_WORDS`` different words always stay.
+    ``least_words`` different words always stay; with 1, all lines with a word take part.
 
     Defined results: null texts stay null and have no lines; empty texts have one; a text of one
     very long line is one set; rows with equal ids are the same document (their lines fall
     together by number); rows without an id are left as they are; an empty table gives no row; other
     columns are carried along, and those called n_lines and n_removed are replaced.
     """
-    repeats = stage(find_repeats(docs, share), "repeats")
+    repeats = stage(find_repeats(docs, share, least_words), "repeats")
     removed = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
     small = repeats.count() <= 2_000_000          # a number for each of them: 8 MB
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
@@ -234,10 +240,18 @@ def line_dedup(docs: DataFrame, share: Fraction = Fraction(4, 5)) -> DataFrame:
                        F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines removed from all documents, and a digest of the text that is left."""
-    out = line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+def _digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
                       F.col("n_removed").cast("long").alias("n_removed"),
                       F.char_length(whole_text()).cast("long").alias("n_chars_left"),
                       F.sha2(whole_text().cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from all documents, and a digest of the text that is left."""
+    return _digests(line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op6_line_dedup``, with all lines that have a word."""
+    return _digests(line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1))
