@@ -18,6 +18,7 @@ hardly ever fills a whole bundle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -33,6 +34,8 @@ from murmur.llm.common import load, narrow, small_side, stage
 from murmur.llm.components import components
 
 LARGEST_SET = 1 << 40
+DEVIATIONS = 4
+"""By so many standard deviations empty ranges exceed their mean hardly ever."""
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -117,10 +120,26 @@ class Bands:
         rows = []
         for scheme in range(len(self.edges) - 1):
             slack = self.slack_of(2 * (self.edges[scheme + 1] - 1))
-            spare = 1 + slack // 2000
+            spare = self.spare_of(slack, self.edges[max(0, scheme - 1)])
             rows.append((slack, spare, slack + 1 + spare if slack else 0))
         return rows
 
+    @staticmethod
+    def spare_of(slack: int, least: int) -> int:
+        """Empty ranges that a set of ``least`` n-grams or more hardly ever exceeds.
+
+        More spare ranges leave more of them empty, so the number is raised until it holds, or
+        is half of the slack: then sets are too small for their ranges.
+        """
+        spare = 1
+        while spare < max(1, slack // 2):
+            mean = (slack + 1 + spare) * math.exp(-least / (slack + 1 + spare))
+            wanted = math.ceil(mean + DEVIATIONS * math.sqrt(mean))
+            if wanted <= spare:
+                break
+            spare = min(wanted, max(1, slack // 2))
+        return spare
+
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, "right")) - 1
 

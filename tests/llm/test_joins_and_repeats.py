@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -223,3 +224,16 @@ def test_short_lines_take_part_if_asked(spark, docs):
     got = QUERIES["op6_line_dedup_all"](spark, SF001).collect()
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_chars_left) for r in got} == \
         {d: (a, b, len(t)) for d, (a, b, t) in want.items()}
+
+
+def test_empty_ranges_are_no_tokens():
+    bands, rng = jaccard_join.Bands(Fraction(4, 5)), np.random.default_rng(7)
+    for size in (30, 100, 300, 800, 3000, 20000):
+        sets = [np.unique(rng.integers(0, 1 << 64, size, np.uint64)) for _ in range(40)]
+        bundles = np.concatenate([bands.bundles(x)[0] for x in sets])
+        assert len(np.unique(bundles)) == len(bundles), size       # unlike sets have nothing in common
+        for x in sets[:10]:
+            for extra in (0, size // 4):                                # each is linked to its subset
+                part = np.sort(rng.permutation(x)[:math.ceil(0.8 * (len(x)))]) if extra else x
+                shared = np.intersect1d(bands.bundles(x)[0], bands.bundles(part)[0])
+                assert len(shared) >= bands.least_overlap(len(part), len(x)) >= 1
