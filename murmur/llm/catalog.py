@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from murmur.llm.alignment import op11_token_alignment
 from murmur.llm.bpe import op3_byte_bpe
 from murmur.llm.decontaminate import op5_decontaminate
 from murmur.llm.jaccard_join import op1_jaccard_join
@@ -20,4 +21,4 @@ __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_suffix_dedup, op3_byte_bpe, op4_quality_classifier, op5_decontaminate, op6_line_dedup, op6_line_dedup_all, op7_sharding, op8_language_id, op9_lm_scoring, op10_quality_rules,
-    op12_nearest_neighbours, op13_embedding_whitening)}
+    op11_token_alignment, op12_nearest_neighbours, op13_embedding_whitening)}
