@@ -34,9 +34,12 @@ FAN = 16
 """Fragments composed at once."""
 KNOWN_UNITS = 300_000
 """Units that a worker remembers before it begins anew; results don't depend on it."""
+RUN = 64
+"""Units that are encoded in one string."""
 BLOCK_PAIRS = 2_000_000
 """Pairs of ids (summed over documents) that are counted together before the shuffle."""
-ROWS = 512
+BATCH_BYTES = 2 << 20
+"""Text that is aligned at once."""
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -57,8 +60,19 @@ class Open(NamedTuple):
         return Open(self.a + other.a, self.b + other.b)
 
 
+def _sums(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, rising; sum of the numbers of each)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(numbers[order], first) if len(first) else numbers[:0]
+
+
 class Closed(NamedTuple):
-    """Whole groups: their text (each ends with a semicolon), counts, and id pairs with their numbers of links."""
+    """Whole groups: their text (each ends with a semicolon), counts, and id pairs with their numbers of links.
+
+    Pairs are in arrays of different rising pairs; a pair may be in several of them.
+    """
 
     text: tuple[bytes, ...] = ()
     n_a: int = 0
@@ -75,8 +89,9 @@ class Closed(NamedTuple):
         """(different pairs, rising; links of each)."""
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
-        return pairs, np.bincount(at, np.concatenate(self.times), len(pairs)).astype(np.int64)
+        if len(self.pairs) == 1:
+            return self.pairs[0], self.times[0]
+        return _sums(np.concatenate(self.pairs), np.concatenate(self.times))
 
 
 class Fragment(NamedTuple):
@@ -109,25 +124,29 @@ def _links(a_ends, b_ends) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Ragged:
-    """Lists of numbers in one growing array."""
+    """Lists of numbers one after the other, in arrays that grow."""
 
     def __init__(self):
-        self.flat, self.starts, self.n = np.zeros(1 << 16, np.int64), [0], 0
+        self.flat, self.n = np.zeros(1 << 16, np.int64), 0
+        self.starts, self.rows = np.zeros(1 << 12, np.int64), 0
 
     def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        end = self.n + len(values)
+        end, rows = self.n + len(values), self.rows + len(lengths)
         if end > len(self.flat):
-            self.flat = np.concatenate([self.flat[:self.n], np.zeros(max(end, len(self.flat)), np.int64)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat) // 2), np.int64)])
+        if rows >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(rows, len(self.starts) // 2), np.int64)])
         self.flat[self.n:end] = values
-        self.starts += (self.n + np.cumsum(lengths)).tolist()
-        self.n = end
+        self.starts[self.rows + 1:rows + 1] = self.n + np.cumsum(lengths)
+        self.n, self.rows = end, rows
 
 
-def _take(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _take(lists: _Ragged, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values of the rows' lists one after the other, lengths)."""
-    lengths = starts[rows + 1] - starts[rows]
-    at = np.repeat(starts[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    return flat[at], lengths
+    starts = lists.starts[rows]
+    lengths = lists.starts[rows + 1] - starts
+    at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    return lists.flat[at], lengths
 
 
 class Aligner:
@@ -156,6 +175,7 @@ class Aligner:
         # a token's text with what follows it: within its group, or at the end of its side of the group
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.texts = [b"%d%s" % (i, c) for size, marks in ((n, (b",", b"|")), (m, (b",", b";"))) for c in marks for i in range(size)]
+        self.text_sizes = np.array(list(map(len, self.texts)))
         self.b_count = m
         self.forget()
 
@@ -163,8 +183,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.pairs, self.ends_a, self.ends_b, self.ids_a, self.ids_b = (_Ragged() for _ in range(5))
         self.text: list[bytes] = []
-        self.figures: list[tuple[int, int, int, int, int]] = []
-        self._arrays = None
+        self.figures, self.used = _Ragged(), _Ragged()
 
     # --- units ---
 
@@ -175,24 +194,58 @@ class Aligner:
         """Align the units that aren't known (each with a space before it)."""
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > KNOWN_UNITS and self.known:
-            self.forget()
-            new = list(units)
+            self.forget_rare()
+            new = [u for u in units if u not in self.known]
         for begin in range(0, len(new), 1 << 16):
             self._learn(new[begin:begin + (1 << 16)])
 
+    def forget_rare(self) -> None:
+        """Keep the units met most often, half as many as may be known at most."""
+        used = self.used.flat[:self.used.n]
+        least = max(2, int(np.sort(used)[-min(KNOWN_UNITS // 2, len(used))]) + 1)
+        rows = np.flatnonzero(used >= least)
+        kept = [(x, *_take(x, rows)) for x in (self.pairs, self.ends_a, self.ends_b, self.ids_a, self.ids_b, self.figures)]
+        names, texts = list(self.known), self.text
+        self.forget()
+        now = (self.pairs, self.ends_a, self.ends_b, self.ids_a, self.ids_b, self.figures)
+        for lists, (_, values, lengths) in zip(now, kept, strict=True):
+            lists.extend(values, lengths)
+        self.used.extend(np.ones(len(rows), np.int64), np.ones(len(rows), np.int64))
+        self.text = [texts[i] for i in rows.tolist()]
+        self.known = {names[i]: k for k, i in enumerate(rows.tolist())}
+
     def _learn(self, new: list[str]) -> None:
-        spaced = [" " + u for u in new]
-        a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        ok = []
-        for i, s in enumerate(spaced):
-            whole = s.encode()
-            same = b"".join(map(self.b_bytes.__getitem__, b[i])) == whole == b"".join(map(self.a_bytes.__getitem__, a[i]))
-            ok.append(same)
-            if not same:
-                a[i] = b[i] = []
-        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, k) for x, k in ((a, n_a.sum()), (b, n_b.sum())))
+        """Units are encoded many at once; one by one if space is at an end, or a vocabulary doesn't give a run back."""
+        joined = [u for u in new if self.cuts and not (u[0].isspace() or u[-1].isspace())]
+        runs = [joined[i:i + RUN] for i in range(0, len(joined), RUN)]
+        texts = [" ".join(run) for run in runs]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        good = [b"".join(map(self.a_bytes.__getitem__, x)) == (" " + t).encode() == b"".join(map(self.b_bytes.__getitem__, y))
+                for t, x, y in zip(texts, a, b, strict=True)]
+        units = [u for run, ok in zip(runs, good, strict=True) if ok for u in run]
+        if units:
+            ends = np.cumsum(np.fromiter((1 + len(u.encode()) for u in units), np.int64, len(units)))
+            sides = []
+            for ids, sizes in ((a, self.a_sizes), (b, self.b_sizes)):
+                flat = np.array(list(chain.from_iterable(x for x, ok in zip(ids, good, strict=True) if ok)), np.int64)
+                sides += [flat, np.bincount(np.searchsorted(ends, np.cumsum(sizes[flat])), minlength=len(units))]
+            self._add(units, *sides, np.ones(len(units), np.int64))
+        units = [u for u in new if not self.cuts or u[0].isspace() or u[-1].isspace()]
+        units += [u for run, ok in zip(runs, good, strict=True) if not ok for u in run]
+        if units:
+            a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+            b = self.b.encode(units, num_threads=1)
+            ok = [b"".join(map(self.a_bytes.__getitem__, x)) == (" " + u).encode() == b"".join(map(self.b_bytes.__getitem__, y))
+                  for u, x, y in zip(units, a, b, strict=True)]
+            sides = []
+            for ids in (a, b):
+                kept = [x if fine else [] for x, fine in zip(ids, ok, strict=True)]
+                sides += [np.array(list(chain.from_iterable(kept)), np.int64), np.array(list(map(len, kept)), np.int64)]
+            self._add(units, *sides, np.array(ok, np.int64))
+
+    def _add(self, new: list[str], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, ok: np.ndarray) -> None:
+        """Remember units: their tokens (none of a unit that isn't given back), groups and links."""
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         unit_a, unit_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
@@ -202,9 +255,10 @@ class Aligner:
         n, m = len(self.a_bytes), self.b_count
         marked = np.concatenate([ids_a + n * last_a, 2 * n + ids_b + m * last_b])
         order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
-        texts = list(map(self.texts.__getitem__, marked[order].tolist()))
-        ends = np.cumsum(n_a + n_b).tolist()
-        self.text += [b"".join(texts[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+        marked = marked[order]
+        whole = b"".join(map(self.texts.__getitem__, marked.tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.text_sizes[marked])])[np.cumsum(n_a + n_b)].tolist()
+        self.text += [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)]
         at_a, at_b = _links(ends_a, ends_b)
         links = np.bincount(unit_a[at_a], minlength=len(new))
         groups = np.bincount(unit_a[last_a], minlength=len(new))
@@ -214,31 +268,27 @@ class Aligner:
         self.ids_b.extend(ids_b, n_b)
         self.ends_a.extend(ends_a - begin[unit_a], n_a)
         self.ends_b.extend(ends_b - begin[unit_b], n_b)
-        self.figures += zip(n_a.tolist(), n_b.tolist(), groups.tolist(), links.tolist(), ok, strict=True)
+        self.used.extend(np.zeros(len(new), np.int64), np.ones(len(new), np.int64))
+        self.figures.extend(np.stack([n_a, n_b, groups, links, ok], 1).ravel(), np.full(len(new), 5))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self._arrays = None
-
-    def arrays(self):
-        if self._arrays is None:
-            self._arrays = (np.array(self.figures, np.int64).reshape(-1, 5), self.pairs.flat, np.array(self.pairs.starts))
-        return self._arrays
 
     # --- fragments ---
 
     def whole_units(self, texts: list[list[str]]) -> list[Fragment]:
         """Fragments of many runs of whole units; each begins and ends at a common end."""
         self.learn(set().union(*texts))
-        figures, flat, starts = self.arrays()
+        figures = self.figures.flat[:self.figures.n].reshape(-1, 5)
         sizes = np.array(list(map(len, texts)))
         rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        self.used.flat[:self.used.n] += np.bincount(rows, minlength=self.used.n)
         doc = np.repeat(np.arange(len(texts)), sizes)
         sums = np.zeros((len(texts), 5), np.int64)
-        np.add.at(sums, doc, figures[rows])
+        for i in range(5):
+            sums[:, i] = np.bincount(doc, figures[rows, i], len(texts))
         # units that repeat within a text are looked up once
         both, often = np.unique(doc << 32 | rows, return_counts=True)
-        pairs, lengths = _take(flat, starts, both & 0xFFFFFFFF)
-        keys, at = np.unique(np.repeat(both >> 32, lengths) << 40 | pairs, return_inverse=True)
-        times = np.bincount(at, np.repeat(often, lengths), len(keys)).astype(np.int64)
+        pairs, lengths = _take(self.pairs, both & 0xFFFFFFFF)
+        keys, times = _sums(np.repeat(both >> 32, lengths) << 40 | pairs, np.repeat(often, lengths))
         bounds = np.searchsorted(keys, np.arange(len(texts) + 1) << 40).tolist()
         keys &= (1 << 40) - 1
         names = list(map(self.text.__getitem__, rows.tolist()))
@@ -254,7 +304,7 @@ class Aligner:
         """The fragment of the tokens that end above ``low`` and not above ``high`` bytes of a unit (its space is one)."""
         self.learn({unit})
         row = self.known[unit]
-        if not self.figures[row][4]:
+        if not self.figures.flat[5 * row + 4]:
             return Fragment(ok=False)
         sides = []
         for ids, ends in ((self.ids_a, self.ends_a), (self.ids_b, self.ends_b)):
@@ -367,6 +417,20 @@ def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
                                       names=[name for name, _ in fields])
 
 
+def _bounded(part: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The (id, text) rows of a batch, so many at once that their texts are of a bounded size (one at least)."""
+    some, size = [], 0
+    for begin in range(0, part.num_rows, 64):
+        for row in zip(*(c.to_pylist() for c in part.slice(begin, 64).columns), strict=True):
+            some.append(row)
+            size += len(row[1] or "")
+            if size >= BATCH_BYTES:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
 class _Blocks:
     """Numbers for documents that stand together, one for ``BLOCK_PAIRS`` pairs."""
 
@@ -411,10 +475,9 @@ def align(docs: DataFrame, tokenizers: Tokenizers, chunk_bytes: int = CHUNK_BYTE
     def cut_or_align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, blocks = tokenizers.get(), _Blocks()
         for part in parts:
-            for begin in range(0, part.num_rows, ROWS):
-                ids, texts = (c.to_pylist() for c in part.slice(begin, ROWS).columns)
+            for some in _bounded(part):
                 short, rows = [], []
-                for doc_id, text in zip(ids, texts, strict=True):
+                for doc_id, text in some:
                     if len((text or "").encode()) < chunk_bytes:
                         short.append((doc_id, aligner.units(text) if text else []))
                         continue
