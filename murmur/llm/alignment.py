@@ -32,13 +32,13 @@ CHUNK_BYTES = 64 << 10
 """Byte range of a fragment; longer texts are aligned by several tasks."""
 FAN = 16
 """Fragments composed at once."""
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 150_000
 """Units that a worker remembers before it begins anew; results don't depend on it."""
 RUN = 64
 """Units that are encoded in one string."""
 BLOCK_PAIRS = 2_000_000
 """Pairs of ids (summed over documents) that are counted together before the shuffle."""
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 """Text that is aligned at once."""
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -375,7 +375,10 @@ class Aligner:
 # --- rows ---------------------------------------------------------------------------------------
 
 class Tokenizers:
-    """Contents of both vocabulary files, broadcast; files have a fixed size."""
+    """Contents of both vocabulary files, broadcast; files have a fixed size.
+
+    A worker has one aligner, and keeps it for all queries with the same files.
+    """
 
     _made: dict[str, Aligner] = {}
 
@@ -384,7 +387,9 @@ class Tokenizers:
 
         with open(a_path or public_tokenizers.path(TOKENIZER_A), encoding="utf-8") as a, \
                 open(b_path or public_tokenizers.path(TOKENIZER_B), "rb") as b:
-            self.shared, self.key = spark.sparkContext.broadcast((a.read(), b.read())), uuid.uuid4().hex
+            files = a.read(), b.read()
+        self.shared = spark.sparkContext.broadcast(files)
+        self.key = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
 
     def get(self) -> Aligner:
         made = Tokenizers._made
