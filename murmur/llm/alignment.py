@@ -32,13 +32,13 @@ CHUNK_BYTES = 64 << 10
 """Byte range of a fragment; longer texts are aligned by several tasks."""
 FAN = 16
 """Fragments composed at once."""
-KNOWN_UNITS = 150_000
+KNOWN_UNITS = 100_000
 """Units that a worker remembers before it begins anew; results don't depend on it."""
 RUN = 64
 """Units that are encoded in one string."""
 BLOCK_PAIRS = 2_000_000
 """Pairs of ids (summed over documents) that are counted together before the shuffle."""
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 """Text that is aligned at once."""
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -509,21 +509,20 @@ def align(docs: DataFrame, tokenizers: Tokenizers, chunk_bytes: int = CHUNK_BYTE
                 found = aligner.range_fragment(row["text"], row["low"], row["high"])
                 yield _batch(FRAGMENT, [_fragment_row(row["doc_id"], row["document"], row["chunk"], found)])
 
-    def compose(rows: pa.Table) -> pa.Table:
+    def compose(rows: pa.Table, last: bool) -> pa.Table:
         given = sorted(rows.to_pylist(), key=lambda r: r["chunk"])
         found = tokenizers.get().compose([_fragment_of(r) for r in given])
-        return pa.Table.from_batches([_batch(FRAGMENT, [_fragment_row(given[0]["doc_id"], given[0]["document"], given[0]["chunk"] // FAN, found)])])
-
-    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks()
-        for part in parts:
-            yield _batch(RECORD, [_record(r["doc_id"], _fragment_of(r), blocks) for r in part.to_pylist()])
+        doc_id, document, chunk = given[0]["doc_id"], given[0]["document"], given[0]["chunk"] // FAN
+        batch = (_batch(RECORD, [_record(doc_id, found, _Blocks())]) if last
+                 else _batch(FRAGMENT, [_fragment_row(doc_id, document, chunk, found)]))
+        return pa.Table.from_batches([batch])
 
     tree = long.repartition(F.col("document"), F.col("chunk")).mapInArrow(fragments, FRAGMENT)
-    while most > 1:
-        tree = tree.groupBy("document", F.floor(F.col("chunk") / FAN)).applyInArrow(compose, FRAGMENT)
+    while most > FAN:
+        tree = tree.groupBy("document", F.floor(F.col("chunk") / FAN)).applyInArrow(lambda rows: compose(rows, False), FRAGMENT)
         most = -(-most // FAN)
-    return records.unionByName(stage(tree.mapInArrow(finish, RECORD), "long-alignments", compression="zstd"))
+    whole = tree.groupBy("document").applyInArrow(lambda rows: compose(rows, True), RECORD)
+    return records.unionByName(stage(whole, "long-alignments", compression="zstd"))
 
 
 def _fragment_row(doc_id, document: str, chunk: int, f: Fragment) -> tuple:
