@@ -53,6 +53,12 @@ class _Best:
         scores = np.concatenate([self.scores, np.round(scores, self.digits)], 1)
         ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))], 1)
         if scores.shape[1] > self.k:
+            # no row below the k-th score can stay; ties with it are settled by id
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1:self.k]
+            width = int((scores >= least).sum(1).max())
+            if width < scores.shape[1]:
+                some = np.argpartition(np.where(scores >= least, 0, 1), width - 1, axis=1)[:, :width]
+                scores, ids = np.take_along_axis(scores, some, 1), np.take_along_axis(ids, some, 1)
             order = np.lexsort((ids, -scores), axis=1)[:, :self.k]
             scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
         self.ids, self.scores = ids, scores
@@ -116,12 +122,13 @@ class TfidfIndex:
         tf = stage(_term_counts(corpus, id_col, text_col), "term-counts")
         n = corpus.select(id_col).count()
         self.idf = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                         .select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
-        rows = (tf.join(self.idf, "term").groupBy(id_col)
-                .agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("idf")).alias("w"))).alias("v")))
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-        self.rows = stage(rows.select(id_col, F.col("v.t").alias("terms"),
-                                      F.transform("v", lambda x: x["w"] / norm).alias("w")), "tfidf")
+                         .select("term", "df", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
+        weighted = tf.join(self.idf.drop("df"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+        # the norm is an aggregate of its own: inside the lambda it would be made anew for every term
+        rows = weighted.groupBy(id_col).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "raw")).alias("v"),
+                                            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        self.rows = stage(rows.select(id_col, F.col("v.t").alias("terms"), F.col("norm"),
+                                      F.transform("v.raw", lambda x: x / F.col("norm")).alias("w")), "tfidf")
 
     @property
     def weights(self) -> DataFrame:
@@ -152,7 +159,7 @@ class TfidfIndex:
                        "q": np.repeat(np.arange(len(rows)), [len(r["v"]) for r in rows])[order],
                        "w": np.array([x["qw"] for r in rows for x in r["v"]])[order]}
 
-        return _search(self.rows, prepared(), _lexical, k, LEX_DIGITS, qid, self.id_col, "lexical_score")
+        return _search(self.rows.select(self.id_col, "terms", "w"), prepared(), _lexical, k, LEX_DIGITS, qid, self.id_col, "lexical_score")
 
 
 def _lexical(block: dict, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

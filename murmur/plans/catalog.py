@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import corpus, evaluate, explore, labels, retrieval, routing, topics, vectors
+from murmur.operators import cells, corpus, evaluate, explore, inverted, labels, retrieval, routing, topics, vectors
 from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
@@ -153,6 +153,15 @@ def q_tfidf_topk(spark, sf_dir):
             .select("qid", F.col("doc_id").alias("comment_id"), "lexical_score", "rank"))
 
 
+@register("tfidf_topk_indexed", f"""
+WITH {O.tfidf_ctes(O.DOC_CORPUS, O.QUESTIONS)}
+SELECT qid, id AS comment_id, lexical_score, rank FROM {O.ranked('lx_sc', 'qid', 'lexical_score', 'id', 5)}""")
+def q_tfidf_topk_indexed(spark, sf_dir):
+    """The rows of tfidf_topk from postings with impact bounds: only blocks that can matter are opened."""
+    index = inverted.ImpactIndex(docs(spark, sf_dir).select("doc_id", "text"))
+    return index.top_k(questions(spark, sf_dir), 5).select("qid", F.col("doc_id").alias("comment_id"), "lexical_score", "rank")
+
+
 @register("cosine_topk", f"""
 WITH {O.cosine_ctes(O.VEC_CORPUS, O.VEC_QUESTIONS)}
 SELECT qid, id AS comment_id, semantic_score, rank FROM {O.ranked('sm_sc', 'qid', 'semantic_score', 'id', 5)}""")
@@ -185,6 +194,12 @@ def q_hybrid_topk(spark, sf_dir):
     return hybrid(spark, sf_dir, 5, 0.7).select(*HYBRID_COLS)
 
 
+@register("hybrid_topk_indexed", O.hybrid_sql(5, 0.7))
+def q_hybrid_topk_indexed(spark, sf_dir):
+    index = inverted.ImpactIndex(docs(spark, sf_dir).select("doc_id", "text"))
+    return hybrid(spark, sf_dir, 5, 0.7, index=index).select(*HYBRID_COLS)
+
+
 @register("hybrid_topk_a03", O.hybrid_sql(5, 0.3))
 def q_hybrid_topk_a03(spark, sf_dir):
     return hybrid(spark, sf_dir, 5, 0.3).select(*HYBRID_COLS)
@@ -701,9 +716,15 @@ def q_embed_text(spark, sf_dir):
     return stages.stage(vt, "vector_store")
 
 
+def vector_index(spark, sf_dir) -> cells.CellIndex:
+    return cells.CellIndex(doc_vectors(spark, sf_dir), k=5)
+
+
 @register("lsh_topk")
 def q_lsh_topk(spark, sf_dir):
-    return vectors.lsh_top_k(doc_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 5)
+    """Approximate search: cells of centroids, sketches of random signs, exact products of what is left."""
+    return (vector_index(spark, sf_dir).top_k(question_vectors(spark, sf_dir), 5)
+            .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
 
 
 # --- sources and sinks --------------------------------------------------------------------

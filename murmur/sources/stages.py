@@ -23,8 +23,9 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_stage(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """``schema`` is needed for a partitioned stage that may have no rows, and so no files."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
