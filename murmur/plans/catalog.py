@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import cells, corpus, evaluate, explore, inverted, labels, retrieval, routing, topics, vectors
+from murmur.operators import cells, corpus, evaluate, explore, inverted, labels, retrieval, routing, store, topics, vectors
 from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
@@ -170,6 +170,42 @@ def q_cosine_topk(spark, sf_dir):
             .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
 
 
+_FINAL = f"""{O.word_frequency_ctes()},
+st AS (SELECT list(word) AS stop FROM (SELECT word FROM wf ORDER BY frequency DESC, word LIMIT 50)),
+ft AS (SELECT doc_id AS id, documents.source, array_to_string(list_filter(lemmas, lambda x: NOT list_contains(stop, x)), ' ') AS text
+       FROM en JOIN documents USING (doc_id), st)"""
+
+
+def final_store(spark, sf_dir, layout=None) -> store.VectorStore:
+    """Processed English documents, written with their encoder and opened again."""
+    rows, _, _ = corpus.preprocess(docs(spark, sf_dir))
+    rows = rows.join(docs(spark, sf_dir).select("doc_id", F.col("source").alias("video_id")), "doc_id")
+    path = stages.stage_path(spark, "vector-store")
+    store.VectorStore.write(rows.select("doc_id", "final_text", "video_id"), path, "doc_id", "final_text", layout=layout)
+    return store.VectorStore.open(spark, path)
+
+
+@register("store_topk", f"""
+WITH {_FINAL}, {O.store_ctes("ft", O.QUESTIONS, 256)}
+SELECT qid, vs_top.id AS comment_id, ft.text, source AS video_id, semantic_score, rank
+FROM {O.ranked('vs_sc', 'qid', 'semantic_score', 'id', 5)} vs_top JOIN ft USING (id)""")
+def q_store_topk(spark, sf_dir):
+    """Questions in words, encoded by the stored encoder and answered from the stored table."""
+    hits = final_store(spark, sf_dir).search(questions(spark, sf_dir), 5)
+    return hits.select("qid", "comment_id", "text", F.col("metadata.video_id").alias("video_id"), "semantic_score", "rank")
+
+
+@register("store_topk_filtered", f"""
+WITH {_FINAL}, {O.store_ctes("ft", O.QUESTIONS, 256)},
+own AS (SELECT qid, s.id, source, semantic_score FROM vs_sc s JOIN ft USING (id) WHERE source = 'src' || (qid % 7))
+SELECT qid, id AS comment_id, source AS video_id, semantic_score, rank FROM {O.ranked('own', 'qid', 'semantic_score', 'id', 5)}""")
+def q_store_topk_filtered(spark, sf_dir):
+    """Each question within one video of its own: the store is laid out by video, and others aren't read."""
+    asked = questions(spark, sf_dir).withColumn("video_id", F.concat(F.lit("src"), (F.col("qid") % 7).cast("string")))
+    hits = final_store(spark, sf_dir, ["video_id"]).search(asked, 5, by="video_id")
+    return hits.select("qid", "comment_id", F.col("metadata.video_id").alias("video_id"), "semantic_score", "rank")
+
+
 def text_index(spark, sf_dir) -> retrieval.TfidfIndex:
     return retrieval.TfidfIndex(docs(spark, sf_dir).select(F.col("doc_id"), "text"))
 

@@ -115,6 +115,29 @@ def cosine_ctes(corpus: str, queries: str, p: str = "sm") -> str:
     FROM {corpus} cv, {queries} qv)"""
 
 
+def store_ctes(corpus: str, queries: str, dims: int, p: str = "vs") -> str:
+    """CTEs ending in ``{p}_sc(qid, id, semantic_score)`` of hashed, weighted, normalised term counts;
+    ``corpus`` has (id, text), ``queries`` has (qid, text)."""
+    def terms(key: str, src: str) -> str:
+        term = f"unnest(regexp_extract_all(lower(coalesce(text, '')), {q(LEX_SQL_PATTERN)}))"
+        return (f"SELECT {key}, b, count(*) AS tf FROM (SELECT {key}, ('0x' || left(md5(term), 8))::BIGINT % {dims} AS b "
+                f"FROM (SELECT {key}, {term} AS term FROM {src})) GROUP BY {key}, b")
+
+    def unit(key: str, name: str) -> str:
+        return (f"SELECT {key}, b, CAST(CAST(raw / sqrt(sum(raw * raw) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w "
+                f"FROM (SELECT {key}, b, tf * idf AS raw FROM {name} JOIN {p}_idf USING (b))")
+
+    return f"""{p}_dt AS ({terms("id", corpus)}),
+{p}_idf AS (SELECT b, ln((1.0 + n) / (1.0 + coalesce(held, 0))) + 1.0 AS idf FROM (SELECT unnest(range({dims})) AS b)
+    LEFT JOIN (SELECT b, count(*) AS held FROM {p}_dt GROUP BY b) USING (b), (SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus})),
+{p}_dw AS ({unit("id", f"{p}_dt")}),
+{p}_qt AS ({terms("qid", queries)}),
+{p}_qw AS ({unit("qid", f"{p}_qt")}),
+{p}_dot AS (SELECT qid, id, sum(d.w * z.w) AS dot FROM {p}_dw d JOIN {p}_qw z USING (b) GROUP BY qid, id),
+{p}_sc AS (SELECT qid, id, round(coalesce(dot, 0), 5) AS semantic_score FROM (SELECT qid FROM {queries}) CROSS JOIN (SELECT id FROM {corpus})
+    LEFT JOIN {p}_dot USING (qid, id))"""
+
+
 def ranked(src: str, part: str, score: str, tie: str, k: int) -> str:
     return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, {tie})"
             f" AS INTEGER) AS rank FROM {src}) WHERE rank <= {k})")
