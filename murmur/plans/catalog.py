@@ -18,7 +18,7 @@ from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
-from murmur.sources import files, lexicon, stages
+from murmur.sources import csv_splits, files, lexicon, stages
 from murmur.sources.tables import COMMENTS_SQL, comments, spread, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -776,6 +776,17 @@ def q_csv_roundtrip(spark, sf_dir):
     return files.read_comment_csv(spark, path).select("author", "like_count", "text", "video_id")
 
 
+@register("csv_split_roundtrip", f"""{_C}
+SELECT author, CAST(like_count AS BIGINT) AS like_count, text, video_id FROM c""")
+def q_csv_split_roundtrip(spark, sf_dir):
+    """The same through the reader of byte ranges."""
+    c = comments(spark, sf_dir).select("author", F.lit(None).cast("string").alias("updated_at"), "like_count",
+                                       "text", "video_id", F.lit(True).alias("public"))
+    path = stages.stage_path(spark, "comments_csv")
+    files.write_comment_csv(c, path)
+    return csv_splits.read_large_csv(spark, path).select("author", "like_count", "text", "video_id")
+
+
 @register("thread_flatten", """
 SELECT role AS author, CAST(conv_id AS VARCHAR) AS updated_at, turn AS like_count, text,
        'conv' || CAST(conv_id AS VARCHAR) AS video_id, role = 'user' AS public FROM conversations""")
