@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
 from murmur.operators import corpus, explore, labels, topics, vectors
+from murmur.operators.group_topics import GroupTopics
 from murmur.sources import lexicon
 from murmur.sources.stages import read_stage, write_stage, write_word_list
 
@@ -45,7 +46,7 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
     entities, labels, topics (with info, per sentiment too), vector table and
     summary stages."""
     terms = lexicon.read_lexicon(spark, lexicon_path)
-    words = sorted(r["term"] for r in terms.collect()) if lexicon_path is None else lexicon_path
+    words = fingerprint(terms)
     root = os.path.join(root, fingerprint(raw, top_n, min_topic_size, k, words))
     processed = staged(spark, root, "processed", lambda: corpus.prepare(raw))
     freq = staged(spark, root, "word_frequency", lambda: corpus.rank_words(corpus.word_frequency(processed)))
@@ -75,9 +76,11 @@ def run_build(spark: SparkSession, raw: DataFrame, root: str, top_n: int = 50, m
                       lambda: topics.cluster(embedded, "embedding", k=k, min_topic_size=min_topic_size,
                                              id_col="comment_id", model_path=os.path.join(root, "topic_model")))
     info = staged(spark, root, "topic_info", lambda: topics.topic_info(analysed))
-    by_sentiment = staged(spark, root, "topics_by_sentiment",
-                          lambda: topics.per_group_topics(embedded, "sentiment", min_topic_size=5, id_col="comment_id")[0],
-                          partition_by=["sentiment"])
+
+    def with_sentiment_topics():
+        model = GroupTopics.fit(embedded, "sentiment", id_col="comment_id", path=os.path.join(root, "sentiment_topic_models"))
+        return model.assign(embedded, "sentiment", id_col="comment_id")
+    by_sentiment = staged(spark, root, "topics_by_sentiment", with_sentiment_topics, partition_by=["sentiment"])
     sentiment_info = staged(spark, root, "topic_info_by_sentiment",
                             lambda: by_sentiment.groupBy("sentiment", "sentiment_topic_id").agg(F.count(F.lit(1)).alias("count")))
     store = staged(spark, root, "vector_store",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import cells, corpus, evaluate, explore, inverted, labels, retrieval, routing, store, topics, vectors
+from murmur.operators import cells, corpus, evaluate, explore, group_topics, inverted, labels, retrieval, routing, store, topics, vectors
 from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
@@ -712,7 +712,7 @@ def text_vectors(spark, sf_dir) -> DataFrame:
 def q_topic_clusters(spark, sf_dir):
     """Topics of every English document, from its processed text (rows-only:
     cluster ids are a model output; invariants are tested in pytest)."""
-    return topics.cluster(text_vectors(spark, sf_dir)).select("doc_id", "topic_id")
+    return topics.cluster(text_vectors(spark, sf_dir).select("doc_id", "embedding")).select("doc_id", "topic_id")
 
 
 @register("topic_info")
@@ -720,12 +720,49 @@ def q_topic_info(spark, sf_dir):
     return topics.topic_info(topics.cluster(text_vectors(spark, sf_dir)))
 
 
+def sentiment_rows(spark, sf_dir) -> DataFrame:
+    c = comments(spark, sf_dir).select(F.col("comment_id").alias("doc_id"), "sentiment")
+    return text_vectors(spark, sf_dir).join(c, "doc_id").select("doc_id", "sentiment", "embedding")
+
+
 @register("topics_per_sentiment")
 def q_topics_per_sentiment(spark, sf_dir):
-    c = comments(spark, sf_dir).select(F.col("comment_id").alias("doc_id"), "sentiment")
-    rows = text_vectors(spark, sf_dir).join(c, "doc_id").select("doc_id", "sentiment", "embedding")
-    assigned, _ = topics.per_group_topics(rows, "sentiment", min_topic_size=5)
-    return assigned.select(F.col("doc_id").alias("comment_id"), "sentiment", "sentiment_topic_id")
+    """Topics within each sentiment, all fitted together."""
+    rows = stages.stage(sentiment_rows(spark, sf_dir), "sentiment-rows")
+    model = group_topics.GroupTopics.fit(rows, "sentiment")
+    return model.assign(rows, "sentiment").select(F.col("doc_id").alias("comment_id"), "sentiment", "sentiment_topic_id")
+
+
+@register("sentiment_topic_rules", f"""
+WITH {O.prepared_ctes()}, c AS ({COMMENTS_SQL})
+SELECT sentiment, count(*) AS n_rows, count(*) AS n_in_model, true AS gapless, true AS by_size, true AS large_enough, true AS in_model
+FROM en JOIN c ON c.comment_id = en.doc_id WHERE sentiment IS NOT NULL GROUP BY sentiment HAVING count(*) >= 5""")
+def q_sentiment_topic_rules(spark, sf_dir):
+    """What must hold of the topics of each sentiment, whatever the clusters: every row once, ids by size without gaps."""
+    rows = stages.stage(sentiment_rows(spark, sf_dir), "sentiment-rows")
+    model = group_topics.GroupTopics.fit(rows, "sentiment")
+    topic = F.when(F.col("topic") >= 0, F.struct("topic", "n"))
+    ruled = model.model.groupBy(F.col("g").alias("sentiment")).agg(
+        F.sum("n").alias("n_in_model"), F.array_sort(F.collect_list(topic)).alias("t"), F.collect_set("topic").alias("known"))
+    ruled = ruled.select("sentiment", "n_in_model", "known", F.forall(F.transform("t", lambda x, i: x["topic"] == i), lambda x: x).alias("gapless"),
+                         (F.reverse(F.array_sort("t.n")) == F.col("t.n")).alias("by_size"), F.forall("t.n", lambda n: n >= 5).alias("large_enough"))
+    given = model.assign(rows, "sentiment").groupBy("sentiment").agg(F.count(F.lit(1)).alias("n_rows"), F.collect_set("sentiment_topic_id").alias("used"))
+    return given.join(ruled, "sentiment").select("sentiment", "n_rows", "n_in_model", "gapless", "by_size", "large_enough", (
+        F.size(F.array_except("used", F.array_union("known", F.array(F.lit(-1))))) == 0).alias("in_model"))
+
+
+@register("topic_rules", f"""
+WITH {O.prepared_ctes()}
+SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_documents, true AS gapless, true AS large_enough FROM en""")
+def q_topic_rules(spark, sf_dir):
+    """What must hold of the topics of all English documents: every document once, and no gap in the ids.
+
+    Far rows leave a topic after it is numbered, so sizes are those of the rows that stay.
+    """
+    given = stages.stage(topics.cluster(text_vectors(spark, sf_dir).select("doc_id", "embedding")).select("doc_id", "topic_id"), "topic-rows")
+    sizes = given.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).filter("topic_id >= 0")
+    ruled = sizes.agg((F.max("topic_id") + 1 == F.count(F.lit(1))).alias("gapless"), (F.min("n") >= 1).alias("large_enough"))
+    return given.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_documents")).crossJoin(F.broadcast(ruled))
 
 
 @register("topic_words", f"""
