@@ -27,7 +27,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import load, narrow, small_side, stage
@@ -270,9 +270,10 @@ def jaccard_join(documents: DataFrame, size: int = 5, share: Fraction = Fraction
     rest = members.filter("doc_id <> class_id").select("doc_id").distinct()
     first = some.select("doc_id", "n", "bundles").join(small_side(stage(rest, "copies")), "doc_id", "left_anti")
     rows = first.select(F.explode("bundles").alias("token"), "doc_id")
-    heads = rows.groupBy("token").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other"))
-    heads = heads.filter("head <> other").select("token", "head")
-    shared = stage(rows.join(heads, "token").distinct(), "shared")
+    # one exchange: nearly all tokens are of one document and end here
+    of_token = Window.partitionBy("token")
+    met = rows.withColumn("head", F.min("doc_id").over(of_token)).withColumn("other", F.max("doc_id").over(of_token))
+    shared = stage(met.filter("head <> other").drop("other").distinct(), "shared")
     seeds = shared.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     sizes = some.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("set")).select("doc_id", "set.*")
     one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))

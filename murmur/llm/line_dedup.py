@@ -24,8 +24,8 @@ SLOT_BITS = 18
 """The rarity table has 2**18 slots, whatever the corpus."""
 HASH_BITS = 45
 """Bits of a word's hash behind its rank."""
-LEAST_WORDS = 5
-"""Unless asked for, lines of fewer different words (headings, brackets, numbers) are never removed."""
+LEAST_WORDS = 1
+"""All lines with a word take part; a larger number keeps lines of fewer different words (headings, brackets)."""
 BLANK = " \t\n\x0b\x0c\r"
 
 

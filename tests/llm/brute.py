@@ -107,7 +107,7 @@ def op10_base(text):
             len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
-def op6(rows, least=5, p=4, q=5):
+def op6(rows, least=1, p=4, q=5):
     """rows: (doc_id, text).  -> {doc_id: (lines, removed, what is left)}"""
     out, before, where = {}, [], defaultdict(list)
     for d, t in sorted(rows, key=lambda r: r[0]):

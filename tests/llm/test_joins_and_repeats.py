@@ -210,7 +210,7 @@ def test_op6(spark, docs):
         {d: (a, b, len(t)) for d, (a, b, t) in want.items()}
 
 
-def test_short_lines_take_part_if_asked(spark, docs):
+def test_short_lines_take_part(spark, docs):
     from itertools import combinations
 
     short = [" ".join(c) for n in (1, 2, 3, 4, 5) for c in combinations("uvwxyz", n)]
@@ -218,8 +218,10 @@ def test_short_lines_take_part_if_asked(spark, docs):
             (4, "文\n" + "ha " * 119 + "\n"), (5, "ha\n\x0b\n\x0b"), (6, None), (7, "")]
     want = brute.op6(rows, least=1)
     assert want[3][1:] == (1, "All rights\treserved.\n \n\n \n\n文") and want[4][1] == 1 and want[5][1] == 1
-    got = line_dedup.line_dedup(frame(spark, rows), least_words=1).collect()
+    got = line_dedup.line_dedup(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text or "") for r in got} == want
+    got = line_dedup.line_dedup(frame(spark, rows), least_words=5).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text or "") for r in got} == brute.op6(rows, least=5)
     want = brute.op6(docs, least=1)
     got = QUERIES["op6_line_dedup_all"](spark, SF001).collect()
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_chars_left) for r in got} == \
