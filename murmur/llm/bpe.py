@@ -207,15 +207,15 @@ class Encoder:
     Ids are held as 32-bit numbers in bytes.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = KNOWN_WORDS, pieces: int = KNOWN_PIECES):
         import regex
 
         self.split = regex.compile(pattern).findall
         # the public pattern never joins a space to a character before it, if that is no space
         self.by_spaces = re.compile(r"\s ").search if pattern == SPACED_PATTERN else lambda text: True
         merger = Merger(ranks)
-        self.pieces = Memory(lambda pieces: merger.merge([p.encode() for p in pieces]), KNOWN_PIECES)
-        self.words = Memory(self._learn_words, KNOWN_WORDS)
+        self.pieces = Memory(lambda new: merger.merge([p.encode() for p in new]), pieces)
+        self.words = Memory(self._learn_words, words)
 
     def _learn_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that follow a space: split together, as each begins at its space."""
@@ -249,7 +249,7 @@ class Encoder:
 class Decoder:
     """The bytes of each id."""
 
-    def __init__(self, ranks: dict[bytes, int], _: str):
+    def __init__(self, ranks: dict[bytes, int], *_):
         self.tokens = {rank: token for token, rank in ranks.items()}
 
     def decode(self, ids: list[int]) -> bytes:
@@ -257,18 +257,22 @@ class Decoder:
 
 
 class Vocabulary:
-    """Ranks and pattern, broadcast once; a vocabulary file has a fixed size."""
+    """Ranks and pattern, broadcast once; a vocabulary file has a fixed size.
+
+    ``known`` bounds the words and pieces that a worker remembers, where it shares an executor with other work.
+    """
 
     _made: dict[tuple, Encoder | Decoder] = {}
 
-    def __init__(self, spark: SparkSession, path: str | None = None, pattern: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, pattern: str | None = None,
+                 known: tuple[int, int] = (KNOWN_WORDS, KNOWN_PIECES)):
         import public_tokenizers
 
         ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} of the 256 single bytes")
         self.key = uuid.uuid4().hex
-        self.shared = spark.sparkContext.broadcast((ranks, pattern or public_tokenizers.PATTERN))
+        self.shared = spark.sparkContext.broadcast((ranks, pattern or public_tokenizers.PATTERN, *known))
 
     def get(self, kind: type):
         """The worker's encoder or decoder of this vocabulary."""
