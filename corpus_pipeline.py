@@ -25,7 +25,7 @@ from murmur.sources import stages
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 KNOWN = (200_000, 100_000)
-"""Words and pieces that a worker of the token stage remembers: it stays alive beside the other stages' work."""
+"""Words and pieces that a worker of the token stage remembers, until its task ends: it stays alive beside other stages."""
 
 _left_over: list[str] = []
 
@@ -80,7 +80,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_step
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return bpe.digests(docs, bpe.Vocabulary(spark, known=KNOWN))
+    return bpe.digests(docs, bpe.Vocabulary(spark, known=KNOWN), release=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -274,6 +274,10 @@ class Vocabulary:
         self.key = uuid.uuid4().hex
         self.shared = spark.sparkContext.broadcast((ranks, pattern or public_tokenizers.PATTERN, *known))
 
+    def release(self) -> None:
+        """Forget the worker's encoder and decoder; a worker that waits for other work would keep them."""
+        Vocabulary._made.clear()
+
     def get(self, kind: type):
         """The worker's encoder or decoder of this vocabulary."""
         made = Vocabulary._made
@@ -308,8 +312,10 @@ class _Decode:
 class _RoundTrip:
     """Ids and the bytes decoded from them, without sending the ids in between."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, release: bool = False):
         self.encode, self.decode = _Encode(vocabulary), _Decode(vocabulary)
+        if release:
+            self.end = vocabulary.release
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         ids = self.encode(texts)
@@ -331,10 +337,13 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str
     return add_column(tokens, to, "binary", ids, _Decode(vocabulary))
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes of each document."""
+def digests(docs: DataFrame, vocabulary: Vocabulary, release: bool = False) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes of each document.
+
+    With ``release`` a worker forgets what it has learned at the end of each task.
+    """
     tokens = add_column(docs.select("doc_id", "text"), "both", "struct<ids:array<int>,decoded:binary>", "text",
-                        _RoundTrip(vocabulary))
+                        _RoundTrip(vocabulary, release))
     return tokens.select(
         "doc_id", F.size("both.ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -90,7 +90,8 @@ def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def add_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
     """``df`` with one more column: ``make`` turns an Arrow array of ``source`` into the new one.
 
-    A column of that name is replaced; the others pass through, whatever their names.
+    A column of that name is replaced; the others pass through, whatever their names.  If ``make``
+    has a method ``end``, it is called after the last batch of a task.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
     given = df.select(*kept, F.col(f"`{source}`").alias("\x00in"))
@@ -101,6 +102,7 @@ def add_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFr
         for part in parts:
             *columns, made_from = part.columns
             yield pa.RecordBatch.from_arrays([*columns, make(made_from)], names=names)
+        getattr(make, "end", lambda: None)()
 
     return given.mapInArrow(batches, schema)
 
