@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.operators import evaluate, explore, retrieval, routing
+from murmur.operators.metadata import MetadataCube
 
 RETRIEVAL_K = {"rag_agent": 5, "summary_agent": 10}
 
@@ -63,3 +64,19 @@ def answer_log(questions: DataFrame, hits: DataFrame, answers: DataFrame | None
 def append_log(log: DataFrame, path: str) -> None:
     """Append-only run log, partitioned by route."""
     log.write.mode("append").partitionBy("route").parquet(path)
+
+
+def answer_questions(questions: DataFrame, search, cube: MetadataCube, generated: DataFrame | None = None,
+                     k_by_route=RETRIEVAL_K) -> tuple[DataFrame, DataFrame]:
+    """Answers of all routes and the evidence: ``(qid, text, route, answer)`` and the hits.
+
+    Retrieval routes search, and their answer is the one in ``generated`` (qid, answer), which a model
+    made; null without one.  The other routes are answered from the cube.
+    """
+    routed = questions.select("qid", "text", routing.route(F.col("text")).alias("route"))
+    hits = dispatch(routed, search, k_by_route)
+    told = cube.answers(routed)
+    if generated is not None:
+        wanted = routed.filter(F.col("route").isin(list(k_by_route))).select("qid")
+        told = told.unionByName(generated.select("qid", "answer").join(wanted, "qid", "left_semi"))
+    return routed.join(told, "qid", "left"), hits

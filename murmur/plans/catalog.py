@@ -896,24 +896,6 @@ def q_route_dispatch(spark, sf_dir):
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-@register("qa_log")
-def q_qa_log(spark, sf_dir):
-    """Answer log for the benchmark questions (answers: the conversation
-    reply with the same id, where there is one), written append-only by route
-    and read back."""
-    qs = questions(spark, sf_dir)
-    routed = qs.withColumn("route", routing.route(F.col("text")))
-    index = text_index(spark, sf_dir)            # one index for all routes
-    hits = ask.dispatch(routed, lambda q, k: hybrid(spark, sf_dir, k, 0.7, qs=q, index=index))
-    answers = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-               .groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("answer")))
-    text_of = docs(spark, sf_dir).select(F.col("doc_id").alias("comment_id"), "text")
-    log = ask.answer_log(qs, hits, answers, comments(spark, sf_dir), text_of)
-    path = stages.stage_path(spark, "qa_log")
-    ask.append_log(log, path)
-    return spark.read.parquet(path)
-
-
 @register("topic_details")
 def q_topic_details(spark, sf_dir):
     """Topic info with name, c-TF-IDF words and representative documents."""
@@ -923,4 +905,4 @@ def q_topic_details(spark, sf_dir):
 
 
 # queries that register themselves with this catalog
-from murmur.plans import tagged  # noqa: E402,F401
+from murmur.plans import asked, tagged  # noqa: E402,F401
