@@ -117,12 +117,21 @@ class TfidfIndex:
     """
 
     def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.id_col = id_col
         corpus = corpus.select(F.col(id_col).cast("long").alias(id_col), text_col)
         tf = stage(_term_counts(corpus, id_col, text_col), "term-counts")
         n = corpus.select(id_col).count()
-        self.idf = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                         .select("term", "df", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
+        self._weigh(tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, id_col)
+
+    @classmethod
+    def of_counts(cls, tf: DataFrame, df: DataFrame, n: int, id_col: str = "doc_id") -> TfidfIndex:
+        """From counts at hand: (id, term, tf), (term, df) and the number of documents."""
+        index = cls.__new__(cls)
+        index._weigh(tf, df, n, id_col)
+        return index
+
+    def _weigh(self, tf: DataFrame, df: DataFrame, n: int, id_col: str) -> None:
+        self.id_col = id_col
+        self.idf = stage(df.select("term", "df", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
         weighted = tf.join(self.idf.drop("df"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
         # the norm is an aggregate of its own: inside the lambda it would be made anew for every term
         rows = weighted.groupBy(id_col).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "raw")).alias("v"),

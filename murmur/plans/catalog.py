@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
-from murmur.operators import cells, corpus, evaluate, explore, group_topics, inverted, labels, retrieval, routing, store, topics, vectors
+from murmur.operators import cells, corpus, evaluate, explore, faceted, group_topics, inverted, labels, retrieval, routing, store, topics, vectors
 from murmur.plans import ask
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
@@ -800,6 +800,36 @@ def q_lsh_topk(spark, sf_dir):
             .select("qid", F.col("doc_id").alias("comment_id"), "semantic_score", "rank"))
 
 
+# --- filters before the search -----------------------------------------------------------
+
+FACET_FILTERS = {"videos": {"source": ["src1", "src2", "src3", "src4", "src5"]},
+                 "english": {"lang": "en"},
+                 "both": {"source": ["src3", "src8", "src19"], "lang": "en"}}
+
+
+def facet_store(spark, sf_dir) -> faceted.FacetStore:
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("comment_id"), "embedding")
+    rows = docs(spark, sf_dir).withColumnRenamed("doc_id", "comment_id").join(emb, "comment_id", "left")
+    return faceted.FacetStore.write(rows, stages.stage_path(spark, "facet-store"), ["source", "lang"])
+
+
+def _facets_sql() -> str:
+    parts = []
+    for name, limits in FACET_FILTERS.items():
+        where = " AND ".join(f"{c} IN {O.in_list([v] if isinstance(v, str) else v)}" for c, v in limits.items())
+        parts.append(f"SELECT '{name}' AS filter, {', '.join(HYBRID_COLS)} FROM ({O.hybrid_sql(5, 0.7, where)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("hybrid_topk_facets", _facets_sql())
+def q_hybrid_topk_facets(spark, sf_dir):
+    """The questions within three parts of the documents, all from one store laid out by source and language."""
+    store_, qvec = facet_store(spark, sf_dir), question_vectors(spark, sf_dir)
+    parts = [store_.hybrid(questions(spark, sf_dir), qvec, 5, 0.7, **limits).select(F.lit(name).alias("filter"), *HYBRID_COLS)
+             for name, limits in FACET_FILTERS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- sources and sinks --------------------------------------------------------------------
 
 @register("csv_roundtrip", f"""{_C}
