@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import entities as E
 from murmur.operators import cells, corpus, evaluate, explore, faceted, group_topics, inverted, labels, retrieval, routing, store, topics, vectors
-from murmur.plans import ask
+from murmur.plans import ask, incremental
 from murmur.plans import oracle as O
 from murmur.session import checkpoint_dir
 from murmur.resources.words import GAZETTEER
@@ -125,6 +125,16 @@ def q_final_text(spark, sf_dir):
     return rows.select("doc_id", "final_tokens", "final_text")
 
 
+@register("final_text_incremental", ORACLE["final_text"])
+def q_final_text_incremental(spark, sf_dir):
+    """The same after two updates of a stored corpus: first the documents of some sources, then all."""
+    d = docs(spark, sf_dir).withColumnRenamed("doc_id", "comment_id")
+    kept = incremental.IncrementalCorpus(spark, stages.stage_path(spark, "incremental"), buckets=16)
+    kept.update(d.filter(F.crc32(F.col("source").cast("binary")) % 2 == 0))
+    kept.update(d)
+    return kept.final.select(F.col("comment_id").alias("doc_id"), "final_tokens", "final_text")
+
+
 # --- retrieval -------------------------------------------------------------------
 
 def questions(spark, sf_dir) -> DataFrame:
