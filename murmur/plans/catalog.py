@@ -484,9 +484,9 @@ def q_corpus_summary(spark, sf_dir):
 def enriched_hits(spark, sf_dir, k=5, alpha=0.7) -> DataFrame:
     """Hybrid hits with the comment's metadata and its processed text (only
     the k hits per question are cleaned, after the join)."""
-    hits = hybrid(spark, sf_dir, k, alpha).select(*HYBRID_COLS)
-    meta = comments(spark, sf_dir).select("comment_id", "text", "sentiment", "emotion_label", "topic_id",
-                                          "video_id", "author", "like_count")
+    hits = stages.stage(hybrid(spark, sf_dir, k, alpha).select(*HYBRID_COLS), "hits")
+    meta = comments(spark, sf_dir, hits).select("comment_id", "text", "sentiment", "emotion_label", "topic_id",
+                                                "video_id", "author", "like_count")
     joined = hits.join(meta, "comment_id")
     return corpus.clean(joined).withColumnRenamed("clean_text", "processed_text")
 
