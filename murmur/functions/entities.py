@@ -66,7 +66,7 @@ def _keyword_pass(df: DataFrame, terms: list[str], text_col: str, out: str) -> D
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _matcher(key, shared).iter if terms else lambda text: ()
         for part in parts:
-            found = [sorted({term for _, term in find(t or "")}) for t in part.column(len(kept)).to_pylist()]
+            found = [sorted({term for _, term in find(t.as_py() or "")}) for t in part.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, pa.list_(pa.string()))],
                                              names=[*kept, out])
 

@@ -23,6 +23,8 @@ from murmur.sources.stages import read_stage, stage, stage_path, write_stage
 
 SHARD_DOCS = 8192
 """Documents of a shard; the number of shards follows the corpus."""
+SHARD_POSTINGS = 4 << 20
+"""Postings of a shard of long documents: 64 MB, which a task turns at once."""
 TIERS_PER_DOUBLING = 1
 SLOTS = 32
 """Folders of the postings; a search reads the folders of its own terms."""
@@ -49,17 +51,15 @@ class ImpactIndex(TfidfIndex):
         super().__init__(corpus, id_col, text_col)
         spark = self.rows.sparkSession
         path = (path or stage_path(spark, "impact-index")).rstrip("/")
-        shards = max(1, -(-self.rows.count() // SHARD_DOCS))
+        size = self.rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
+        shards = max(1, -(-size["docs"] // SHARD_DOCS), -(-size["postings"] // SHARD_POSTINGS))
         tier = F.floor(F.log2("norm") * TIERS_PER_DOUBLING).cast("int")
         shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
-        single = self.rows.select(F.col(id_col).alias("id"), tier.alias("tier"), shard.alias("shard"),
-                                  F.explode(F.arrays_zip("terms", "w")).alias("x"))
-        blocks = (single.select("id", *UNIT, F.col("x.terms").alias("t"), F.col("x.w").alias("w")).groupBy("t", *UNIT)
-                  .agg(F.max("w").alias("upper"), F.collect_list(F.struct("id", "w")).alias("v")))
-        blocks = blocks.select("t", *UNIT, "upper", F.col("v.id").alias("ids"), F.col("v.w").alias("ws"), slot_of("t").alias("slot"))
-        write_stage(blocks.sortWithinPartitions("slot", "t"), f"{path}/postings", ["slot"])
+        units = self.rows.select(F.col(id_col).alias("id"), tier.alias("tier"), shard.alias("shard"), "terms", "w").groupBy(*UNIT)
+        # whole documents move, and a shard is turned into postings in one task
+        write_stage(units.applyInArrow(_turned, POSTINGS), f"{path}/postings", ["slot"])
         write_stage(read_stage(spark, f"{path}/postings", POSTINGS).select("t", *UNIT, "upper"), f"{path}/directory")
-        write_stage(self.idf.select("term", "df", "idf"), f"{path}/idf")
+        write_stage(self.idf.select("t", "df", "idf"), f"{path}/idf")
         self._read(spark, path)
 
     def _read(self, spark: SparkSession, path: str) -> None:
@@ -76,15 +76,17 @@ class ImpactIndex(TfidfIndex):
 
     def plan_search(self, queries: DataFrame, k: int, qid: str = "qid", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         """(asks, opened): the blocks (qid, t, qw, tier, shard, bound) of the questions' terms, and those to open."""
-        vectors = self.query_vectors(queries, qid, text_col).select(
-            F.col(qid).cast("long").alias("qid"), F.xxhash64("term").alias("t"), "qw")
+        vectors = stage(self.query_vectors(queries, qid, text_col).select(
+            F.col(qid).cast("long").alias("qid"), F.xxhash64("term").alias("t"), "qw"), "question-terms")
         asks = vectors.join(self.directory, "t").withColumn("bound", F.col("qw") * F.col("upper"))
         asks = stage(asks.drop("upper"), "question-blocks")
         units = asks.groupBy("qid", *UNIT).agg(F.sum("bound").alias("most"))
         in_tier = Window.partitionBy("qid", "tier").orderBy(F.desc("most"), "shard")
         best = units.withColumn("r", F.row_number().over(in_tier)).filter("r = 1").drop("r")
         first = top_k(best, FIRST, "qid", "most", "tier").select("qid", *UNIT, F.lit(0.0).alias("least"))
-        seen = top_k(self._scores(asks.join(first, ["qid", *UNIT]), k), k, "qid", "s", "id")
+        # written, like the question terms: of a size that is known, so they are sent to the postings
+        first = stage(asks.join(first, ["qid", *UNIT]), "first-blocks")
+        seen = top_k(self._scores(first, k), k, "qid", "s", "id")
         threshold = seen.filter(F.col("rank") == k).select("qid", (F.col("s") - SLACK).alias("least"))
         units = units.join(threshold, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         opened = asks.join(units.filter(F.col("most") >= F.col("least")).drop("most"), ["qid", *UNIT])
@@ -115,6 +117,24 @@ def slot_of(term: str):
     return F.pmod(term, F.lit(SLOTS)).cast("int")
 
 
+def _turned(unit: pa.Table) -> pa.Table:
+    """The documents of one tier of one shard as postings, in order of slot and term."""
+    docs, lists, weights = (_column(unit, c) for c in ("id", "terms", "w"))
+    starts = lists.offsets.to_numpy()
+    terms = lists.values.to_numpy()[starts[0]:starts[-1]]
+    ws = weights.values.to_numpy()[weights.offsets[0].as_py():weights.offsets[-1].as_py()]
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(starts))
+    order = np.lexsort((terms, np.mod(terms, SLOTS)))
+    terms, ws = terms[order], ws[order]
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(first, len(terms)).astype(np.int32))
+    t, n = terms[first], len(first)
+    columns = {"t": t, "tier": np.full(n, unit.column("tier")[0].as_py(), np.int32), "shard": np.full(n, unit.column("shard")[0].as_py(), np.int32),
+               "upper": np.maximum.reduceat(ws, first) if n else np.zeros(0), "ids": pa.ListArray.from_arrays(ends, docs.take(pa.array(doc[order]))),
+               "ws": pa.ListArray.from_arrays(ends, pa.array(ws)), "slot": np.mod(t, SLOTS).astype(np.int32)}
+    return pa.table(columns)
+
+
 def _column(table: pa.Table, name: str):
     return table.column(name).combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
 
