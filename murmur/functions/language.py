@@ -23,10 +23,10 @@ def language_of_tokens(toks: Column, profiles: dict[str, list[str]] = LANGUAGE_P
     """Language whose profile words occur most often among the tokens; ties go
     to the alphabetically first language; no profile word -> ``unknown``.
 
-    One hash-set lookup per token and language, inside the row: the work stays
-    in the scan stage and never shuffles.
+    One hash-set lookup per token, and one per language for profile words only, inside the
+    row: the work stays in the scan stage and never shuffles.
     """
-    hits = F.array(*[F.struct((-_hits(toks, profiles[lang])).alias("neg"), F.lit(lang).alias("lang"))
-                     for lang in sorted(profiles)])
-    best = F.array_min(hits)
-    return F.when(F.coalesce(best["neg"], F.lit(0)) < 0, best["lang"]).otherwise(F.lit("unknown"))
+    words = sorted({w for p in profiles.values() for w in p})
+    best = F.transform(F.array(F.filter(toks, lambda t: t.isin(words))), lambda known: F.array_min(F.array(*[
+        F.struct((-_hits(known, profiles[lang])).alias("neg"), F.lit(lang).alias("lang")) for lang in sorted(profiles)])))
+    return F.transform(best, lambda b: F.when(F.coalesce(b["neg"], F.lit(0)) < 0, b["lang"]).otherwise(F.lit("unknown")))[0]

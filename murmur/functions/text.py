@@ -6,6 +6,10 @@ array functions); nothing leaves the JVM.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +36,29 @@ CLEAN_STEPS = [
     ("(?s)<.*?>", " "),
     ("[" + WS + "]+", " "),
 ]
+CLEAN_MARKS = [["@"], None, ["!!"], ["??"], [], ["http", "www"], ["<"], []]
+"""A step changes only texts that hold one of these ([]: any text).  The line breaks of the second step
+are left to the last, which makes one space of any whitespace: no step between tells them apart."""
+FAST = {r"(?s)(.)\1{2,}": r"(?s)(.)\1\1++",
+        "[" + WS + "]+": "[[^!-~]&&[" + WS + "]]++"}
+"""Java forms of steps on all texts, with equal matches: no way back, and ASCII told by one range."""
 
 
 def demojize(c: Column, table=EMOJI_NAMES) -> Column:
     """Emoji -> ``:name:``; longer sequences are replaced first.
 
     The replace chain only runs on rows that hold a character of the emoji
-    ranges, so plain text pays one regex test.
+    ranges, so plain text pays one regex test, and ASCII text a comparison of lengths.
     """
     out = c
     for emoji, name in sorted(table, key=lambda p: -len(p[0])):
         out = F.replace(out, F.lit(emoji), F.lit(name))
-    return F.when(c.rlike(EMOJI_GUARD), out).otherwise(c)
+    return F.when((F.octet_length(c) > F.char_length(c)) & c.rlike(EMOJI_GUARD), out).otherwise(c)
+
+
+def _once(c: Column, make) -> Column:
+    """``make`` of a value that it uses several times, and that is computed once."""
+    return F.transform(F.array(c), make)[0]
 
 
 def clean_text(c: Column, emoji: bool = True) -> Column:
@@ -51,21 +66,36 @@ def clean_text(c: Column, emoji: bool = True) -> Column:
     URLs, tags, whitespace).  The order is part of the result."""
     if emoji:
         c = demojize(c)
-    for pattern, repl in CLEAN_STEPS:
-        c = F.regexp_replace(c, pattern, repl)
+    for (pattern, repl), marks in zip(CLEAN_STEPS, CLEAN_MARKS, strict=True):
+        if marks == []:
+            c = F.regexp_replace(c, FAST[pattern], repl)
+        elif marks:
+            c = _once(c, _replaced(pattern, repl, marks))
     return F.trim(c)
 
 
+def _replaced(pattern: str, repl: str, marks: list[str]):
+    def step(c: Column) -> Column:
+        found = reduce(or_, [c.contains(mark) for mark in marks])
+        return F.when(found, F.regexp_replace(c, pattern, repl)).otherwise(c)
+    return step
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased tokens; hyphenated CVE / SHA ids stay whole."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
 
+# Security tokens that are plain words, and shapes, which all have a hyphen.
+_KEEP_WORDS = [p for p in SECURITY_KEEP_PATTERN.split("|") if re.fullmatch(r"\w+", p)]
+_KEEP_SHAPES = "|".join(p for p in SECURITY_KEEP_PATTERN.split("|") if not re.fullmatch(r"\w+", p))
+
+
 def keep_token(t: Column, stopwords=STOPWORDS_EN) -> Column:
     """Security tokens are always kept; other tokens must be alphabetic, longer
     than two characters and not a stopword."""
-    return (t.rlike("^(" + SECURITY_KEEP_PATTERN + ")$")
-            | (~t.isin(list(stopwords)) & (F.length(t) > 2) & t.rlike(r"^\p{L}+$")))
+    return ((~t.isin(list(stopwords)) & (F.length(t) > 2) & t.rlike(r"^\p{L}+$"))
+            | t.isin(_KEEP_WORDS) | (t.contains("-") & t.rlike("^(" + _KEEP_SHAPES + ")$")))
 
 
 def lemma(t: Column, pairs=LEMMA_PAIRS) -> Column:
@@ -99,7 +129,7 @@ def join_words(arr: Column) -> Column:
 def guard_model_input(c: Column) -> Column:
     """Model-input guard: null for blank text (the caller substitutes the
     default label), else the whole text."""
-    blank = F.regexp_replace(F.coalesce(c, F.lit("")), "^[" + WS + "]+|[" + WS + "]+$", "") == ""
+    blank = ~F.coalesce(c, F.lit("")).rlike("[^" + WS + "]")
     return F.when(blank, F.lit(None).cast("string")).otherwise(c)
 
 
