@@ -19,6 +19,8 @@ HASH_PATTERN = r"\b[a-fA-F0-9]{32,64}\b"
 ENTITY_TOKEN = r"[\p{L}\p{N}_]+"
 LEXICON_BLOCK_BYTES = 8 << 20
 """Lexicon terms that are broadcast at once; a larger lexicon takes more passes."""
+FIRST_WORDS = 1000
+"""First words of gazetteer phrases that n-grams are chosen by."""
 
 
 def cves(c: Column) -> Column:
@@ -113,13 +115,23 @@ def with_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: s
     phrases.  The longest phrase counts at each start, and it is dropped if a
     phrase that starts before it reaches over its start.  Rows are told apart
     by ``id_col``; those without a phrase get an empty array.
+
+    With up to ``FIRST_WORDS`` first words, only n-grams that begin with one are made; a gazetteer
+    of up to ``LEXICON_BLOCK_BYTES`` is sent to the n-grams, which then don't move.
     """
     gazetteer = gazetteer.withColumn("k", F.size(F.split("phrase", " ")))
     lengths = sorted(r["k"] for r in gazetteer.select("k").distinct().collect())     # a few word counts
+    first = gazetteer.select(F.split("phrase", " ")[0].alias("w")).filter("w is not null").distinct()
+    words = [r["w"] for r in first.limit(FIRST_WORDS + 1).collect()]
+    size = gazetteer.agg(F.sum(F.octet_length("phrase") + F.coalesce(F.octet_length("label"), F.lit(0)) + 24)).first()[0] or 0
+    if size <= LEXICON_BLOCK_BYTES:
+        gazetteer = F.broadcast(gazetteer)
     toks = F.col("_toks")
 
     def grams(k: int) -> Column:
         starts = F.when(F.size(toks) >= k, F.sequence(F.lit(1), F.size(toks) - (k - 1)))
+        if len(words) <= FIRST_WORDS:
+            starts = F.filter(starts, lambda i: F.element_at(toks, i).isin(words))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.struct(
             i.alias("i"), F.array_join(F.slice(toks, i, k), " ").alias("phrase")))
 
