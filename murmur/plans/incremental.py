@@ -1,8 +1,8 @@
 """The preprocessing stages kept up to date: only what has changed is made again.
 
 Rows are dealt into buckets by comment id, and each stage is a table in folders by bucket.  A
-fingerprint of each bucket's input tells which buckets have changed; in these, texts that are stored
-already are kept, new ones are processed, and those that are gone are left out.  Word counts
+fingerprint of each bucket's input tells which buckets have changed; in these, new texts are processed
+and added, and a bucket is written again only if some of its texts are gone.  Word counts
 are held by bucket and add up.  The fingerprint of a bucket is written last, so an update that
 fails is made good by the next one.
 """
@@ -20,6 +20,10 @@ from murmur.operators import corpus
 from murmur.sources.stages import stage
 
 
+GATHERED = ("seen", "word_counts")
+"""Tables of small rows: a shuffle costs little there and spares files."""
+
+
 class IncrementalCorpus:
     """Processed rows, word counts and final tokens under ``root``, for inputs of one schema.
 
@@ -54,19 +58,27 @@ class IncrementalCorpus:
         """The rows of a table without buckets, which is overwritten as a whole, or None if it isn't complete."""
         return self.spark.read.parquet(f"{self.folder}/{name}").collect() if self._complete(name) else None
 
-    def _put(self, rows: DataFrame, name: str, changed: list[int]) -> DataFrame:
-        """Set the changed buckets of a table to ``rows``; the others aren't touched."""
-        rows = stage(rows, f"new-{name}")                          # they may have been read from the same table
-        held = {r[0] for r in rows.select("bucket").distinct().collect()}       # a number for each bucket at most
-        self._fs(self._path(name)).mkdirs(self._path(name))
-        (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket").parquet(f"{self.folder}/{name}"))
-        for bucket in set(changed) - held:                         # a bucket without rows has no folder
-            path = self._path(f"{name}/bucket={bucket}")
-            self._fs(path).delete(path, True)
+    def _put(self, rows: DataFrame, name: str, replaced: list[int]) -> None:
+        """Set the buckets ``replaced`` of a table to their ``rows``; rows of other buckets are added to them.
+
+        Texts are written where they are; only small rows are gathered by bucket before.
+        """
+        fs, folder = self._fs(self._path(name)), self._path(name)
+        fs.mkdirs(folder)
+        kept = [(p, f[0].getPath()) for p in (self._path(f"{name}/bucket={b}") for b in replaced)
+                if fs.exists(p) and len(f := fs.listStatus(p))]
+        if name in GATHERED:
+            rows = rows.hint("rebalance", "bucket")
+        mine = F.col("bucket").isin(replaced)
+        parts = [("overwrite", rows.filter(mine)), ("append", rows.filter(~mine))] if replaced else [("append", rows)]
+        for mode, some in parts:
+            (some.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+                 .partitionBy("bucket").parquet(f"{self.folder}/{name}"))
+        for path, file in kept:                                    # a bucket without rows has no folder
+            if fs.exists(file):
+                fs.delete(path, True)
         if not self._complete(f"{name}.schema"):
             self._put_small([(rows.schema.json(),)], "schema string", f"{name}.schema", "text")
-        return rows
 
     def _put_small(self, rows: list, schema: str, name: str, form: str = "parquet") -> None:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").format(form).save(f"{self.folder}/{name}")
@@ -74,10 +86,19 @@ class IncrementalCorpus:
     # --- update ---------------------------------------------------------------------------
 
     def _keyed(self, raw: DataFrame) -> DataFrame:
-        """With the bucket, and a key of the row's whole content; equal rows once."""
-        key = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])), 256)
+        """(row_key, bucket, _row): a key of each row's whole content, equal rows once; ``_row`` is null if the row has been seen.
+
+        One shuffle by the key does both, and only rows that haven't been seen are written with their content.
+        """
+        columns = [F.col(f"`{c}`") for c in raw.columns]
+        key = F.sha2(F.to_json(F.struct(*columns)), 256)
         bucket = F.pmod(F.xxhash64("comment_id"), F.lit(self.buckets)).cast("int")
-        return raw.select("*", key.alias("row_key"), bucket.alias("bucket")).dropDuplicates(["row_key"])
+        rows = raw.select(key.alias("row_key"), bucket.alias("bucket"), F.struct(*columns).alias("_row")).dropDuplicates(["row_key"])
+        seen = self._read("seen")
+        if seen is None or self._read("processed") is None:
+            return rows
+        known = seen.select("row_key").distinct().withColumn("_known", F.lit(True))
+        return rows.join(known, "row_key", "left").select("row_key", "bucket", F.when(F.col("_known").isNull(), F.col("_row")).alias("_row"))
 
     def update(self, raw: DataFrame) -> list[int]:
         """Bring the tables up to ``raw`` (comment_id, text, ...), and return the buckets that had changed."""
@@ -94,26 +115,28 @@ class IncrementalCorpus:
         return changed
 
     def _refresh(self, rows: DataFrame, changed: list[int]) -> None:
-        seen, processed = self._read("seen"), self._read("processed")
-        keys = rows.select("row_key", "bucket")
-        new = rows
-        if seen is not None and processed is not None:
-            new = rows.join(seen.filter(F.col("bucket").isin(changed)), ["bucket", "row_key"], "left_anti")
-        new = stage(new, "new-rows")
-        made = corpus.prepare(new)
+        in_changed = F.col("bucket").isin(changed)
+        keys, processed = rows.select("row_key", "bucket"), self._read("processed")
+        made, replaced = corpus.prepare(rows.filter("_row is not null").select("_row.*", "row_key", "bucket")), []
         if processed is not None:
-            # rows that are to be made are left out here, even if a failed update had stored them
-            stay = keys.join(new.select("bucket", "row_key"), ["bucket", "row_key"], "left_anti")
-            made = made.unionByName(processed.filter(F.col("bucket").isin(changed)).join(stay, ["bucket", "row_key"], "left_semi"))
-        processed = self._put(made, "processed", changed)
+            # Stored rows that aren't to stay are gone from the input, or a failed update had stored them.  Their
+            # buckets are written again, with the rows that stay; to the others the new rows are added.
+            stay = rows.filter("_row is null").select("bucket", "row_key")
+            stored = processed.filter(in_changed)
+            gone = stored.select("bucket", "row_key").join(stay, ["bucket", "row_key"], "left_anti")
+            replaced = sorted(r["bucket"] for r in gone.select("bucket").distinct().collect())       # a number for each bucket at most
+            if replaced:
+                stored = stored.filter(F.col("bucket").isin(replaced)).join(stay, ["bucket", "row_key"], "left_semi")
+                made = stage(made.unionByName(stored), "new-processed")                  # it is read from the same table
+        self._put(made, "processed", replaced)
         self._put(keys, "seen", changed)
-        counts = processed.select("bucket", F.explode_outer("lemmas").alias("word")).filter(F.col("word").isNotNull())
+        counts = self._read("processed").filter(in_changed).select("bucket", F.explode_outer("lemmas").alias("word")).filter(F.col("word").isNotNull())
         self._put(counts.groupBy("bucket", "word").agg(F.count(F.lit(1)).alias("frequency")), "word_counts", changed)
 
         stop = corpus.stopword_list(self.word_frequency(), self.top_n)
         before = self._read_small("stop")
         if before is not None and sorted(r[0] for r in before) == sorted(stop):
-            self._put(corpus.with_final_tokens(processed, stop), "final", changed)
+            self._put(corpus.with_final_tokens(self._read("processed").filter(in_changed), stop), "final", changed)
         else:                                                       # other stopwords: the tokens of all rows, from their lemmas
             self._put(corpus.with_final_tokens(self._read("processed"), stop), "final", list(range(self.buckets)))
             self._put_small([(w,) for w in stop], "word string", "stop")
