@@ -3,7 +3,8 @@
 A line is the set of its lower-cased words.  Words are ordered by rarity; two lines that are
 similar enough must share a word among the first few of this order (prefix filter), their sizes
 must be close (length filter), and the place of the first common word bounds how many more can
-follow (positional filter).  Pairs that pass are compared exactly, and the later line goes.
+follow (positional filter).  Pairs that pass are compared exactly, one of each later line at
+first, and the later line goes.
 
 Rarity comes from counts of hashed words, a table of fixed size.  It decides the order only;
 any order gives the same result.
@@ -13,11 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import WORD_GAP, load, small_side, stage, whole_text
+from murmur.llm.common import load, small_side, stage, whole_text
 from murmur.operators.corpus import keep_where
 
 SLOT_BITS = 18
@@ -26,7 +29,8 @@ HASH_BITS = 45
 """Bits of a word's hash behind its rank."""
 LEAST_WORDS = 1
 """All lines with a word take part; a larger number keeps lines of fewer different words (headings, brackets)."""
-BLANK = " \t\n\x0b\x0c\r"
+OTHER_BLANKS = "\t\x0b\x0c\r"
+"""Blanks besides the space, and the line's end, which parts lines."""
 
 
 @dataclass(frozen=True)
@@ -77,9 +81,11 @@ FOLDED_WORDS = 64
 """Lines of up to so many words have their 128 parity bits folded into 64."""
 
 
-def _words(line: Column) -> Column:
-    """The words of a lower-cased line; a line without words gives one empty word."""
-    return F.split(F.btrim(line, F.lit(BLANK)), WORD_GAP)
+def _spaced(text: Column) -> Column:
+    """The lower-cased text with spaces for all blanks but line ends: a split by one character needs no pattern."""
+    low = F.lower(text)
+    found = [low.contains(blank) for blank in OTHER_BLANKS]
+    return F.when(reduce(or_, found), F.translate(low, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(low)
 
 
 def _slot(word_hash: Column) -> Column:
@@ -91,7 +97,8 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
 
     All words of all texts are counted, into a table of fixed size.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), WORD_GAP)).alias("word"))
+    spaced = F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("word"))
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = ["0"] * (1 << SLOT_BITS)
     for rank, row in enumerate(sorted(counts.collect(), key=lambda r: (r.n, r.slot))):
@@ -101,7 +108,9 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    """Hashes of the different words of a line of ``lines_of``; what lies between two spaces is no word."""
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
 def _ordered(hashes: Column, ranks: Column) -> Column:
@@ -114,9 +123,12 @@ def _ordered(hashes: Column, ranks: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line, content): the lower-cased lines of each text, numbered from 0, that are long enough for so many words."""
-    split = docs.select(F.col("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "content"))
-    return split.filter(F.length(F.btrim("content", F.lit(BLANK))) > 2 * least_words - 2)
+    """(doc_id, line, content): the lower-cased lines of each text, numbered from 0, that are long enough for so many words.
+
+    Blanks are spaces in ``content``.
+    """
+    split = docs.select(F.col("doc_id"), F.posexplode(F.split(_spaced(F.col(text)), "\n")).alias("line", "content"))
+    return split.filter(F.length(F.btrim("content")) > 2 * least_words - 2)
 
 
 def _parity(words: Column, keep=None) -> Column:
@@ -127,21 +139,25 @@ def _parity(words: Column, keep=None) -> Column:
 
 
 def described(docs: DataFrame, ranks: Column, limits: Limits, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines with enough words: (doc_id, line, n, signature, low, high, parity, parity2, prefix)."""
+    """Lines with enough words: (doc_id, line, n, signature, keys, parity, parity2, prefix).
+
+    ``keys`` are hashes of neighbours among the least and the largest word hashes.  Two at either
+    end, so that a word put in or taken out there leaves one of them.
+    """
     rows = lines_of(docs, least_words=least_words).select("doc_id", "line", _hashes(F.col("content")).alias("hashes"))
     # a plain filter would be pushed below the hashes, which would then be made twice
     rows = keep_where(rows.withColumn("n", F.size("hashes")), F.col("n") >= least_words)
-    rows = rows.select("doc_id", "line", "n", F.array_min("hashes").alias("low"),
-                       F.array_max("hashes").alias("high"), _ordered(F.col("hashes"), ranks).alias("words"))
-    long = F.col("n") > FOLDED_WORDS
+    rows = rows.select("doc_id", "line", "n", F.sort_array("hashes").alias("sorted"), _ordered(F.col("hashes"), ranks).alias("words"))
+    ends = [F.xxhash64(F.get("sorted", at), F.get("sorted", at + 1))
+            for at in (F.lit(0), F.lit(1), F.col("n") - 2, F.col("n") - 3)]
     words = F.col("words")
+    half = _parity(words, lambda w: w.bitwiseAND(F.lit(64)) != 0)
+    rows = rows.withColumn("parity2", F.when(F.col("n") > FOLDED_WORDS, half).otherwise(F.lit(0).cast("bigint")))
     prefix = F.transform(F.slice(words, 1, limits.probe_length(F.col("n"))),
                          lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return rows.select(
-        "doc_id", "line", "n", F.xxhash64("words").alias("signature"), "low", "high",
-        F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) == 0)).otherwise(_parity(words)).alias("parity"),
-        F.when(long, _parity(words, lambda w: w.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("bigint")).alias("parity2"),
-        prefix.alias("prefix"))
+        "doc_id", "line", "n", F.xxhash64("words").alias("signature"), F.array_distinct(F.array(*ends)).alias("keys"),
+        _parity(words).bitwiseXOR(F.col("parity2")).alias("parity"), "parity2", prefix.alias("prefix"))
 
 
 def _before(a: str, b: str) -> Column:
@@ -169,12 +185,25 @@ def _exact(pairs: DataFrame, docs: DataFrame, limits: Limits, least_words: int)
     return both.filter(limits.linked(common, F.size("x"), F.size("y"))).select("later")
 
 
+def _any_link(pairs: DataFrame, docs: DataFrame, limits: Limits, least_words: int) -> DataFrame:
+    """(doc_id, line): the later lines of a written table (later, earlier, common) that have an earlier line similar enough.
+
+    One link is enough: each line is compared with the candidate that shares most of its first
+    words, and only those without a link by then with all of their other candidates.
+    """
+    order = Window.partitionBy("later").orderBy(F.desc("common"), "earlier")
+    ranked = stage(pairs.select("later", "earlier", F.row_number().over(order).alias("at")), "ranked-pairs")
+    best = stage(_exact(ranked.filter("at = 1").drop("at"), docs, limits, least_words), "best-links")
+    others = stage(ranked.filter("at > 1").drop("at").join(best, "later", "left_anti"), "other-pairs")
+    return best.union(_exact(others, docs, limits, least_words)).select("later.*")
+
+
 def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5), least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line): the lines with a similar line before them, by document id and line number.
 
     1. Lines with equal sets of words are a class, and its first line stands for it.
-    2. Each class is compared with the first lines that have its word of the least and of the
-       largest hash: this takes the bulk of large groups of near copies, in two pairs a line.
+    2. Each class is compared with the first lines that have one of its keys: this takes nearly
+       all of large groups of near copies, in four pairs a line at most.
        Classes of so few words that only equal sets are similar enough are done by now.
     3. Classes that are left are joined with all earlier lines that pass the filters.
     """
@@ -191,10 +220,9 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5), least_words:
     classes = lines.filter(limits.may_differ(F.col("n"))).drop("signature").join(small_side(copies), ["doc_id", "line"], "left_anti")
 
     about = ["doc_id", "line", "n", "parity", "parity2"]
-    keyed = classes.select(*about, F.explode(F.array("low", "high")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct(*about)).alias("head"), F.max(place).alias("last"))
-    heads = heads.filter(F.struct("head.doc_id", "head.line") < F.col("last")).select("key", "head.*")
-    near = keyed.alias("a").join(heads.alias("b"), "key").filter(_before("b", "a") & limits.may_link("a", "b"))
+    keyed = classes.select(F.struct(*about).alias("a"), F.explode("keys").alias("key"))
+    head = F.first("a").over(Window.partitionBy("key").orderBy("a.doc_id", "a.line"))
+    near = keyed.withColumn("b", head).filter(_before("b", "a") & limits.may_link("a", "b"))
     near = stage(near.select(_at("a").alias("later"), _at("b").alias("earlier")).distinct(), "head-pairs")
     gone = stage(_exact(near, docs, limits, least_words).select("later.*").distinct().withColumn("gone", F.lit(True)), "gone")
 
@@ -208,8 +236,9 @@ def find_repeats(docs: DataFrame, share: Fraction = Fraction(4, 5), least_words:
         order & limits.may_follow("a", "b") & F.when(a_later, F.col("a.left")).otherwise(F.col("b.left"))
         & limits.may_link("a", "b"))
     pairs = pairs.select(F.when(a_later, _at("a")).otherwise(_at("b")).alias("later"),
-                         F.when(a_later, _at("b")).otherwise(_at("a")).alias("earlier")).distinct()
-    more = _exact(stage(pairs, "line-pairs"), docs, limits, least_words).select("later.*")
+                         F.when(a_later, _at("b")).otherwise(_at("a")).alias("earlier"))
+    pairs = pairs.groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("common"))
+    more = _any_link(stage(pairs, "line-pairs"), docs, limits, least_words)
     # the other lines of a class are copies of its first, so the classes' first lines complete them
     return copies.union(gone.select("doc_id", "line")).union(more).distinct()
 

@@ -228,6 +228,24 @@ def test_short_lines_take_part(spark, docs):
         {d: (a, b, len(t)) for d, (a, b, t) in want.items()}
 
 
+def test_near_copies_of_a_line_are_few_pairs(spark, monkeypatch):
+    """Each copy has a least and a largest word hash of its own."""
+    words = spark.range(20000).selectExpr("concat('q', id) AS word").orderBy(line_dedup.F.xxhash64("word"))
+    words = [r.word for r in words.collect()]
+    lines = [" ".join([words[i], *words[9970:10028], words[-1 - i]]) for i in range(40)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    exact, compared = line_dedup._exact, []
+
+    def counted(pairs, *about):
+        compared.append(pairs.count())
+        return exact(pairs, *about)
+
+    monkeypatch.setattr(line_dedup, "_exact", counted)
+    got = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: int(i > 0) for i in range(40)}
+    assert sum(compared) <= 4 * len(rows), compared
+
+
 def test_empty_ranges_are_no_tokens():
     bands, rng = jaccard_join.Bands(Fraction(4, 5)), np.random.default_rng(7)
     for size in (30, 100, 300, 800, 3000, 20000):
