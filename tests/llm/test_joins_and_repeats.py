@@ -228,6 +228,19 @@ def test_short_lines_take_part(spark, docs):
         {d: (a, b, len(t)) for d, (a, b, t) in want.items()}
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    """Each passage is in two documents, between a byte in common and one that differs."""
+    rows, want = [], {}
+    for n in (51, 60, 66, 67, 80):
+        passage = "|" + " ".join(f"{n}x{i:02}" for i in range(n)) + "|"
+        for k in (1, 2):
+            rows.append((10 * n + k, f"{k}{passage}{k}"))
+            want[10 * n + k] = len(passage) if len(passage) >= 400 else 0
+    assert set(want.values()) > {0} and len(set(want.values())) == 3
+    out = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: sum(s["stop"] - s["start"] for s in r.spans) for r in out} == want
+
+
 def test_near_copies_of_a_line_are_few_pairs(spark, monkeypatch):
     """Each copy has a least and a largest word hash of its own."""
     words = spark.range(20000).selectExpr("concat('q', id) AS word").orderBy(line_dedup.F.xxhash64("word"))
